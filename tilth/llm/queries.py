@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tilth.llm import packing, token_store
+from tilth.llm import byte_bpe, language_id, packing, quality, secret_scan, simhash, token_store
+from tilth.llm.common import materialize
 
 WORDS, BYTES = "word_bpe_49k.json", "byte_bpe_50k.tiktoken"
 
@@ -14,16 +15,52 @@ def documents(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def held_out():
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(True)).alias("held_out")
+
+
 def op1_best_fit_packing(spark, sf_dir):
     return packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path(WORDS), capacity=2048, end_id=0)
 
 
+def op2_language_id(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    return language_id.identify(docs, language_id.train(docs)).select("doc_id", held_out(), "lang_pred", "score", "accepted")
+
+
+def op4_quality_classifier(spark, sf_dir):
+    stats = materialize(quality.document_statistics(documents(spark, sf_dir)), "statistics")
+    model = quality.train(stats, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.score(stats, model).select("doc_id", held_out(), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op5_simhash_near_dedup(spark, sf_dir):
+    return simhash.near_duplicates(documents(spark, sf_dir), radius=2, width=3, seed=42)
+
+
+def op7_byte_bpe(spark, sf_dir):
+    return byte_bpe.round_trip(documents(spark, sf_dir), public_tokenizers.path(BYTES), public_tokenizers.PATTERN)
+
+
 def op8_token_store(spark, sf_dir):
     return token_store.store_documents(documents(spark, sf_dir), public_tokenizers.path(WORDS), end_id=2)
 
 
+def op9_secret_scan(spark, sf_dir):
+    found = secret_scan.scan(documents(spark, sf_dir))
+    of = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.filter("spans", lambda s: s["kind"].isin("assign", "access", "hex"))
+    return found.select(
+        "doc_id", of("assign"), of("access"), of("hex"),
+        F.sha2(secret_scan.listed(base), 256).alias("base_sha256"), secret_scan.listed(F.col("spans")).alias("spans"),
+    )
+
+
 def queries():
-    found = [op1_best_fit_packing, op8_token_store]
+    found = [
+        op1_best_fit_packing, op2_language_id, op4_quality_classifier, op5_simhash_near_dedup, op7_byte_bpe, op8_token_store,
+        op9_secret_scan,
+    ]
     return {f.__name__: f for f in found}
 
 
