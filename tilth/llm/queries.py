@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tilth.llm import byte_bpe, language_id, packing, quality, secret_scan, simhash, token_store
+from tilth.llm import byte_bpe, language_id, minhash, packing, quality, secret_scan, simhash, token_store
 from tilth.llm.common import materialize
 
 WORDS, BYTES = "word_bpe_49k.json", "byte_bpe_50k.tiktoken"
@@ -38,6 +38,10 @@ def op5_simhash_near_dedup(spark, sf_dir):
     return simhash.near_duplicates(documents(spark, sf_dir), radius=2, width=3, seed=42)
 
 
+def op6_minhash_fingerprints(spark, sf_dir):
+    return minhash.edited_fingerprints(documents(spark, sf_dir))
+
+
 def op7_byte_bpe(spark, sf_dir):
     return byte_bpe.round_trip(documents(spark, sf_dir), public_tokenizers.path(BYTES), public_tokenizers.PATTERN)
 
@@ -58,7 +62,7 @@ def op9_secret_scan(spark, sf_dir):
 
 def queries():
     found = [
-        op1_best_fit_packing, op2_language_id, op4_quality_classifier, op5_simhash_near_dedup, op7_byte_bpe, op8_token_store,
+        op1_best_fit_packing, op2_language_id, op4_quality_classifier, op5_simhash_near_dedup, op6_minhash_fingerprints, op7_byte_bpe, op8_token_store,
         op9_secret_scan,
     ]
     return {f.__name__: f for f in found}
