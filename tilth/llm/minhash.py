@@ -3,7 +3,7 @@
 Every word shingle is hashed once; the hash's high bits choose a bin and each bin keeps its smallest
 hash. Empty bins borrow from full ones by optimal densification: bin i tries bins chosen by hashing
 (i, attempt) until one is full, the same for every document, so equal sets stay equal. The low bits
-of the bins, packed sixteen to a 64-bit integer, are the fingerprint, and the share of agreeing bins
+of the bins' values, packed sixteen to a 64-bit integer, are the fingerprint, and the share of agreeing bins
 less the share that agrees by chance estimates the Jaccard similarity of the shingle sets.
 """
 
@@ -64,7 +64,8 @@ def signature(text: Column, width: int = 5) -> Column:
         def borrow(own: Column, i: Column) -> Column:
             tries = [F.get(bins, F.pmod(F.xxhash64(i, F.lit(t)), F.lit(BINS)).cast("int")) for t in range(PROBES)]
             last = F.array_min(F.transform(full, lambda h: F.named_struct(F.lit("turn"), F.xxhash64(i, bin_of(h)), F.lit("hash"), h)))["hash"]
-            return F.coalesce(own, *tries, last).bitwiseAND(F.lit((1 << LOW_BITS) - 1))
+            # hashed with the bin, so that bins that share a source agree by chance independently
+            return F.xxhash64(F.coalesce(own, *tries, last), i).bitwiseAND(F.lit((1 << LOW_BITS) - 1))
 
         return let(F.transform(bins, borrow), packed)
 
