@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tilth.llm import byte_bpe, language_id, minhash, packing, quality, secret_scan, simhash, token_store
+from tilth.llm import byte_bpe, embedding_join, language_id, minhash, packing, quality, secret_scan, simhash, token_store
 from tilth.llm.common import materialize
 
 WORDS, BYTES = "word_bpe_49k.json", "byte_bpe_50k.tiktoken"
@@ -60,10 +60,14 @@ def op9_secret_scan(spark, sf_dir):
     )
 
 
+def op10_embedding_near_dedup(spark, sf_dir):
+    return embedding_join.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), least=0.9)
+
+
 def queries():
     found = [
         op1_best_fit_packing, op2_language_id, op4_quality_classifier, op5_simhash_near_dedup, op6_minhash_fingerprints, op7_byte_bpe, op8_token_store,
-        op9_secret_scan,
+        op9_secret_scan, op10_embedding_near_dedup,
     ]
     return {f.__name__: f for f in found}
 
