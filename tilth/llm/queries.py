@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tilth.llm import byte_bpe, embedding_join, language_id, minhash, packing, quality, secret_scan, simhash, token_store
+from tilth.llm import byte_bpe, embedding_join, language_id, licenses, minhash, packing, quality, secret_scan, simhash, token_store
 from tilth.llm.common import materialize
 
 WORDS, BYTES = "word_bpe_49k.json", "byte_bpe_50k.tiktoken"
@@ -28,6 +28,10 @@ def op2_language_id(spark, sf_dir):
     return language_id.identify(docs, language_id.train(docs)).select("doc_id", held_out(), "lang_pred", "score", "accepted")
 
 
+def op3_license_scan(spark, sf_dir):
+    return licenses.scan(documents(spark, sf_dir)).drop("detections")
+
+
 def op4_quality_classifier(spark, sf_dir):
     stats = materialize(quality.document_statistics(documents(spark, sf_dir)), "statistics")
     model = quality.train(stats, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -66,7 +70,7 @@ def op10_embedding_near_dedup(spark, sf_dir):
 
 def queries():
     found = [
-        op1_best_fit_packing, op2_language_id, op4_quality_classifier, op5_simhash_near_dedup, op6_minhash_fingerprints, op7_byte_bpe, op8_token_store,
+        op1_best_fit_packing, op2_language_id, op3_license_scan, op4_quality_classifier, op5_simhash_near_dedup, op6_minhash_fingerprints, op7_byte_bpe, op8_token_store,
         op9_secret_scan, op10_embedding_near_dedup,
     ]
     return {f.__name__: f for f in found}
