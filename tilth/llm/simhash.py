@@ -76,6 +76,17 @@ class BkTree:
                     open_.append(child)
         return found
 
+    def touches(self, value: int, radius: int) -> bool:
+        """Whether any value is at most ``radius`` bits away."""
+        open_ = [0] if self.values else []
+        while open_:
+            node = open_.pop()
+            gap = (self.values[node] ^ value).bit_count()
+            if gap <= radius:
+                return True
+            open_ += [child for edge, child in self.children[node].items() if gap - radius <= edge <= gap + radius]
+        return False
+
     def add(self, value: int) -> int:
         node, place = 0, len(self.values)
         self.values.append(value)
@@ -177,11 +188,129 @@ def near_duplicates(docs: DataFrame, radius: int = 2, width: int = 3, seed: int
     return link(prints, radius).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, radius: int = 2, width: int = 5, seed: int = 42) -> DataFrame:
-    """One row of ``docs`` per group of near-duplicates, the one with the smallest doc_id; repeated rows of it go.
+# ---- similarity of 0.8 and more -----------------------------------------------------------------
+WIDE_BITS = 256
+CHUNK = 4096
+
+
+def wide_fingerprint(text: str | None, width: int = 5) -> bytes:
+    """256-bit fingerprint of a whole text over ``width``-word shingles; zeros for one without words."""
+    import xxhash
+
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return bytes(WIDE_BITS // 8)
+    joined = b" ".join(words)
+    digest = xxhash.xxh3_128_digest
+    if len(words) <= width:
+        raw = digest(joined)
+    else:
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+        starts = np.concatenate([[0], ends[:-1] + 1])
+        raw = b"".join([digest(joined[a:b]) for a, b in zip(starts[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist(), strict=True)])
+    two = np.frombuffer(raw, "<u8").reshape(-1, 2)
+    with np.errstate(over="ignore"):  # two more words per hash, each mixed from one of the first
+        more = (two ^ (two >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+        more = (more ^ (more >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    four = np.concatenate([two, more ^ (more >> np.uint64(32))], axis=1)
+    counts = np.zeros(WIDE_BITS, np.int64)
+    for at in range(0, len(four), 1 << 14):
+        block = np.ascontiguousarray(four[at : at + (1 << 14)])
+        counts += np.unpackbits(block.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * counts > len(four), bitorder="little").tobytes()
+
+
+class Grove:
+    """BK-trees by connected component: a value is sought in each only until one link is found."""
+
+    def __init__(self, radius: int):
+        self.radius = radius
+        self.parts: list[list[BkTree]] = []
+        self.names: list[int] = []
+
+    def merge(self, value: int, name: int) -> list[tuple[int, int]]:
+        """Insert a value and join all components it links; -> the new forest edges."""
+        hit = [i for i, trees in enumerate(self.parts) if any(t.touches(value, self.radius) for t in trees)]
+        if not hit:
+            tree = BkTree()
+            tree.add(value)
+            self.parts.append([tree])
+            self.names.append(name)
+            return []
+        into, edges = hit[0], [(name, self.names[i]) for i in hit]
+        self.parts[into][0].add(value)
+        for i in reversed(hit[1:]):
+            self.parts[into] += self.parts.pop(i)
+            self.names.pop(i)
+        return edges
+
+
+def similar(docs: DataFrame, width: int = 5, radius: int = 44, tables: int = 32) -> DataFrame:
+    """``docs`` (doc_id, text, ...) -> doc_id, component_id: documents linked by similar word shingles.
+
+    256-bit fingerprints at most ``radius`` bits apart link (44 bits are a Jaccard similarity of
+    about 0.77, so that pairs of 0.8 and more are within it but for the estimate's spread). They
+    meet in the shards of ``tables`` pseudo-random choices of as many bits as it takes to number
+    the fingerprints, so a pair of similarity 0.9 shares some shard with a probability of over 0.99,
+    one of 0.8 of about 0.83 by itself and more through its group. A shard's trees are grown per
+    component, so a group of copies costs one comparison each; shards of over 4,096 members are cut
+    by a hash that differs between tables. A null text is empty.
+    """
+    spark = docs.sparkSession
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            found = [wide_fingerprint(t, width) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["doc_id", "fp"])
+
+    prints = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp binary"), "wide-prints")
+    first = materialize(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("first")), "wide-distinct")
+    bits = max(12, (first.count() - 1).bit_length())
+    dice = np.random.default_rng(42)
+    picks = [np.sort(dice.choice(WIDE_BITS, bits, replace=False)) for _ in range(tables)]
+
+    def deal(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            n = len(batch)
+            unpacked = np.unpackbits(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(n, -1), axis=1, bitorder="little")
+            for t, pick in enumerate(picks):
+                key = unpacked[:, pick].astype(np.int64) @ (np.int64(1) << np.arange(bits, dtype=np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, t, np.int32)), pa.array(key), batch.column(0), batch.column(1)], ["cut", "key", "fp", "first"])
+
+    dealt = first.select("fp", "first").mapInArrow(deal, "cut int, key long, fp binary, first long")
+    hot = materialize(dealt.groupBy("cut", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CHUNK), "hot-shards")
+    few = hot.count() <= 20_000  # a broadcast of that many rows is under 1 MB
+    part = F.when(F.col("n").isNull(), 0).otherwise(F.pmod(F.xxhash64("first", "cut"), F.ceil(F.col("n") / CHUNK))).cast("int")
+    cut = dealt.join(F.broadcast(hot) if few else hot, ["cut", "key"], "left").select("cut", "key", part.alias("part"), "first", "fp")
+
+    def grow(batches):
+        import pyarrow as pa
+
+        shard, grove = None, None
+        for batch in batches:
+            edges = []
+            for *where, name, fp in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if where != shard:
+                    shard, grove = where, Grove(radius)
+                edges += grove.merge(int.from_bytes(fp, "little"), name)
+            if edges:
+                a, b = zip(*edges, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    edges = cut.repartition(shuffle_width(spark), "cut", "key", "part").sortWithinPartitions("cut", "key", "part", "first").mapInArrow(grow, "a long, b long")
+    parts = connected_components(materialize(edges.distinct(), "wide-links"), "wide-components").withColumnRenamed("node", "first")
+    of_print = first.join(parts, "first", "left").select("fp", F.coalesce("component", "first").alias("component_id"))
+    return prints.join(of_print, "fp", "left").select("doc_id", "component_id")
+
+
+def keep_first(docs: DataFrame, width: int = 5, radius: int = 44, tables: int = 32) -> DataFrame:
+    """One row of ``docs`` per group of similar documents, the one with the smallest doc_id.
 
-    Rows with a null doc_id stay only if their fingerprint has no document with an id.
+    Repeated rows of that document go; so do rows with a null doc_id, which nothing can stand for.
     """
-    found = near_duplicates(docs, radius, width, seed)
-    kept = found.where("component_id = doc_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    kept = similar(docs, width, radius, tables).where("component_id = doc_id").select("doc_id").distinct()
+    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
