@@ -221,7 +221,7 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            for a, b in text_blocks(texts, 1_000_000):
+            for a, b in text_blocks(texts, 400_000):
                 lang, score, accepted = shared.value.predict(texts[a:b])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(lang, pa.string()), pa.array(score), pa.array(accepted)], ["doc_id", "lang_pred", "score", "accepted"])
 
@@ -238,7 +238,7 @@ def keep_identified(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
         for batch in batches:
             texts = batch.column(at).to_pylist()
-            keep = [shared.value.predict(texts[a:b])[2] for a, b in text_blocks(texts, 1_000_000)]
+            keep = [shared.value.predict(texts[a:b])[2] for a, b in text_blocks(texts, 400_000)]
             yield batch.filter(pa.array(np.concatenate(keep) if keep else np.zeros(0, bool)))
 
     return docs.mapInArrow(run, docs.schema)
