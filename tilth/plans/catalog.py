@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: tuple[str, ...] = ("robust_plans", "quality_plans", "interval_plans", "text_plans")
+MODULES: tuple[str, ...] = ("robust_plans", "quality_plans", "interval_plans", "text_plans", "progress_plans")
 
 
 def _modules():
