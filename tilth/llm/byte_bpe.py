@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tilth.llm.common import bounded_batches
 from tilth.llm.perfect_hash import PerfectHash
 from tilth.llm.word_tokens import text_blocks
 
@@ -125,6 +126,7 @@ def codec(path: str, pattern: str) -> ByteBpe:
 
 def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """``docs`` (doc_id, text, ...) -> doc_id, ids array<int>. A null text has no ids; other columns are ignored."""
+    bounded_batches(docs.sparkSession)
 
     def run(batches):
         import pyarrow as pa
@@ -142,6 +144,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
 def decode_documents(tokens: DataFrame, path: str, pattern: str) -> DataFrame:
     """``tokens`` (doc_id, ids, ...) -> doc_id, text_bytes. Null ids decode to no bytes."""
+    bounded_batches(tokens.sparkSession)
 
     def run(batches):
         import pyarrow as pa
@@ -168,6 +171,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     Null and empty texts have no ids and the digests of nothing. Other columns are ignored.
     """
+    bounded_batches(docs.sparkSession)
 
     def run(batches):
         import hashlib

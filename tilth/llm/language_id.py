@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tilth.llm.common import bounded_batches
 from tilth.llm.word_tokens import text_blocks
 
 ORDER = 4
@@ -161,6 +162,7 @@ def train(docs: DataFrame, docs_per_lang: int = 1200, margin: float = 2.0) -> La
     A pseudo-random ``docs_per_lang`` texts of each language, or all it has, are read whole, a fifth
     of them for the limits. Rows with a null text or lang teach nothing; no rows, no languages.
     """
+    bounded_batches(docs.sparkSession)
     spark = docs.sparkSession
     rows = learning_rows(docs.select("doc_id", "text", "lang")).where("text is not null and lang is not null")
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per language
@@ -214,6 +216,7 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
     A null text and a text without a letter are 'und' with score 0 and not accepted.
     """
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -230,6 +233,7 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
 def keep_identified(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """Rows of ``docs`` whose text the model accepts as one of its languages, all columns as they were."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tilth.llm.common import materialize, shuffle_width
+from tilth.llm.common import bounded_batches, materialize, shuffle_width
 from tilth.llm.word_tokens import encoder, text_blocks
 
 
@@ -178,6 +178,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int, w
     so has one id. ``with_ids`` adds ``ids`` (little-endian unsigned 32-bit). Rows with the same or
     a null doc_id are separate documents. Other columns are ignored.
     """
+    bounded_batches(docs.sparkSession)
     schema = T.StructType([*PIECES.fields, *([T.StructField("ids", T.BinaryType())] if with_ids else [])])
     end = int(end_id).to_bytes(4, "little")
 

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilth.llm.common import materialize
+from tilth.llm.common import bounded_batches, materialize
 from tilth.llm.language_id import learning_rows
 
 FEATURES = ("words", "word_length", "long_words", "upper", "digits", "marks", "odd_marks", "space", "lines", "distinct", "repeats", "top_word", "end_marks")
@@ -70,6 +70,7 @@ def statistics(text: str | None) -> list[float]:
 
 def document_statistics(docs: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text, ...) -> doc_id and one double per statistic, a row per row."""
+    bounded_batches(docs.sparkSession)
     schema = "doc_id long, " + ", ".join(f"{f} double" for f in FEATURES)
 
     def run(batches):
@@ -183,6 +184,7 @@ def score(statistics_: DataFrame, model: Discriminant) -> DataFrame:
 
 def keep_good(docs: DataFrame, model: Discriminant, least: float = 0.3) -> DataFrame:
     """Rows of ``docs`` whose score is at least ``least``, all columns as they were."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 

@@ -18,6 +18,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tilth.llm.common import bounded_batches
+
 # The base patterns and their least lengths.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -151,6 +153,7 @@ def scan(docs: DataFrame, rate: float = 1e-4) -> DataFrame:
 
     A null or empty text has no spans. Every row gets a row; other columns are ignored.
     """
+    bounded_batches(docs.sparkSession)
 
     def run(batches):
         import pyarrow as pa
@@ -170,6 +173,7 @@ def listed(spans: Column) -> Column:
 
 def redact(docs: DataFrame, mark: str = "[SECRET]", rate: float = 1e-4) -> DataFrame:
     """``docs`` with every span of its text (overlapping ones as one) replaced by ``mark``; n_chars, if there, follows."""
+    bounded_batches(docs.sparkSession)
     at = docs.columns.index("text")
 
     def clean(text: str | None) -> str | None:

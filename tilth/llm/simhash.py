@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tilth.llm.common import connected_components, materialize, shuffle_width
+from tilth.llm.common import bounded_batches, connected_components, materialize, shuffle_width
 
 HOT_SHARD = 512
 
@@ -45,6 +45,7 @@ def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
 
 def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
     """``docs`` (doc_id, text, ...) -> doc_id, fp (signed 64-bit), a row per row. A null text is empty."""
+    bounded_batches(docs.sparkSession)
 
     def run(batches):
         import pyarrow as pa
@@ -256,6 +257,7 @@ def similar(docs: DataFrame, width: int = 5, radius: int = 44, tables: int = 32)
     component, so a group of copies costs one comparison each; shards of over 4,096 members are cut
     by a hash that differs between tables. A null text is empty.
     """
+    bounded_batches(docs.sparkSession)
     spark = docs.sparkSession
 
     def run(batches):

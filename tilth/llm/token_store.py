@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tilth.llm.common import key_ranges, new_path, range_of
+from tilth.llm.common import bounded_batches, key_ranges, new_path, range_of
 from tilth.llm.perfect_hash import PerfectHash, mix
 from tilth.llm.word_tokens import encoder, text_blocks
 
@@ -95,6 +95,7 @@ def write_store(docs: DataFrame, vocabulary: str, end_id: int, path: str | None
     The manifest has a row per shard: documents, ids, and ``base``, the ids of all shards before it.
     Empty input: no shards. Other columns are ignored.
     """
+    bounded_batches(docs.sparkSession)
     spark = docs.sparkSession
     path = path or new_path(spark, "tokens")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -175,6 +176,7 @@ def read_store(keys: DataFrame, path: str, cuts: list[int], manifest: DataFrame,
     ``start`` counts the ids of all documents before it. A doc_id that stands n times in ``keys``
     reads the first n rows stored under it; one that isn't in the store gives no row.
     """
+    bounded_batches(keys.sparkSession)
     schema = T.StructType([*READ.fields, *([T.StructField("ids", T.BinaryType())] if with_ids else [])])
     bases = {r["shard"]: r["base"] for r in manifest.select("shard", "base").collect()}  # one row per shard
 
