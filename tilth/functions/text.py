@@ -22,6 +22,22 @@ def normalize(text: Column, extra_from: str = "", extra_to: str = "") -> Column:
     return F.trim(F.regexp_replace(plain, r"[\s\x{0B}]+", " "))
 
 
+# Fixed value: the opening formula, normalised.
+FORMULA = "\u0628\u0633\u0645 \u0627\u0644\u0644\u0647 \u0627\u0644\u0631\u062d\u0645\u0646 \u0627\u0644\u0631\u062d\u064a\u0645"
+
+
+def has_formula(text: Column) -> Column:
+    """Whether the first four words are the opening formula."""
+    return F.array_join(F.slice(F.split(normalize(text), " "), 1, 4), " ") == FORMULA
+
+
+def letter_count(text: Column, surah: Column, ayah: Column) -> Column:
+    """Letters of a verse as recited by itself: without an opening formula in first verses of surahs after the first."""
+    n = F.length(letters_only(text))
+    spare = F.length(F.lit(FORMULA.replace(" ", "")))
+    return F.when((surah != 1) & (ayah == 1) & has_formula(text), n - spare).otherwise(n)
+
+
 def letters_only(text: Column) -> Column:
     """Normalised text without spaces."""
     return F.replace(normalize(text), F.lit(" "), F.lit(""))

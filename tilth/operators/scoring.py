@@ -22,9 +22,9 @@ def grade(segments: DataFrame, bands: DataFrame, rule: str, value: str, toleranc
 def measured_status(rule: Column, measured: Column, lo: Column, hi: Column, nasality: Column, nasal_floor: Column, advisory: Column, lower_only: Column, reliable_floor: Column, tolerance: float = 0.8) -> Column:
     """The grading ladder of one measurement.
 
-    Nothing measured: missing_audio. Advisory rules: ok. Rules with only a lower side: missing_audio
-    under their reliable floor, else warn only below the band. Then the band; then a nasality below
-    its floor turns ok into warn.
+    Nothing measured: missing_audio. Advisory rules: ok. Under a rule's reliable floor (null: it has
+    none): missing_audio. Rules with only a lower side warn only below the band, others on both
+    sides; then a nasality below its floor turns ok into warn.
     """
     sided = F.when(lower_only, F.when(measured < lo - tolerance, "warn").otherwise("ok")).otherwise(status(measured, lo, hi, tolerance))
     nasal = F.when((sided == "ok") & nasality.isNotNull() & nasal_floor.isNotNull() & (nasality < nasal_floor), "warn").otherwise(sided)
@@ -32,7 +32,7 @@ def measured_status(rule: Column, measured: Column, lo: Column, hi: Column, nasa
         F.when(rule.isNull(), F.lit(None).cast("string"))
         .when(measured.isNull(), "missing_audio")
         .when(advisory, "ok")
-        .when(lower_only & (measured < reliable_floor), "missing_audio")
+        .when(F.coalesce(measured < reliable_floor, F.lit(False)), "missing_audio")
         .otherwise(nasal)
     )
 

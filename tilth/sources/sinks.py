@@ -13,7 +13,7 @@ CONFLICT_KEYS = {
     "juz": ["juz"],
     "pages": ["page"],
     "verses": ["surah", "ayah"],
-    "tajweed_segments": ["surah", "ayah", "rule", "start_idx", "end_idx"],
+    "segments": ["surah", "ayah", "rule", "start_idx", "end_idx"],
     "ayah_audio": ["surah", "ayah", "reciter"],
 }
 
