@@ -11,7 +11,7 @@ from __future__ import annotations
 import re
 
 #: Most chunks and pre-tokens that a worker keeps (about 150 bytes each). New ones past it are encoded anew.
-KEEP_CHUNKS, KEEP_WORDS = 300_000, 250_000
+KEEP_CHUNKS, KEEP_WORDS = 450_000, 300_000
 #: The vocabulary's own split of a chunk: a fixed value of its file.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Beyond Latin-1, lower case and normal forms may need context; Python's split() takes \x1c to \x1f for
