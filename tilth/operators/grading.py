@@ -111,3 +111,25 @@ def reports(recordings: DataFrame, segments: DataFrame, calibration: DataFrame |
     head = recordings.select("clip", "surah", "ayah", "duration").join(said, "clip").join(units(recordings, segments), "clip", "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     return head.join(s, "clip", "left").join(w, "clip", "left").select("clip", "surah", "ayah", "duration", "unit", "cer", "content_status", "segments", zero("n_ok"), zero("n_warn"), "word_scores")
+
+
+def window_progress(words: DataFrame, verse_spans: DataFrame, confirm: float = 0.5, rescue: float = 0.6) -> DataFrame:
+    """How far a clip of several verses got: clip, n_confirmed, resume_at.
+
+    ``words``: word verdicts on the joined text; ``verse_spans``: clip, ayah, v0, v1, a row per verse
+    of the window. A verse's ratio counts the words wholly inside it, 0 without any.
+    """
+    from tilth.operators import intervals
+
+    inside = intervals.contained_join(words.select("clip", "start", "end", "content_ok"), verse_spans, ["clip"], ("start", "end"), ("v0", "v1"))
+    ratio = inside.groupBy("clip", "ayah").agg(F.avg(F.col("content_ok").cast("double")).alias("ratio"))
+    every = verse_spans.select("clip", "ayah").join(ratio, ["clip", "ayah"], "left").withColumn("ratio", F.coalesce("ratio", F.lit(0.0)))
+    return intervals.confirmed_prefix(every, ["clip"], "ayah", "ratio", confirm, rescue)
+
+
+def rebased(items: DataFrame, verse_spans: DataFrame, keys: list[str]) -> DataFrame:
+    """Items on the joined text with their verse, and offsets from its start; outside any verse, a null ayah."""
+    from tilth.operators import intervals
+
+    found = intervals.point_join(items, verse_spans, ["clip"], "start", ("v0", "v1"), "ayah", keys)
+    return found.withColumns({"start": F.col("start") - F.coalesce("v0", F.lit(0)), "end": F.col("end") - F.coalesce("v0", F.lit(0))}).drop("v0", "v1")

@@ -110,3 +110,41 @@ def tiers(progress: DataFrame, keys: list[str], total: Column) -> DataFrame:
     ratio = F.when(F.col("total") <= 0, 0.0).otherwise(F.least(F.lit(1.0), F.col("_w") / F.col("total")))
     tier = F.when(F.col("mastered") >= F.col("total"), "retained").when(F.col("tracked") > 0, "started").otherwise("new")
     return g.select(*keys, "learning", "reviewing", "mastered", (F.col("total") - F.col("tracked")).alias("untouched"), ratio.alias("ratio"), tier.alias("tier"))
+
+
+# Clean blind passes that finish a chunk, failed ones that send it back.
+BLIND_TARGET, FALLBACK_AFTER = 2, 3
+
+
+def guided_chunks(attempts: DataFrame, keys: list[str], order: list[str], passed: str, decoded: str) -> DataFrame:
+    """Fold attempts at a chunk through its stages: echo, recall, blind.
+
+    A pass at echo or recall moves on. At blind two passes in a row finish; each failure resets the
+    run, and three send the chunk back to recall. Attempts with under three decoded characters don't
+    count, nor do any after the end. keys, stage (``done`` at the end), n_attempts, n_blind_fails,
+    fell_back, quality (2 if it fell back or had three failures, 4 after any, else 5; null until done).
+    """
+    zero = F.expr("named_struct('stage', 'echo', 'run', 0, 'fails', 0, 'back', false, 'n', 0)")
+
+    def step(s: Column, a: Column) -> Column:
+        open_, ok, blind = s["stage"] != "done", a["ok"], s["stage"] == "blind"
+        run = F.when(blind & ok, s["run"] + 1).when(blind, 0).otherwise(s["run"])
+        fails = F.when(blind & ~ok, s["fails"] + 1).otherwise(s["fails"])
+        falls = blind & ~ok & (fails >= FALLBACK_AFTER)
+        stage = (
+            F.when((s["stage"] == "echo") & ok, "recall").when((s["stage"] == "recall") & ok, "blind").when(blind & ok & (run >= BLIND_TARGET), "done").when(falls, "recall").otherwise(s["stage"])
+        )
+        new = F.struct(stage.alias("stage"), run.alias("run"), fails.alias("fails"), (s["back"] | falls).alias("back"), (s["n"] + 1).alias("n"))
+        return F.when(open_, new).otherwise(s)
+
+    real = attempts.where(F.length(F.trim(decoded)) >= 3)
+    events = real.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*_places(order), F.col(passed).alias("ok")))).alias("_a"))
+    s = events.select(*keys, F.aggregate("_a", zero, step).alias("s"))
+    quality = F.when(F.col("s.stage") == "done", F.when(F.col("s.back") | (F.col("s.fails") >= FALLBACK_AFTER), 2).when(F.col("s.fails") > 0, 4).otherwise(5))
+    return s.select(*keys, "s.stage", F.col("s.n").alias("n_attempts"), F.col("s.fails").alias("n_blind_fails"), F.col("s.back").alias("fell_back"), quality.alias("quality"))
+
+
+def attempt_is_clean(words: DataFrame, keys: list[str], expected: Column, ratio: float = 0.5) -> DataFrame:
+    """keys, clean: some word, at most one short of the expected number, and enough of them right."""
+    g = words.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.count_if("content_ok").alias("_ok"), F.max(expected).alias("_e"))
+    return g.select(*keys, ((F.col("_n") >= F.col("_e") - 1) & (F.col("_ok") / F.col("_n") >= ratio)).alias("clean"))
