@@ -76,7 +76,18 @@ def queries():
     return {f.__name__: f for f in found}
 
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op10_embedding_near_dedup": """WITH RECURSIVE v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: x::double) AS e FROM embeddings),
+u AS (SELECT vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS n FROM v
+  WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND a.n > 0 AND b.n > 0
+  AND list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.9),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+c AS (SELECT a, min(b) AS component_id FROM reach GROUP BY 1),
+n AS (SELECT a, count(*) AS n_links FROM links GROUP BY 1)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept FROM v JOIN c ON c.a = vec_id LEFT JOIN n ON n.a = vec_id""",
+}
 
 
 def oracle_sql():
