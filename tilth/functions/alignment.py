@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
@@ -83,6 +85,16 @@ def _fit(hyp: pd.Series, window: pd.Series) -> pd.Series:
     return pd.Series([fit_distance(h or "", w or "") for h, w in zip(hyp, window, strict=True)])
 
 
+def shared_bigrams(a: str, b: str) -> int:
+    """Size of the multiset intersection of two texts' character pairs."""
+    bag = lambda t: Counter(t[i : i + 2] for i in range(max(1, len(t) - 1))) if t else Counter()
+    return (bag(a) & bag(b)).total()
+
+
+def _shared(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
+    return pd.Series([max(shared_bigrams(x or "", y or ""), shared_bigrams(x or "", z or "")) for x, y, z in zip(a, b, c, strict=True)])
+
+
 def word_ratios(hyp: str, ref: str, spans: list[tuple[int, int]], gap: int = GAP, slack: int = SLACK) -> list[float | None]:
     """Share of each word's letters (``spans`` of places in ``ref``) that ``hyp`` matches in one piece.
 
@@ -136,6 +148,11 @@ def matched_udf(hyp, ref):
     return F.pandas_udf(_matched, "array<int>")(hyp, ref)
 
 
+def most_shared_udf(text, head, tail):
+    """The larger of the character pairs that ``text`` shares with two others."""
+    return F.pandas_udf(_shared, "int")(text, head, tail)
+
+
 def region_udf(hyp, ref):
     return F.pandas_udf(_region, "struct<start: int, end: int>")(hyp, ref)
 

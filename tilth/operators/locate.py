@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tilth.functions import text
-from tilth.functions.alignment import fit_udf
+from tilth.functions.alignment import fit_udf, most_shared_udf
 
 
 def locate(clips: DataFrame, verses: DataFrame, passage: list[str], max_span: int = 6, top_k: int = 6, threshold: float = 0.75, tie: float = 0.05, short: int = 12) -> DataFrame:
@@ -25,16 +25,15 @@ def locate(clips: DataFrame, verses: DataFrame, passage: list[str], max_span: in
     runs = a.join(b, passage).where((F.col("j") >= F.col("i")) & (F.col("j") < F.col("i") + max_span))
     up = Window.partitionBy(*passage, "i").orderBy("j").rowsBetween(Window.unboundedPreceding, 0)
     runs = runs.withColumn("run", F.array_join(F.collect_list("letters").over(up), "")).drop("letters")
-    pairs = clips.where(F.length("decoded") > 0).join(runs, passage)
+    # few rows, much work on each: spread them, or the adaptive planner puts them into one task
+    width = int(clips.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = clips.where(F.length("decoded") > 0).join(runs, passage).repartition(width, *passage, "clip", "i", "j")
     cap = (F.floor(F.length("decoded") * 1.3) + 5).cast("int")
-    shared = F.greatest(
-        text.bag_overlap(text.bigrams(F.col("decoded")), text.bigrams(F.left("run", cap))),
-        text.bag_overlap(text.bigrams(F.col("decoded")), text.bigrams(F.right("run", cap))),
-    )
+    shared = most_shared_udf(F.col("decoded"), F.left("run", cap), F.right("run", cap))
     most = F.greatest(F.size(F.array_distinct(text.bigrams(F.col("decoded")))), F.least(F.length("run"), cap), F.lit(1))
     best = Window.partitionBy(*passage, "clip").orderBy(F.desc("score"), "i", "j")
     scored = pairs.withColumn("score", shared / most).withColumn("rank", F.row_number().over(best))
-    kept = scored.where((F.length("decoded") < short) | (F.col("rank") <= top_k)).withColumn("cer", fit_udf("decoded", "run"))
+    kept = scored.where((F.length("decoded") < short) | (F.col("rank") <= top_k)).repartition(width, *passage, "clip", "i", "j").withColumn("cer", fit_udf("decoded", "run"))
     fits = kept.select(*passage, "clip", "near", "i", "j", "cer")
     narrow = fits.select(*passage, "clip", F.col("i").alias("i2"), F.col("j").alias("j2"), F.col("cer").alias("cer2"))
     keys = [*passage, "clip"]

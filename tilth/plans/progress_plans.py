@@ -100,6 +100,11 @@ def nested_report(spark, sf_dir):
     return s.select("l_orderkey", F.to_json(F.struct("n_ok", "n_warn", "segments")).alias("report"))
 
 
+def guided_chunks(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("user_id", F.to_date("ts").alias("day"), "event_id", (F.col("event_type") != "error").alias("ok"), F.col("props").alias("decoded"))
+    return progress.guided_chunks(e, ["user_id", "day"], ["event_id"], "ok", "decoded")
+
+
 def span_of_range(spark, sf_dir):
     # first start and last end of the timed turns between two positions, null if none
     c = intervals.running_offsets(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.length("text").alias("len")), ["conv_id"], ["turn"], F.col("len"))
@@ -110,7 +115,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         sm2_schedule, streak_state, week_strip, status_pivot, due_urgency, next_due, slot_ledger, pause_sessions, sliding_levels, sticky_merge,
-        unit_estimate, pass_gate, session_quality, nested_report, span_of_range,
+        unit_estimate, pass_gate, session_quality, nested_report, span_of_range, guided_chunks,
     )
 }
 
@@ -151,4 +156,30 @@ SELECT conv_id, sum(n)::bigint AS words, sum(n) >= 1 AND sum(n) >= 50 * count(*)
     "span_of_range": """WITH s AS (SELECT conv_id, turn, role, coalesce(sum(length(text) + 1) OVER w, 0)::bigint AS s0, length(text) AS n FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
 SELECT conv_id, min(s0) FILTER (role = 'assistant' AND turn BETWEEN 1 AND 4) AS t0, max(s0 + n) FILTER (role = 'assistant' AND turn BETWEEN 1 AND 4) AS t1 FROM s GROUP BY 1""",
 }
+SQL |= {
+    "pause_sessions": """WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) // 60000000 AS t, value / 200 > 0.05 AS speaking, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 60000000, event_id) AS k FROM events),
+s AS (SELECT user_id, 0::bigint AS k, false AS spoke, NULL::bigint AS quiet, NULL::bigint AS begun, 0 AS n, false AS cut, NULL::bigint AS c0, NULL::bigint AS c1, 0 AS cn FROM (SELECT DISTINCT user_id FROM e)
+UNION ALL SELECT user_id, k, CASE WHEN cut THEN false ELSE spoke OR speaking END, CASE WHEN cut THEN NULL ELSE quiet END, CASE WHEN cut THEN t ELSE begun END, CASE WHEN cut THEN 0 ELSE n END, cut, begun, t, n FROM (
+  SELECT *, coalesce((t - begun >= 4000 AND (spoke OR speaking)) OR (spoke AND NOT speaking AND t - quiet >= 200 AND t - begun >= 600), false) AS cut FROM (
+    SELECT s.user_id, e.k, s.spoke, e.t, e.speaking, coalesce(s.begun, e.t) AS begun, s.n + 1 AS n, CASE WHEN s.spoke AND NOT e.speaking THEN coalesce(s.quiet, e.t) END AS quiet FROM s JOIN e ON e.user_id = s.user_id AND e.k = s.k + 1)))
+SELECT user_id, c0 AS segment_start, c1 AS segment_end, cn AS n_samples FROM s WHERE cut""",
+    "slot_ledger": """WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) AS t, event_id % 9 AS item, CASE WHEN event_type IN ('view', 'click', 'purchase') THEN 'claim' WHEN event_type = 'error' THEN 'step_back' ELSE 'release' END AS op,
+  row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+s AS (SELECT user_id, 0::bigint AS k, []::bigint[] AS active, []::bigint[] AS cooling, 0 AS refused FROM (SELECT DISTINCT user_id FROM e)
+UNION ALL SELECT user_id, k, CASE WHEN op = 'claim' THEN CASE WHEN has OR n >= 6 THEN active ELSE list_append(active, item) END ELSE list_filter(active, lambda x: x <> item) END,
+  CASE WHEN op = 'step_back' THEN list_append(cooling, t + 259200000000) ELSE cooling END, refused + CASE WHEN op = 'claim' AND NOT has AND n >= 6 THEN 1 ELSE 0 END FROM (
+    SELECT s.user_id, e.k, e.t, e.op, e.item, s.active, s.refused, list_filter(s.cooling, lambda u: e.t < u) AS cooling, list_contains(s.active, e.item) AS has, len(s.active) + len(list_filter(s.cooling, lambda u: e.t < u)) AS n
+    FROM s JOIN e ON e.user_id = s.user_id AND e.k = s.k + 1))
+SELECT user_id, array_to_string(list_sort(active), ',') AS active, refused AS n_refused, len(cooling)::int AS n_cooling, list_min(cooling) AS next_opens FROM s QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY k DESC) = 1""",
+    "nested_report": """SELECT l_orderkey, to_json({n_ok: count(*) FILTER (l_quantity >= 10), n_warn: count(*) FILTER (l_quantity < 10),
+segments: list({l_linenumber: l_linenumber, l_returnflag: l_returnflag, l_quantity: l_quantity} ORDER BY l_linenumber, l_returnflag, l_quantity)})::varchar AS report FROM lineitem GROUP BY 1""",
+    "guided_chunks": """WITH RECURSIVE e AS (SELECT user_id, ts::date AS day, event_type <> 'error' AS ok, row_number() OVER (PARTITION BY user_id, ts::date ORDER BY event_id) AS k FROM events WHERE length(trim(props)) >= 3),
+s AS (SELECT user_id, day, 0::bigint AS k, 'echo' AS stage, 0 AS run, 0 AS fails, false AS back, 0 AS n FROM (SELECT DISTINCT user_id, day FROM e)
+UNION ALL SELECT user_id, day, k, CASE WHEN stage = 'done' THEN 'done' WHEN stage = 'echo' AND ok THEN 'recall' WHEN stage = 'recall' AND ok THEN 'blind' WHEN stage = 'blind' AND ok AND run2 >= 2 THEN 'done'
+  WHEN stage = 'blind' AND NOT ok AND fails2 >= 3 THEN 'recall' ELSE stage END, run2, fails2, back OR (stage = 'blind' AND NOT ok AND fails2 >= 3), n + CASE WHEN stage = 'done' THEN 0 ELSE 1 END FROM (
+    SELECT s.user_id, s.day, e.k, s.stage, e.ok, s.back, s.n, CASE WHEN s.stage <> 'blind' THEN s.run WHEN e.ok THEN s.run + 1 ELSE 0 END AS run2, s.fails + CASE WHEN s.stage = 'blind' AND NOT e.ok THEN 1 ELSE 0 END AS fails2
+    FROM s JOIN e ON e.user_id = s.user_id AND e.day = s.day AND e.k = s.k + 1))
+SELECT user_id, day, stage, n AS n_attempts, fails AS n_blind_fails, back AS fell_back, CASE WHEN stage = 'done' THEN CASE WHEN back OR fails >= 3 THEN 2 WHEN fails > 0 THEN 4 ELSE 5 END END AS quality
+FROM s QUALIFY row_number() OVER (PARTITION BY user_id, day ORDER BY k DESC) = 1""",
+}
 SQL = {k: v.replace("RECURSIVE_SM2", "sm2_steps") for k, v in SQL.items()}
