@@ -126,6 +126,8 @@ def write_store(docs: DataFrame, vocabulary: str, end_id: int, path: str | None
             with fs.open_output_stream(state["tmp"] + ".idx") as f:
                 f.write(pack_index(width, keys_of(ids, null, np.array(state["nth"])), starts, counts))
             for kind in (".bin", ".idx"):
+                if fs.get_file_info(name + kind).is_file:  # of an earlier attempt at this task
+                    fs.delete_file(name + kind)
                 fs.move(state["tmp"] + kind, name + kind)
             row = [[state["shard"]], [len(counts)], [int(counts.sum())]]
             return [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, (pa.int32(), pa.int64(), pa.int64()), strict=True)], MANIFEST.names)]
