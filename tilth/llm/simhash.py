@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tilth.llm.common import bounded_batches, connected_components, materialize, shuffle_width
+from tilth.llm.common import bounded_batches, connected_components, materialize, shuffle_width, splittable
 
 HOT_SHARD = 512
 
@@ -142,7 +142,7 @@ def link(prints: DataFrame, radius: int = 2) -> DataFrame:
     masks = _masks(list(range(64)), radius + 3, radius)
     shards = F.array(*[F.struct(F.lit(i).alias("cut"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for i, m in enumerate(masks)])
     dealt = first.where("first is not null").select("fp", "first", F.explode(shards).alias("s")).select("fp", "first", "s.cut", "s.key")
-    sizes = dealt.groupBy("cut", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    sizes = splittable(dealt.groupBy("cut", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "key")
     met = dealt.join(sizes, ["cut", "key"])
     finer = F.lit(None)
     for i, m in enumerate(masks):
