@@ -57,3 +57,10 @@ def reciter_of(path: Column) -> Column:
 def join_path(root: Column, relative: Column) -> Column:
     """root/relative; null if the relative part is null or empty."""
     return F.when(F.coalesce(F.length(relative), F.lit(0)) > 0, F.concat_ws("/", F.rtrim(root, F.lit("/")), relative))
+
+
+def votes(files, column: str):
+    """Rows (pattern, hits) of the naming convention that most paths follow, the earlier one on ties; no row if none does."""
+    counts = files.agg(*[F.count_if(key_by_pattern(F.col(column), p).isNotNull()).alias(n) for n, p in CONVENTIONS])
+    every = F.array(*[F.struct(F.col(n).alias("hits"), F.lit(-i).alias("order"), F.lit(n).alias("pattern")) for i, (n, _) in enumerate(CONVENTIONS)])
+    return counts.select(F.array_max(every).alias("v")).select("v.pattern", "v.hits").where("hits > 0")

@@ -113,3 +113,27 @@ def escape_like(text: Column) -> Column:
 def first_words_length(text: Column, n: int) -> Column:
     """Characters that the first ``n`` words cover, white space before and between included."""
     return F.length(F.regexp_extract(text, r"^((?:\s*\S+){0,%d})" % n, 1))
+
+
+def letter_positions(text: Column) -> Column:
+    """Places of the characters that are letters: not white space, not a mark by category, not gone when normalised."""
+    chars = F.split(text, "")
+    at = F.transform(chars, lambda c, i: F.when((c != "") & ~c.rlike(r"[\s\p{M}]") & (F.length(F.regexp_replace(c, MARKS, "")) > 0), i))
+    return F.filter(at, lambda i: i.isNotNull())
+
+
+def uniform_spans(text: Column, duration: Column) -> Column:
+    """Spans per character when a duration is shared evenly by the letters; null for other characters."""
+
+    def spread(places: Column) -> Column:
+        n = F.size(places)
+        step = duration / n
+        nth = lambda i: F.array_position(places, i) - 1
+        return F.transform(F.split(text, ""), lambda c, i: F.when(F.array_contains(places, i), F.struct((nth(i) * step).alias("t0"), ((nth(i) + 1) * step).alias("t1"))))
+
+    return let(letter_positions(text), spread)
+
+
+def scatter_spans(text: Column, spans: Column) -> Column:
+    """Spans per character from spans per letter, in order; characters that aren't letters get null."""
+    return let(letter_positions(text), lambda places: F.transform(F.split(text, ""), lambda c, i: F.when(F.array_contains(places, i), F.get(spans, (F.array_position(places, i) - 1).cast("int")))))

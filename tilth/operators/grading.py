@@ -133,3 +133,15 @@ def rebased(items: DataFrame, verse_spans: DataFrame, keys: list[str]) -> DataFr
 
     found = intervals.point_join(items, verse_spans, ["clip"], "start", ("v0", "v1"), "ayah", keys)
     return found.withColumns({"start": F.col("start") - F.coalesce("v0", F.lit(0)), "end": F.col("end") - F.coalesce("v0", F.lit(0))}).drop("v0", "v1")
+
+
+def batch_inputs(files: DataFrame, verses: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A folder's recordings by the verse in their names -> (files with surah, ayah and text, skipped files with a reason)."""
+    from tilth.functions import keys
+
+    named = files.withColumn("_key", keys.key_of_recording(F.col("path")))
+    part = F.split("_key", ":")
+    known = named.where("_key is not null").select(*files.columns, F.get(part, F.lit(0)).cast("int").alias("surah"), F.get(part, F.lit(1)).cast("int").alias("ayah"))
+    good = known.join(verses, ["surah", "ayah"])
+    lost = known.join(verses, ["surah", "ayah"], "left_anti").select(*files.columns, F.lit("no such verse").alias("reason"))
+    return good, named.where("_key is null").select(*files.columns, F.lit("no verse in the name").alias("reason")).unionByName(lost)

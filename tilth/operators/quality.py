@@ -79,3 +79,13 @@ def worklist(problems: list[DataFrame]) -> DataFrame:
     for p in problems[1:]:
         out = out.unionByName(p)
     return out
+
+
+def client_errors(rows: DataFrame, session: str, order: list[str], message: str, stack: str, context: str, most: int = 5) -> DataFrame:
+    """Reported errors per session: the first of each message by its first 200 characters, at most ``most``, long fields cut."""
+    first = rows.withColumn("_head", F.left(F.col(message), F.lit(200)))
+    names = [*order, *[c for c in rows.columns if c not in order and c != session]]
+    kept = first.groupBy(session, "_head").agg(F.min(F.struct(*names)).alias("_r")).select(session, "_r.*")
+    w = Window.partitionBy(session).orderBy(*order)
+    cut = {message: F.left(message, F.lit(2000)), stack: F.left(stack, F.lit(8000)), context: F.left(context, F.lit(300))}
+    return kept.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= most).drop("_rn").withColumns(cut).select(rows.columns)

@@ -87,3 +87,26 @@ def replay(spark: SparkSession, infile: str, residual: str, target: str, schemas
 def write_worklist(problems: DataFrame, path: str) -> None:
     """Tab-separated repair list."""
     problems.write.mode("overwrite").csv(path, sep="\t", header=True)
+
+
+def index_documents(files: DataFrame, total: int = 6236) -> DataFrame:
+    """One row per reciter for a JSON sink: reciter, count, missing_count, map of ``s:a`` to path in key order."""
+    key = F.concat_ws(":", F.col("surah").cast("string"), F.col("ayah").cast("string"))
+    entries = F.array_sort(F.collect_list(F.struct("surah", "ayah", key.alias("key"), "audio_path")))
+    grouped = files.dropDuplicates(["reciter", "surah", "ayah"]).groupBy("reciter").agg(entries.alias("e"))
+    n = F.size("e")
+    return grouped.select("reciter", n.alias("count"), (F.lit(total) - n).alias("missing_count"), F.map_from_entries(F.transform("e", lambda x: F.struct(x["key"], x["audio_path"]))).alias("map"))
+
+
+def flag(audio: DataFrame, bad: DataFrame, keys: list[str]) -> DataFrame:
+    """Audio rows with ``verified`` false and the reason where ``bad`` (keys, reason) names them, else as they were."""
+    marks = bad.select(*keys, F.col("reason").alias("_reason")).dropDuplicates(keys)
+    j = audio.join(marks, keys, "left")
+    hit = F.col("_reason").isNotNull()
+    return j.withColumns({"verified": F.when(hit, F.lit(False)).otherwise(F.col("verified")), "flag_reason": F.when(hit, F.col("_reason")).otherwise(F.col("flag_reason"))}).select(audio.columns)
+
+
+def reset_flags(audio: DataFrame) -> DataFrame:
+    """All flagged rows usable again."""
+    off = F.col("verified").eqNullSafe(False)
+    return audio.withColumns({"verified": F.when(off, F.lit(True)).otherwise(F.col("verified")), "flag_reason": F.when(off, F.lit(None).cast("string")).otherwise(F.col("flag_reason"))})
