@@ -394,3 +394,12 @@ def test_embedding_join(spark, cell_rows):
         assert got[i]["n_links"] == sum(near(v, w) for j, w in enumerate(vectors) if j != i), i
         assert got[i]["component_id"] == want[i] and got[i]["kept"] == (want[i] == i)
     assert embedding_join.near_duplicates(df.limit(0), 0.9).count() == 0
+
+
+def test_word_encoder_on_marks_and_apostrophes():
+    import itertools
+
+    encoder = word_tokens.WordEncoder(WORDS)
+    pieces = ["ab", "é", "ª", "'", "'s", "'ll", "...", "_", "9", "<", "|", "~", "ß", "²", "–"]
+    texts = ["".join(p) for n in (1, 2, 3) for p in itertools.product(pieces, repeat=n)]
+    assert encoder.encode(texts) == encoder.library(texts)

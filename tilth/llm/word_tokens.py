@@ -18,6 +18,9 @@ PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: white space, which the vocabulary's pattern does not.
 WIDE, CONTROL = re.compile("[^\x00-\xff]"), re.compile("[\x1c-\x1f]")
 
+#: ASCII marks but the apostrophe, which may begin a pre-token of letters.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
 _encoders: dict[str, "WordEncoder"] = {}
 
 
@@ -28,12 +31,15 @@ class WordEncoder:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import numpy as np
         import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.pieces = regex.compile(PIECES).findall
-        self.ends = {i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.chunks: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
 
@@ -47,11 +53,10 @@ class WordEncoder:
         import numpy as np
 
         found: dict[str, bytes] = {}
-        lasts = np.array(sorted(self.ends))
         for at in range(0, len(words), 1000):
             some = words[at : at + 1000]
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
-            stops = np.flatnonzero(np.isin(ids, lasts)) + 1
+            stops = np.flatnonzero(self.ends[ids]) + 1
             if len(stops) == len(some) and (not len(ids) or stops[-1] == len(ids)):
                 raw, begin = ids.tobytes(), 0
                 for word, stop in zip(some, (stops * 4).tolist(), strict=True):
@@ -64,8 +69,12 @@ class WordEncoder:
     def _new_chunks(self, chunks: list[str]) -> dict[str, bytes]:
         simple, split, found = [], [], {}
         for c in chunks:
-            if WIDE.search(c) or "<|" in c:
+            if "<|" in c or not c.isascii() and WIDE.search(c):
                 split.append(c)
+                continue
+            word = c.rstrip(MARKS)
+            if word.isalpha():  # letters, then at most one run of marks: no need for the pattern
+                simple.append((c, (c,) if len(word) == len(c) else (word, c[len(word) :])))
             else:
                 simple.append((c, self.pieces(c)))
         if split:
