@@ -182,6 +182,10 @@ SELECT o_orderkey, lpad(s::varchar, 3, '0') || lpad(a::varchar, 3, '0') AS padde
 greatest(1, floor(o_custkey * 7 + 0.5)::bigint) AS hours, CASE WHEN ceil(o_custkey * 7 / 24) <= 0 THEN 'due now' ELSE ceil(o_custkey * 7 / 24)::bigint || 'd' END AS due, substr('SMTWTFS', dayofweek(o_orderdate)::int + 1, 1) AS weekday FROM o""",
     "name_search": """SELECT c_custkey, c_name, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey = 42 OR lower(c_name) LIKE '%0077%' OR lower(translate(n_name, 'Éé', 'Ee')) LIKE '%ni%' ORDER BY c_custkey LIMIT 6""",
     "text_search": r"SELECT doc_id, lang FROM documents WHERE text ILIKE '%the\_ab%' ESCAPE '\' OR text ILIKE '%thing%' ORDER BY doc_id LIMIT 50",
+    "hidden_energy": """WITH s AS (SELECT vec_id, unnest(range(len(embedding))) AS n, unnest(embedding)::double AS x, len(embedding) AS size FROM embeddings),
+w AS (SELECT vec_id, n, size, x * (0.5 - 0.5 * cos(2 * pi() * n / (size - 1))) AS x FROM s WHERE size >= 32),
+m AS (SELECT vec_id, k, any_value(size) AS size, sqrt(pow(sum(x * cos(2 * pi() * k * n / size)), 2) + pow(sum(x * sin(2 * pi() * k * n / size)), 2)) AS m FROM w, range(1000) t(k) WHERE k <= size // 2 GROUP BY 1, 2)
+SELECT vec_id, round(coalesce(sum(m) FILTER (k * 16000.0 / size < 1000), 0) / sum(m), 9) AS low_share FROM m GROUP BY 1""",
     "jump_intents": r"""WITH q AS (SELECT page_id, CASE page_id % 3 WHEN 0 THEN (page_id % 114 + 1) || ':' || (page_id % 7 + 1) WHEN 1 THEN 'juz ' || (page_id % 30 + 1) ELSE 'Page ' || page_id END AS q FROM pages)
 SELECT page_id, q AS query, CASE page_id % 3 WHEN 0 THEN 'verse' WHEN 1 THEN 'juz' ELSE 'page' END AS kind, try_cast(regexp_extract(q, '(\d+)', 1) AS int) AS first FROM q""",
 }
