@@ -54,14 +54,6 @@ def medians(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
     return found.select(*keys, "n", ((F.col("_lo") + F.col("_hi")) / 2).alias(name))
 
 
-def median_and_mad(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """keys, n, median and unscaled MAD (0 becomes 1e-9) per group."""
-    mid = medians(df, keys, value, "median")
-    away = df.join(mid.select(*keys, "median"), keys).withColumn("_d", F.abs(F.col(value) - F.col("median")))
-    mad = medians(away, keys, "_d", "mad").select(*keys, "mad")
-    return mid.join(mad, keys).withColumn("mad", F.when(F.col("mad") == 0, 1e-9).otherwise(F.col("mad")))
-
-
 def calibration_bands(samples: DataFrame, rule: str, value: str, k: float = 3.0, one_sided: tuple[str, ...] = (), floors: dict[str, float] | None = None, default_floor: float = 3.0, least: int = 5) -> DataFrame:
     """Band per rule from reference measurements.
 
@@ -72,9 +64,12 @@ def calibration_bands(samples: DataFrame, rule: str, value: str, k: float = 3.0,
     floor = F.coalesce(*[F.when(F.col(rule) == r, F.lit(f)) for r, f in (floors or {}).items()], F.lit(default_floor))
     is_one = F.col(rule).isin(*one_sided) if one_sided else F.lit(False)
     kept = samples.where(F.col(value).isNotNull() & (~is_one | (F.col(value) >= floor)))
-    centre = median_and_mad(kept, [rule], value)
-    spots = order_statistics(kept, [rule], value, {p: nearest_rank(q) for p, q in (("p05", 0.05), ("p10", 0.10), ("p90", 0.90), ("p95", 0.95))}).drop("n")
-    band = centre.where(F.col("n") >= least).join(spots, rule)
+    wanted = {"_lo": F.floor((F.col("n") - 1) / 2), "_hi": F.floor(F.col("n") / 2)}
+    wanted |= {p: nearest_rank(q) for p, q in (("p05", 0.05), ("p10", 0.10), ("p90", 0.90), ("p95", 0.95))}
+    spots = order_statistics(kept, [rule], value, wanted).withColumn("median", (F.col("_lo") + F.col("_hi")) / 2)
+    away = kept.join(spots.select(rule, "median"), rule).withColumn("_d", F.abs(F.col(value) - F.col("median")))
+    mad = medians(away, [rule], "_d", "mad").select(rule, F.when(F.col("mad") == 0, 1e-9).otherwise(F.col("mad")).alias("mad"))
+    band = spots.where(F.col("n") >= least).join(mad, rule)
     return band.select(
         rule, "n", "median", "mad",
         F.when(is_one, F.col("p05")).otherwise(F.greatest(F.lit(0.0), F.col("median") - k * F.col("mad"))).alias("lo"),
