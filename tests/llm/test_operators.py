@@ -403,3 +403,16 @@ def test_word_encoder_on_marks_and_apostrophes():
     pieces = ["ab", "é", "ª", "'", "'s", "'ll", "...", "_", "9", "<", "|", "~", "ß", "²", "–"]
     texts = ["".join(p) for n in (1, 2, 3) for p in itertools.product(pieces, repeat=n)]
     assert encoder.encode(texts) == encoder.library(texts)
+
+
+@pytest.mark.parametrize("n", [0, 1, 5, 256, 257, 640, 1000])
+def test_ranges_of_keys(spark, n):
+    from bisect import bisect_right
+
+    from tilth.llm.common import range_of
+
+    cuts = [10 * i + 3 for i in range(n)]
+    keys = sorted({-5, 3, 2, *[10 * i + d for i in range(0, n + 2, 7) for d in (2, 3, 4)]})
+    df = spark.createDataFrame([(k,) for k in keys] + [(None,)], "k long")
+    got = {r["k"]: r["p"] for r in df.select("k", range_of("k", cuts).alias("p")).collect()}
+    assert got == {k: bisect_right(cuts, k) for k in keys} | {None: 0}

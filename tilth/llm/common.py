@@ -59,20 +59,23 @@ def key_ranges(df: DataFrame, key: str, bytes_col: str, part_bytes: int) -> list
 
 
 def range_of(key: str, cuts: list[int]):
-    """Column: index of the range that ``key`` falls in, given sorted split points."""
-    if not cuts:
-        return F.lit(0)
+    """Column: index of the range that ``key`` falls in, given sorted split points; 0 for null.
 
-    def pick(lo: int, hi: int):
+    A binary search spelled out over every 64th split point, then a count among the 64 after it.
+    """
+
+    def pick(marks: list[int], lo: int, hi: int):
         if lo == hi:
             return F.lit(lo)
         mid = (lo + hi) // 2
-        return F.when(F.col(key) < F.lit(cuts[mid]), pick(lo, mid)).otherwise(pick(mid + 1, hi))
+        return F.when(F.col(key) < F.lit(marks[mid]), pick(marks, lo, mid)).otherwise(pick(marks, mid + 1, hi))
 
     if len(cuts) <= 256:
-        return F.when(F.col(key).isNull(), F.lit(0)).otherwise(pick(0, len(cuts)))
-    array = F.array(*[F.lit(c) for c in cuts])
-    return F.when(F.col(key).isNull(), F.lit(0)).otherwise(F.size(F.filter(array, lambda c: c <= F.col(key))))
+        return F.when(F.col(key).isNull(), F.lit(0)).otherwise(pick(cuts, 0, len(cuts)))
+    coarse, block = cuts[63::64], F.array(*[F.lit(c) for c in cuts])
+    first = pick(coarse, 0, len(coarse)) * 64
+    near = F.size(F.filter(F.slice(block, first + 1, F.lit(64)), lambda c: c <= F.col(key)))
+    return F.when(F.col(key).isNull(), F.lit(0)).otherwise(first + near)
 
 
 def splittable(df: DataFrame, key: str) -> DataFrame:
