@@ -416,3 +416,46 @@ def test_ranges_of_keys(spark, n):
     df = spark.createDataFrame([(k,) for k in keys] + [(None,)], "k long")
     got = {r["k"]: r["p"] for r in df.select("k", range_of("k", cuts).alias("p")).collect()}
     assert got == {k: bisect_right(cuts, k) for k in keys} | {None: 0}
+
+
+def shingles_of(text, width=5):
+    words = (text or "").lower().split()
+    return {tuple(words[i : i + width]) for i in range(len(words) - width + 1)} or ({tuple(words)} if words else set())
+
+
+def linked_by_all_pairs(texts):
+    """The least index that each text reaches over pairs of Jaccard similarity 0.8 and more, by comparing all."""
+    sets = [shingles_of(t) for t in texts]
+    least = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            common = len(a & sets[j])
+            if 9 * common >= 4 * (len(a) + len(sets[j])) and least[i] != least[j]:
+                low, high = sorted((least[i], least[j]))
+                least = [low if x == high else x for x in least]
+    return least
+
+
+def planted(seed, n=60, words=150):
+    """Texts on one large template (0.3 to 0.9 of it), each with a partner at about 0.75 to 0.85, and repeated lines."""
+    rng = np.random.default_rng(seed)
+    fresh = lambda k: [f"w{x}" for x in rng.integers(0, 10**9, k)]
+    template, texts = fresh(words), []
+    for i in range(n):
+        share = int(words * (0.3, 0.6, 0.85, 0.9)[i % 4])
+        own = [*template[:share], *fresh(words - share)]
+        at = int(rng.integers(0, 12))
+        texts += [" ".join(own), " ".join([*own[: words - 12 - at], *fresh(12 + at)])]
+    line = fresh(6) * 200
+    return [*texts, " ".join([*line, *fresh(40)]), " ".join([*line, *fresh(40)]), "", None, "one two", "One TWO"]
+
+
+@pytest.mark.parametrize("chunk", [4096, 7])
+def test_similar_is_all_pairs_from_four_fifths(spark, monkeypatch, chunk):
+    monkeypatch.setattr(simhash, "CHUNK", chunk)
+    texts = planted(5)
+    least = linked_by_all_pairs(texts)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar(docs_of(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == least
+    assert sorted(r["doc_id"] for r in simhash.keep_first(docs_of(spark, texts)).collect()) == sorted(set(least))
+    assert 20 < len(set(least)) < len(texts) - 20

@@ -190,132 +190,310 @@ def near_duplicates(docs: DataFrame, radius: int = 2, width: int = 3, seed: int
 
 
 # ---- similarity of 0.8 and more -----------------------------------------------------------------
-WIDE_BITS = 512
+#: Texts are near-duplicates from a Jaccard similarity of 4 / 5 of their distinct shingles.
+TOKEN_BYTES = 5
+SKETCH_WORDS = 8
 CHUNK = 4096
+SAMPLE, COMMON = 10_000, 200_000
 
 
-def wide_fingerprint(text: str | None, width: int = 5) -> bytes:
-    """512-bit fingerprint of a whole text over ``width``-word shingles; zeros for one without words."""
+def shingle_set(text: str | None, width: int = 5) -> np.ndarray:
+    """Sorted distinct 40-bit hashes of a whole text's ``width``-word shingles; none for one without words."""
     import xxhash
 
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z and ASCII white space only
     if not words:
-        return bytes(WIDE_BITS // 8)
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
-    digest = xxhash.xxh3_128_digest
+    digest = xxhash.xxh3_64_intdigest
     if len(words) <= width:
-        raw = digest(joined)
+        found = [digest(joined)]
     else:
         ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
         starts = np.concatenate([[0], ends[:-1] + 1])
-        raw = b"".join([digest(joined[a:b]) for a, b in zip(starts[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist(), strict=True)])
-    two = np.frombuffer(raw, "<u8").reshape(-1, 2)
-    parts = [two]
-    with np.errstate(over="ignore"):  # more words per hash, each mixed from the ones before
-        for _ in range(WIDE_BITS // 128 - 1):
-            more = (parts[-1] ^ (parts[-1] >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-            more = (more ^ (more >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-            parts.append(more ^ (more >> np.uint64(32)))
-    every = np.concatenate(parts, axis=1)
-    counts = np.zeros(WIDE_BITS, np.int64)
-    for at in range(0, len(every), 1 << 13):
-        block = np.ascontiguousarray(every[at : at + (1 << 13)])
-        counts += np.unpackbits(block.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * counts > len(every), bitorder="little").tobytes()
-
-
-class Grove:
-    """BK-trees by connected component: a value is sought in each only until one link is found."""
-
-    def __init__(self, radius: int):
-        self.radius = radius
-        self.parts: list[list[BkTree]] = []
-        self.names: list[int] = []
-
-    def merge(self, value: int, name: int) -> list[tuple[int, int]]:
-        """Insert a value and join all components it links; -> the new forest edges."""
-        hit = [i for i, trees in enumerate(self.parts) if any(t.touches(value, self.radius) for t in trees)]
-        if not hit:
-            tree = BkTree()
-            tree.add(value)
-            self.parts.append([tree])
-            self.names.append(name)
-            return []
-        into, edges = hit[0], [(name, self.names[i]) for i in hit]
-        self.parts[into][0].add(value)
-        for i in reversed(hit[1:]):
-            self.parts[into] += self.parts.pop(i)
-            self.names.pop(i)
-        return edges
+        found = [digest(joined[a:b]) for a, b in zip(starts[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist(), strict=True)]
+    return np.unique(np.array(found, np.uint64) & np.uint64((1 << 8 * TOKEN_BYTES) - 1))
+
+
+def _packed(tokens: np.ndarray) -> bytes:
+    return tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :TOKEN_BYTES].tobytes()
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    wide = np.zeros((len(raw) // TOKEN_BYTES, 8), np.uint8)
+    wide[:, :TOKEN_BYTES] = np.frombuffer(raw, np.uint8).reshape(-1, TOKEN_BYTES)
+    return wide.view("<u8").ravel()
+
+
+def sketch(tokens: np.ndarray) -> bytes:
+    """512 parities of the tokens: two sets differ in at least as many tokens as their sketches in bits."""
+    at = (tokens * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(55)
+    return np.packbits(np.bincount(at.astype(np.int64), minlength=64 * SKETCH_WORDS) & 1, bitorder="little").tobytes()
+
+
+def alike(a: bytes, b: bytes) -> bool:
+    """Whether the Jaccard similarity of two packed sets is 4 / 5 or more."""
+    x, y = _unpacked(a), _unpacked(b)
+    return 9 * len(np.intersect1d(x, y, assume_unique=True)) >= 4 * (len(x) + len(y))
+
+
+def _prefixes(sets: list[np.ndarray], common: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of each set the tokens first in order of (rank, token) that no set as similar can miss: tokens, places, of which set."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    tokens, of = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    ranks = np.zeros(len(tokens), np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, tokens), len(common) - 1)
+        ranks = np.where(common[at] == tokens, rank[at], 0)
+    order = np.lexsort((tokens, ranks, of))
+    place = np.arange(len(tokens)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    keep = place < np.repeat(sizes - (4 * sizes + 4) // 5 + 1, sizes)
+    return tokens[order][keep], place[keep], of[keep]
+
+
+def _could_be(n, at, m, to) -> np.ndarray:
+    """Whether sets of n and m tokens that share those at these places as their first can be similar."""
+    return 9 * np.minimum(n - at, m - to) >= 4 * (n + m)
+
+
+def _whole(batches, keys: int):
+    """The sorted rows in tables that end where a run of rows that agree in their first ``keys`` columns ends, and where each run starts."""
+    import pyarrow as pa
+
+    def starts(table):
+        new = np.zeros(table.num_rows - 1, bool)
+        for i in range(keys):
+            c = table.column(i).to_numpy()
+            new |= c[1:] != c[:-1]
+        return np.concatenate([[0], np.flatnonzero(new) + 1])
+
+    pending = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        table = pa.Table.from_batches([batch])
+        if pending and all(pending[-1].column(i)[-1] == table.column(i)[-1] for i in range(keys)):
+            pending.append(table)  # the run goes on over all of it
+            continue
+        table = pa.concat_tables([*pending, table]).combine_chunks()
+        marks = starts(table)
+        if marks[-1]:
+            yield table.slice(0, marks[-1]), marks[:-1]
+        pending = [table.slice(marks[-1])]
+    if pending:
+        table = pa.concat_tables(pending).combine_chunks()
+        yield table, starts(table)
+
+
+def _batches_of(table, rows: int = 1 << 16):
+    return table.combine_chunks().to_batches(max_chunksize=rows)
+
+
+def _shared(batches):
+    """Lists of a token (n, node, place; by n) with two and more nodes: each row once, the list's size, its first node and the one before if they can be similar."""
+    import pyarrow as pa
+
+    for table, marks in _whole(batches, 1):
+        token, n, node, at = (table.column(i).to_numpy() for i in range(4))
+        new = np.ones(len(node), bool)  # copies in other tasks stand next to each other
+        new[1:] = (node[1:] != node[:-1]) | (token[1:] != token[:-1])
+        sizes = np.add.reduceat(new.astype(np.int64), marks)
+        keep = new & (np.repeat(sizes, np.diff([*marks, len(node)])) > 1)
+        token, n, node, at, sizes = token[keep], n[keep], node[keep], at[keep], sizes[sizes > 1]
+        head = np.repeat(np.cumsum(sizes) - sizes, sizes)
+        here = np.arange(len(node))
+        before = np.maximum(here - 1, head)
+        of_head = (here > head) & _could_be(n[head], at[head], n, at)
+        of_before = (before > head) & _could_be(n[before], at[before], n, at)
+        cols = [pa.array(token), pa.array(n), pa.array(node), pa.array(at), pa.array(np.repeat(sizes, sizes))]
+        cols += [pa.array(node[head], mask=~of_head), pa.array(node[before], mask=~of_before)]
+        yield from _batches_of(pa.table(cols, ["token", "n", "node", "at", "size", "head", "before"]))
+
+
+def _pairs(a: np.ndarray, b: np.ndarray):
+    import pyarrow as pa
+
+    low, high = np.minimum(a, b), np.maximum(a, b)
+    return pa.RecordBatch.from_arrays([pa.array(low), pa.array(high)], ["a", "b"])
+
+
+def _other_pairs(batches):
+    """From each cell (token, i, j; block, n, node, place, component, sketch) all pairs of components apart that can be similar."""
+    for table, lo, hi in ((t, a, b) for t, marks in _whole(batches, 3) for a, b in zip(marks.tolist(), [*marks[1:].tolist(), t.num_rows], strict=True)):
+        low, high = (int(table.column(i)[lo].as_py()) for i in (1, 2))
+        block, n, node, at, part = (table.column(i).to_numpy()[lo:hi] for i in (3, 4, 5, 6, 7))
+        bits = np.frombuffer(b"".join(table.column(8).slice(lo, hi - lo).to_pylist()), "<u8").reshape(-1, SKETCH_WORDS)
+        _, of, count = np.unique(part, return_inverse=True, return_counts=True)
+        order = np.lexsort((of, count[of]))  # the largest component last: its members need not look for others
+        block, n, node, at, of, bits = block[order], n[order], node[order], at[order], of[order], bits[order]
+        ends = np.cumsum(np.sort(count))
+        after = ends[np.searchsorted(ends, np.arange(len(n)), side="right")]
+        a, b, held = [], [], 0
+        for i in range(len(n)):
+            s = slice(after[i], None)
+            if after[i] == len(n):
+                break
+            ok = _could_be(n[i], at[i], n[s], at[s])
+            if low != high:
+                ok &= block[s] != block[i]
+            j = np.flatnonzero(ok) + after[i]
+            apart = np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1, dtype=np.int64)
+            j = j[9 * apart <= n[i] + n[j]]
+            if len(j):
+                a.append(np.full(len(j), node[i]))
+                b.append(node[j])
+                held += len(j)
+            if held > 1 << 16:
+                yield _pairs(np.concatenate(a), np.concatenate(b))
+                a, b, held = [], [], 0
+        if held:
+            yield _pairs(np.concatenate(a), np.concatenate(b))
+
+
+def _sketched(pairs: DataFrame, marks: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) that the sketches leave."""
+
+    def check(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            if len(batch):
+                x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u8").reshape(-1, SKETCH_WORDS) for i in (3, 5))
+                apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+                ok = 9 * apart <= batch.column(2).to_numpy().astype(np.int64) + batch.column(4).to_numpy()
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok))
 
+    one = marks.select(F.col("node").alias("a"), F.col("n").alias("n"), F.col("sketch").alias("x"))
+    two = marks.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("sketch").alias("y"))
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "n", "x", "m", "y").mapInArrow(check, "a long, b long")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) whose whole sets are similar."""
+
+    def check(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            ok = [alike(x, y) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-def similar(docs: DataFrame, width: int = 5, radius: int = 80, tables: int = 32) -> DataFrame:
+    wanted = materialize(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "compared")
+    few = wanted.count() <= 500_000  # 4 MB
+    whole = materialize(sets.join(F.broadcast(wanted) if few else wanted, "node", "left_semi").select("node", "tokens").dropDuplicates(["node"]), "compared-sets")
+    one = whole.select(F.col("node").alias("a"), F.col("tokens").alias("x"))
+    two = whole.select(F.col("node").alias("b"), F.col("tokens").alias("y"))
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
+
+
+def similar(docs: DataFrame, width: int = 5) -> DataFrame:
     """``docs`` (doc_id, text, ...) -> doc_id, component_id: documents linked by similar word shingles.
 
-    512-bit fingerprints at most ``radius`` bits apart link: 80 bits stand for a Jaccard similarity
-    of 0.79, give or take the estimate's spread of 0.03. They
-    meet in the shards of ``tables`` pseudo-random choices of as many bits as it takes to number
-    the fingerprints, so a pair of similarity 0.9 shares some shard with a probability of over 0.99,
-    one of 0.8 of about 0.83 by itself and more through its group. A shard's trees are grown per
-    component, so a group of copies costs one comparison each; shards of over 4,096 members are cut
-    by a hash that differs between tables. A null text is empty.
+    Documents whose sets of distinct shingles have a Jaccard similarity of 0.8 or more are linked,
+    all of them and no others. In any order of all shingles, similar sets of n and m share one of the
+    first n - ceil(0.8 n) + 1 and m - ceil(0.8 m) + 1, so pairs are sought in the lists of those only;
+    shingles common in a sample come last in the order. Of each list the pairs with its first member and
+    of neighbours are compared at first. Then lists that hold more than one component give all other
+    pairs between components that neither sizes, places nor sketches rule out; lists of over ``CHUNK``
+    members do so in cells of two blocks each. A null text is empty. Equal sets are one node.
     """
+    return _components(_prints(docs, width)).select("doc_id", "component_id")
+
+
+def _prints(docs: DataFrame, width: int) -> DataFrame:
+    """doc_id, node (a hash of the set), n, tokens and sketch (only in a task's first row of the node), a row per row."""
     bounded_batches(docs.sparkSession)
-    spark = docs.sparkSession
 
     def run(batches):
         import pyarrow as pa
+        import xxhash
 
+        seen = set()
         for batch in batches:
-            found = [wide_fingerprint(t, width) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["doc_id", "fp"])
-
-    prints = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp binary"), "wide-prints")
-    first = materialize(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("first")), "wide-distinct")
-    bits = max(12, (first.count() - 1).bit_length())
-    dice = np.random.default_rng(42)
-    picks = [np.sort(dice.choice(WIDE_BITS, bits, replace=False)) for _ in range(tables)]
-
-    def deal(batches):
+            nodes, sizes, raws, bits = [], [], [], []
+            for text in batch.column(1).to_pylist():
+                tokens = shingle_set(text, width)
+                raw = _packed(tokens)
+                node = xxhash.xxh3_64_intdigest(raw, 7)
+                nodes.append(node)
+                sizes.append(len(tokens))
+                raws.append(None if node in seen else raw)
+                bits.append(None if node in seen else sketch(tokens))
+                seen.add(node)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(raws, pa.binary()), pa.array(bits, pa.binary())], ["doc_id", "node", "n", "tokens", "sketch"])
+
+    cols = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return materialize(cols.mapInArrow(run, "doc_id long, node long, n int, tokens binary, sketch binary"), "shingle-sets")
+
+
+def _common(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens found three times and more in a sample of the sets, sorted, and how often. Their choice bears on speed only."""
+    every = max(1, -(-sets.count() // SAMPLE))
+
+    def spell(batches):
         import pyarrow as pa
 
         for batch in batches:
-            n = len(batch)
-            unpacked = np.unpackbits(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(n, -1), axis=1, bitorder="little")
-            for t, pick in enumerate(picks):
-                key = unpacked[:, pick].astype(np.int64) @ (np.int64(1) << np.arange(bits, dtype=np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, t, np.int32)), pa.array(key), batch.column(0), batch.column(1)], ["cut", "key", "fp", "first"])
-
-    dealt = first.select("fp", "first").mapInArrow(deal, "cut int, key long, fp binary, first long")
-    hot = materialize(dealt.groupBy("cut", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CHUNK), "hot-shards")
-    few = hot.count() <= 20_000  # a broadcast of that many rows is under 1 MB
-    part = F.when(F.col("n").isNull(), 0).otherwise(F.pmod(F.xxhash64("first", "cut"), F.ceil(F.col("n") / CHUNK))).cast("int")
-    cut = dealt.join(F.broadcast(hot) if few else hot, ["cut", "key"], "left").select("cut", "key", part.alias("part"), "first", "fp")
+            for raw in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(_unpacked(raw).astype(np.int64))], ["token"])
 
-    def grow(batches):
-        import pyarrow as pa
+    counts = sets.where(F.pmod("node", F.lit(every)) == 0).select("tokens").mapInArrow(spell, "token long").groupBy("token").agg(F.count(F.lit(1)).alias("k"))
+    rows = counts.where("k > 2").orderBy(F.desc("k"), "token").limit(COMMON).toPandas().sort_values("token")
+    return rows["token"].to_numpy().astype(np.uint64), rows["k"].to_numpy().astype(np.int64)
 
-        shard, grove = None, None
-        for batch in batches:
-            edges = []
-            for *where, name, fp in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if where != shard:
-                    shard, grove = where, Grove(radius)
-                edges += grove.merge(int.from_bytes(fp, "little"), name)
-            if edges:
-                a, b = zip(*edges, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    edges = cut.repartition(shuffle_width(spark), "cut", "key", "part").sortWithinPartitions("cut", "key", "part", "first").mapInArrow(grow, "a long, b long")
-    parts = connected_components(materialize(edges.distinct(), "wide-links"), "wide-components").withColumnRenamed("node", "first")
-    of_print = first.join(parts, "first", "left").select("fp", F.coalesce("component", "first").alias("component_id"))
-    return prints.join(of_print, "fp", "left").select("doc_id", "component_id")
+def _components(prints: DataFrame) -> DataFrame:
+    """``prints`` with component_id: the smallest doc_id of the rows whose nodes reach each other by links."""
+    spark = prints.sparkSession
+    width = shuffle_width(spark)
+    sets = prints.where("tokens is not null").select("node", "n", "tokens")
+    common = spark.sparkContext.broadcast(_common(sets))
 
+    def index(batches):
+        import pyarrow as pa
 
-def keep_first(docs: DataFrame, width: int = 5, radius: int = 80, tables: int = 32) -> DataFrame:
+        order, rank = common.value
+        for batch in batches:
+            if len(batch):
+                token, place, of = _prefixes([_unpacked(raw) for raw in batch.column(2).to_pylist()], order, rank)
+                node, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+                yield pa.RecordBatch.from_arrays([pa.array(token.astype(np.int64)), pa.array(n[of]), pa.array(node[of]), pa.array(place.astype(np.int32))], ["token", "n", "node", "at"])
+
+    entry = "token long, n int, node long, at int"
+    dealt = sets.where("n > 0").mapInArrow(index, entry).repartition(width, "token").sortWithinPartitions("token", "n", "node")
+    lists = materialize(dealt.mapInArrow(_shared, f"{entry}, size long, head long, before long"), "shared-shingles")
+    marks = materialize(prints.where("sketch is not null").select("node", "n", "sketch").dropDuplicates(["node"]), "sketches")
+
+    def pairs_of(other: str) -> DataFrame:
+        return lists.where(f"{other} is not null").select(F.least("node", other).alias("a"), F.greatest("node", other).alias("b"))
+
+    near = materialize(_sketched(pairs_of("head").union(pairs_of("before")).distinct(), marks), "first-pairs")
+    links = materialize(_verified(near, sets), "first-links")
+    parts = connected_components(links, "first-components").select("node", F.col("component").alias("part"))
+
+    # lists of up to three have given all their pairs
+    long = materialize(lists.where("size > 3").select("token", "n", "node", "at", "size").join(parts, "node", "left").withColumn("part", F.coalesce("part", "node")), "long-lists")
+    open_ = splittable(long.groupBy("token").agg(F.min("part").alias("least"), F.max("part").alias("most")).where("least < most"), "token").select("token")
+    k = F.ceil(F.col("size") / CHUNK)
+    mine = F.pmod(F.xxhash64("node", F.lit(1)), k).cast("int")
+    cells = F.transform(F.sequence(F.lit(0).cast("long"), k - 1), lambda j: F.struct(F.least(j, F.col("block")).cast("int").alias("low"), F.greatest(j, F.col("block")).cast("int").alias("high")))
+    spread = (
+        long.join(open_, "token").join(marks.select("node", "sketch"), "node").withColumn("block", mine).withColumn("cell", F.explode(cells))
+        .select("token", "cell.low", "cell.high", "block", "n", "node", "at", "part", "sketch")
+        .repartition(width, "token", "low", "high").sortWithinPartitions("token", "low", "high")
+    )
+    rest = materialize(spread.mapInArrow(_other_pairs, "a long, b long").distinct(), "other-pairs")
+    more = materialize(_verified(rest, sets), "other-links")
+    whole = connected_components(links.union(more), "similar-components")
+    linked = prints.select("doc_id", "node").join(whole, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = splittable(linked.groupBy("component").agg(F.min("doc_id").alias("component_id")), "component")
+    return linked.join(least, "component").select("doc_id", "component_id")
+
+
+def keep_first(docs: DataFrame, width: int = 5) -> DataFrame:
     """One row of ``docs`` per group of similar documents, the one with the smallest doc_id.
 
     Repeated rows of that document go; so do rows with a null doc_id, which nothing can stand for.
     """
-    kept = similar(docs, width, radius, tables).where("component_id = doc_id").select("doc_id").distinct()
+    kept = similar(docs, width).where("component_id = doc_id").select("doc_id").distinct()
     return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
