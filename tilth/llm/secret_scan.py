@@ -1,6 +1,8 @@
 """Secrets in text: three fixed patterns, and other strings that pass for random.
 
-A long run of key characters outside the fixed patterns is a candidate. Its encoding (the smallest
+A long run of key characters, less what the fixed patterns take of it, is cut at equals signs that are
+not padding, and each value of some length is a candidate, as are its parts between separators where
+the whole doesn't pass. Its encoding (the smallest
 alphabet that holds it) is inferred, and three tests ask whether it looks drawn uniformly from it:
 chi-squared over groups of symbols, runs above and below the middle, and lag-one correlation. Against
 "this is ordinary text" stands an e-value, the likelihood under the uniform alphabet over that under
@@ -28,6 +30,9 @@ KINDS = ("assign", "access", "hex", "random")
 LONG_HEX = re.compile(r"[0-9a-f]{32,}")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 SPACE = re.compile(r"\S{20,}")
+LEAST = 20
+VALUE = re.compile(r"[A-Za-z0-9+/_-]+(?:=+\Z)?")  # what stands between equals signs; those at the end are padding
+SEPARATORS = (re.compile(r"[^+/]+"), re.compile(r"[^_-]+"), re.compile(r"[^+/_-]+"))
 
 ALPHABETS = (
     ("decimal", "0123456789"),
@@ -115,8 +120,37 @@ def judge(token: str) -> tuple[float, str]:
     return min(1.0, math.exp(min(0.0, text_likelihood(body) + len(body) * math.log(len(alphabet))))), name
 
 
+def left_over(start: int, end: int, taken: list[tuple[int, int]], i: int) -> list[tuple[int, int]]:
+    """What ``taken``, by start, from its place ``i`` on leaves of a range."""
+    found = []
+    while i < len(taken) and taken[i][0] < end:
+        s, e = taken[i]
+        if e > start:
+            found.append((start, s))
+            start = e
+        i += 1
+    return [(s, e) for s, e in [*found, (start, end)] if e - s >= LEAST]
+
+
+def judged_parts(token: str) -> list[tuple[float, int, int]]:
+    """(p-value, start, end) of the parts of a token that are judged, apart from each other.
+
+    The token as a whole if it passes; otherwise its parts between separators of either base-64
+    alphabet or both, the least p-values first, times the number of parts tried.
+    """
+    p, _ = judge(token)
+    if p < 1.0:
+        return [(p, 0, len(token))]
+    parts = {m.span() for x in SEPARATORS for m in x.finditer(token) if m.end() - m.start() >= LEAST} - {(0, len(token))}
+    found: list[tuple[float, int, int]] = []
+    for p, s, e in sorted((min(1.0, judge(token[s:e])[0] * (len(parts) + 1)), s, e) for s, e in parts):
+        if all(e <= s2 or s >= e2 for _, s2, e2 in found):
+            found.append((p, s, e))
+    return found or [(1.0, 0, len(token))]
+
+
 def random_spans(text: str, taken: list[tuple[int, int, str]], rate: float) -> list[tuple[int, int, str]]:
-    """Candidates outside ``taken`` that the step-up rule calls at false discovery rate ``rate``."""
+    """Parts of candidates outside ``taken`` that the step-up rule calls at false discovery rate ``rate``."""
     if not SPACE.search(text):
         return []
     starts = sorted((s, e) for s, e, _ in taken)
@@ -125,10 +159,11 @@ def random_spans(text: str, taken: list[tuple[int, int, str]], rate: float) -> l
     for m in CANDIDATE.finditer(text):
         while i < len(starts) and starts[i][1] <= m.start():
             i += 1
-        if any(s < m.end() and e > m.start() for s, e in starts[i : i + 8]):
-            continue
-        p, _ = judge(m.group())
-        judged.setdefault((m.end() - m.start()).bit_length(), []).append((p, m.start(), m.end()))
+        for start, end in left_over(m.start(), m.end(), starts, i):
+            for v in VALUE.finditer(text[start:end]):
+                if v.end() - v.start() >= LEAST:
+                    for p, s, e in judged_parts(v.group()):
+                        judged.setdefault((e - s).bit_length(), []).append((p, start + v.start() + s, start + v.start() + e))
     found = []
     for tests in judged.values():
         tests.sort()
