@@ -479,3 +479,21 @@ def test_secrets_glued_to_names_and_paths():
     assert {i for s, e, _ in spans for i in range(s, e)} >= {*range(20), *range(21, len(both))}
     calm = "some_long/path_to/the_configuration-of/everything+else=internationalisation_of/ordinary-words"
     assert secret_scan.spans_of(calm) == []
+
+
+def least_text(regex):
+    """A shortest text of a rule: without optional groups, the first of each choice."""
+    while (bare := re.sub(r"\(\?:[^()]*\)\?", "", regex)) != regex:
+        regex = bare
+    regex = re.sub(r"\(\?:([^()|]*)[^()]*\)", r"\1", regex).split("|")[0]
+    regex = re.sub(r"\[0-9\]\{4\}", "2020", regex.replace("licen[sc]e", "license").replace("[^ ]+ ", "x ").replace("(?:", "").replace(")", ""))
+    return re.sub(r"\[(.).*?\]", r"\1", regex).replace(" ?", " ").replace("+", "").replace("{1,6}", "").replace("{1,4}", "").strip()
+
+
+def test_every_license_rule_passes_the_gate(spark):
+    rules = [(label, name) for label, _, name in licenses.FAMILIES] + [(label, name) for label, _, name, *_ in licenses.PLAIN]
+    texts = [(label, least_text(way)) for label, name in rules for way in [name]]
+    texts += [("apache-2.0", "Released under Apache 2.0"), ("bsd-2-clause", "released under the BSD 2-Clause"), ("cc-by-sa", "Creative Commons Attribution-ShareAlike 4.0 International"), ("mit-0", "MIT No Attribution")]
+    got = {r["doc_id"]: r["labels"].split(",") for r in licenses.scan(docs_of(spark, [t for _, t in texts])).collect()}
+    assert [t for i, t in enumerate(texts) if got[i] == [""]] == []
+    assert all(texts[i][0] in got[i] for i in range(len(texts) - 4, len(texts)))

@@ -1,7 +1,7 @@
 """License scan of whole texts, in DataFrame functions only.
 
 A text's words are its maximal runs of ASCII letters and digits and of any other non-ASCII
-characters. Texts without any of a few stems go no further. In the others the words, lower-cased and
+characters. Texts without any word that some rule requires go no further. In the others the words, lower-cased and
 joined by single spaces, are searched by the signature rules whose required words are all there; a
 rule is a regular expression over whole words with a label, a priority and a weight. A detection is
 suppressed if it lies within one of at least its priority; what is left gives the labels.
@@ -11,6 +11,7 @@ Everything happens within the row: no shuffle.
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,9 +22,6 @@ from tilth.llm.minhash import let
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 RAW_WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
-#: A text without all of these holds no detection. Matched as substrings of the lower-cased text.
-STEMS = ("licen", "cc", "reserved", "copyright", "spdx", "domain", "gpl", "warrant")
-
 # Names of licenses as they read in lower-cased words: label, words that must be there, expression.
 FAMILIES: tuple[tuple[str, str, str], ...] = (
     ("apache-1.1", "apache", r"(?:the )?apache (?:software )?(?:licen[sc]e )?(?:version |v)?1 1"),
@@ -152,6 +150,19 @@ def rules() -> list[dict]:
     return found
 
 
+
+
+def stems() -> list[str]:
+    """A substring that each rule and base phrase requires: "licen" where its expression can't do without, or else its longest required word."""
+
+    def of(need: tuple[str, ...], regex: str) -> str:
+        bare = re.sub(r"\(\?:[^()]*\)\?", "", regex)  # without what is optional
+        return "licen" if all("licen[sc]e" in way for way in bare.split("|")) else max(need, key=len)
+
+    every = {of((word,), name) for _, word, name in FAMILIES} | {of(need, regex) for _, need, regex, *_ in PLAIN} | {max(phrase.split(), key=len) for phrase, _ in BASE}
+    return sorted(w for w in every if not any(x != w and x in w for x in every))
+
+
 LEVELS = 3
 RULE = "struct<label: string, need: array<string>, regex: string, priority: int, weight: double>"
 
@@ -221,12 +232,12 @@ def scan(docs: DataFrame) -> DataFrame:
     of what each leaves of doubt. Every row gets a row; other columns are ignored.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    low = F.lower(text)
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    low = F.translate(text, upper, lower)
     gate = F.lit(False)
-    for stem in STEMS:
+    for stem in stems():
         gate = gate | F.contains(low, F.lit(stem))
-    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-    joined = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.translate(text, upper, lower), NOT_WORD, " ")), F.lit(" "))
+    joined = F.concat(F.lit(" "), F.trim(F.regexp_replace(low, NOT_WORD, " ")), F.lit(" "))
     rows = docs.select("doc_id", F.regexp_count(text, F.lit(RAW_WORD)).cast("long").alias("n_words"), F.when(gate, joined).alias("norm"))
 
     counts, firsts, lasts, labels = [], [], [], []
