@@ -22,27 +22,36 @@ from tilth.llm.common import bounded_batches, connected_components, materialize,
 HOT_SHARD = 512
 
 
-def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
-    """Unsigned 64-bit fingerprint of a whole text; 0 for one without words."""
+def shingle_hashes(text: str | None, width: int, seed: int) -> np.ndarray:
+    """XXH64 of each of a whole text's word shingles, repeats included; fewer words make one, no words none."""
     import xxhash
 
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z and ASCII white space only
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     digest = xxhash.xxh64_intdigest
     if len(words) <= width:
-        return digest(joined, seed)
+        return np.array([digest(joined, seed)], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
-    hashes = [digest(joined[a:b], seed) for a, b in zip(starts[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist(), strict=True)]
+    return np.array([digest(joined[a:b], seed) for a, b in zip(starts[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist(), strict=True)], np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits set in over half of the hashes; 0 for none."""
     counts = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 16):
-        block = np.array(hashes[at : at + (1 << 16)], dtype="<u8")
+        block = hashes[at : at + (1 << 16)].astype("<u8")
         counts += np.unpackbits(block.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int((np.uint64(1) << np.flatnonzero(2 * counts > len(hashes)).astype(np.uint64)).sum(dtype=np.uint64))
 
 
+def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
+    """Unsigned 64-bit fingerprint of a whole text; 0 for one without words."""
+    return majority(shingle_hashes(text, width, seed))
+
+
 def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
     """``docs`` (doc_id, text, ...) -> doc_id, fp (signed 64-bit), a row per row. A null text is empty."""
     bounded_batches(docs.sparkSession)
@@ -102,8 +111,8 @@ class BkTree:
 
 
 def shard_links(values: list[int], names: list[int], radius: int) -> list[tuple[int, int]]:
-    """Spanning forest of the links among ``values``, as (name, name)."""
-    tree, parent = BkTree(), []
+    """Spanning forest of the links among ``values``, as (name, name); each edge is a link."""
+    tree, parent, found = BkTree(), [], []
 
     def root(i: int) -> int:
         while parent[i] != i:
@@ -119,7 +128,8 @@ def shard_links(values: list[int], names: list[int], radius: int) -> list[tuple[
             a, b = root(me), root(other)
             if a != b:
                 parent[max(a, b)] = min(a, b)
-    return [(names[i], names[root(i)]) for i in range(len(values)) if root(i) != i]
+                found.append((names[me], names[other]))
+    return found
 
 
 def _masks(bits: list[int], blocks: int, free: int) -> list[int]:
@@ -132,16 +142,11 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def link(prints: DataFrame, radius: int = 2) -> DataFrame:
-    """``prints`` (doc_id, fp) -> doc_id, fp, component_id: the smallest doc_id reachable by links.
-
-    Equal fingerprints are linked; so are those at most ``radius`` bits apart. Rows with a null
-    doc_id take the component of their fingerprint's other documents, null if there are none.
-    """
-    first = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "prints")
+def near_edges(first: DataFrame, radius: int = 2) -> DataFrame:
+    """``first`` (fp distinct, name) -> a, b: names whose fingerprints differ in at most ``radius`` bits, enough of them to reach all others that do."""
     masks = _masks(list(range(64)), radius + 3, radius)
     shards = F.array(*[F.struct(F.lit(i).alias("cut"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for i, m in enumerate(masks)])
-    dealt = first.where("first is not null").select("fp", "first", F.explode(shards).alias("s")).select("fp", "first", "s.cut", "s.key")
+    dealt = first.select("fp", "name", F.explode(shards).alias("s")).select("fp", "name", "s.cut", "s.key")
     sizes = splittable(dealt.groupBy("cut", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "key")
     met = dealt.join(sizes, ["cut", "key"])
     finer = F.lit(None)
@@ -151,7 +156,7 @@ def link(prints: DataFrame, radius: int = 2) -> DataFrame:
         finer = F.when(F.col("cut") == i, F.array(*map(F.lit, sub))).otherwise(finer) if i else F.when(F.col("cut") == 0, F.array(*map(F.lit, sub)))
     plain = F.array(F.struct(F.lit(-1).alias("sub"), F.col("key").alias("key")))
     again = F.transform(finer, lambda mask, j: F.struct(j.alias("sub"), F.col("fp").bitwiseAND(mask).alias("key")))
-    spread = met.select("fp", "first", "cut", F.explode(F.when(F.col("n") > HOT_SHARD, again).otherwise(plain)).alias("s")).select("cut", "s.sub", "s.key", "fp", "first")
+    spread = met.select("fp", "name", "cut", F.explode(F.when(F.col("n") > HOT_SHARD, again).otherwise(plain)).alias("s")).select("cut", "s.sub", "s.key", "fp", "name")
 
     def grow(batches):
         import pyarrow as pa
@@ -173,13 +178,24 @@ def link(prints: DataFrame, radius: int = 2) -> DataFrame:
                 names.append(name)
         yield from flush()
 
-    edges = (
-        spread.repartition(shuffle_width(prints.sparkSession), "cut", "sub", "key")
-        .sortWithinPartitions("cut", "sub", "key", "first")
+    return (
+        spread.repartition(shuffle_width(first.sparkSession), "cut", "sub", "key")
+        .sortWithinPartitions("cut", "sub", "key", "name")
         .mapInArrow(grow, T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())]))
+        .distinct()
     )
-    parts = connected_components(materialize(edges.distinct(), "links"), "components")
-    of_print = first.join(parts.withColumnRenamed("node", "first"), "first", "left").select("fp", F.coalesce("component", "first").alias("component_id"))
+
+
+def link(prints: DataFrame, radius: int = 2) -> DataFrame:
+    """``prints`` (doc_id, fp) -> doc_id, fp, component_id: the smallest doc_id reachable by links.
+
+    Equal fingerprints are linked; so are those at most ``radius`` bits apart. Rows with a null
+    doc_id take the component of their fingerprint's other documents, null if there are none.
+    """
+    first = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("name")), "prints")
+    edges = near_edges(first.where("name is not null"), radius)
+    parts = connected_components(materialize(edges, "links"), "components")
+    of_print = first.join(parts.withColumnRenamed("node", "name"), "name", "left").select("fp", F.coalesce("component", "name").alias("component_id"))
     return prints.join(of_print, "fp").select("doc_id", "fp", "component_id")
 
 
@@ -192,27 +208,15 @@ def near_duplicates(docs: DataFrame, radius: int = 2, width: int = 3, seed: int
 # ---- similarity of 0.8 and more -----------------------------------------------------------------
 #: Texts are near-duplicates from a Jaccard similarity of 4 / 5 of their distinct shingles.
 TOKEN_BYTES = 5
-SKETCH_WORDS = 8
 CHUNK = 4096
 SAMPLE, COMMON = 10_000, 200_000
+#: Other pairs that a member of a list proposes at most, round by round; the last round takes all.
+ROUNDS = (4, 64, None)
 
 
-def shingle_set(text: str | None, width: int = 5) -> np.ndarray:
-    """Sorted distinct 40-bit hashes of a whole text's ``width``-word shingles; none for one without words."""
-    import xxhash
-
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z and ASCII white space only
-    if not words:
-        return np.zeros(0, np.uint64)
-    joined = b" ".join(words)
-    digest = xxhash.xxh3_64_intdigest
-    if len(words) <= width:
-        found = [digest(joined)]
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-        starts = np.concatenate([[0], ends[:-1] + 1])
-        found = [digest(joined[a:b]) for a, b in zip(starts[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist(), strict=True)]
-    return np.unique(np.array(found, np.uint64) & np.uint64((1 << 8 * TOKEN_BYTES) - 1))
+def shingle_set(hashes: np.ndarray) -> np.ndarray:
+    """Sorted distinct 40-bit tokens of shingle hashes."""
+    return np.unique(hashes & np.uint64((1 << 8 * TOKEN_BYTES) - 1))
 
 
 def _packed(tokens: np.ndarray) -> bytes:
@@ -226,9 +230,32 @@ def _unpacked(raw: bytes) -> np.ndarray:
 
 
 def sketch(tokens: np.ndarray) -> bytes:
-    """512 parities of the tokens: two sets differ in at least as many tokens as their sketches in bits."""
-    at = (tokens * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(55)
-    return np.packbits(np.bincount(at.astype(np.int64), minlength=64 * SKETCH_WORDS) & 1, bitorder="little").tobytes()
+    """Parities of the tokens in as many bits as there are tokens, at least 512, a power of two.
+
+    Two sets differ in at least as many tokens as their sketches, folded to one size, in bits.
+    """
+    bits = 512 << max(0, (len(tokens) - 1).bit_length() - 9)
+    at = ((tokens * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(24)) & np.uint64(bits - 1)
+    return np.packbits(np.bincount(at.astype(np.int64), minlength=bits) & 1, bitorder="little").tobytes()
+
+
+def _folded(sketches: list[bytes], words: int) -> np.ndarray:
+    """Sketches of one length as rows of ``words`` 64-bit words."""
+    rows = np.frombuffer(b"".join(sketches), "<u8").reshape(len(sketches), -1)
+    while rows.shape[1] > words:
+        rows = rows[:, : rows.shape[1] // 2] ^ rows[:, rows.shape[1] // 2 :]
+    return rows
+
+
+def _apart(xs: list[bytes], ys: list[bytes]) -> np.ndarray:
+    """In how many bits the sketches of each pair differ."""
+    sizes = np.array([(len(x), len(y)) for x, y in zip(xs, ys, strict=True)], np.int64).reshape(-1, 2)
+    out = np.zeros(len(xs), np.int64)
+    for p, q in np.unique(sizes, axis=0).tolist():
+        pick = np.flatnonzero((sizes == (p, q)).all(axis=1)).tolist()
+        x, y = (_folded([s[i] for i in pick], min(p, q) // 8) for s in (xs, ys))
+        out[pick] = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+    return out
 
 
 def alike(a: bytes, b: bytes) -> bool:
@@ -310,66 +337,81 @@ def _shared(batches):
         yield from _batches_of(pa.table(cols, ["token", "n", "node", "at", "size", "head", "before"]))
 
 
-def _pairs(a: np.ndarray, b: np.ndarray):
-    import pyarrow as pa
+def _other_pairs(batches, most: int | None):
+    """From each cell (token, i, j; block, n, node, place, component, sketch) pairs of components apart that can be similar.
 
-    low, high = np.minimum(a, b), np.maximum(a, b)
-    return pa.RecordBatch.from_arrays([pa.array(low), pa.array(high)], ["a", "b"])
+    Each member of a component but the largest gives its ``most`` nearest by sketch, None: all.
+    A row of nulls says that some cell had more.
+    """
+    import pyarrow as pa
 
+    def pairs(a, b):
+        a, b = np.concatenate(a), np.concatenate(b)
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
-def _other_pairs(batches):
-    """From each cell (token, i, j; block, n, node, place, component, sketch) all pairs of components apart that can be similar."""
+    more = False
     for table, lo, hi in ((t, a, b) for t, marks in _whole(batches, 3) for a, b in zip(marks.tolist(), [*marks[1:].tolist(), t.num_rows], strict=True)):
         low, high = (int(table.column(i)[lo].as_py()) for i in (1, 2))
         block, n, node, at, part = (table.column(i).to_numpy()[lo:hi] for i in (3, 4, 5, 6, 7))
-        bits = np.frombuffer(b"".join(table.column(8).slice(lo, hi - lo).to_pylist()), "<u8").reshape(-1, SKETCH_WORDS)
+        raw = table.column(8).slice(lo, hi - lo).to_pylist()
         _, of, count = np.unique(part, return_inverse=True, return_counts=True)
-        order = np.lexsort((of, count[of]))  # the largest component last: its members need not look for others
-        block, n, node, at, of, bits = block[order], n[order], node[order], at[order], of[order], bits[order]
-        ends = np.cumsum(np.sort(count))
-        after = ends[np.searchsorted(ends, np.arange(len(n)), side="right")]
+        words = np.array([len(r) // 8 for r in raw])
+        groups = {}  # similar sets' sketches have one size or differ by one fold
+        for w in np.unique(words).tolist():
+            rows = [np.flatnonzero(words == v) for v in (w, 2 * w)]
+            bits = [_folded([raw[i] for i in r.tolist()], w) for r in rows if len(r)]
+            groups[w] = np.concatenate(rows), np.concatenate(bits), len(rows[0])
         a, b, held = [], [], 0
-        for i in range(len(n)):
-            s = slice(after[i], None)
-            if after[i] == len(n):
-                break
-            ok = _could_be(n[i], at[i], n[s], at[s])
+        for i in np.flatnonzero(of != count.argmax()).tolist():
+            ok = _could_be(n[i], at[i], n, at) & (of != of[i])
             if low != high:
-                ok &= block[s] != block[i]
-            j = np.flatnonzero(ok) + after[i]
-            apart = np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1, dtype=np.int64)
-            j = j[9 * apart <= n[i] + n[j]]
+                ok &= block != block[i]
+            found, gaps = [], []
+            for w in {int(words[i]), int(words[i]) // 2} & groups.keys():
+                rows, bits, own = groups[w]
+                pick = np.flatnonzero(ok[rows] if w == words[i] else ok[rows[:own]])
+                if len(pick):
+                    apart = np.bitwise_count(bits[pick] ^ _folded([raw[i]], w)).sum(axis=1, dtype=np.int64)
+                    j = rows[pick]
+                    near = 9 * apart <= n[i] + n[j]
+                    found.append(j[near])
+                    gaps.append(apart[near])
+            j = np.concatenate(found) if found else np.zeros(0, np.int64)
+            if most is not None and len(j) > most:
+                more = True
+                j = j[np.lexsort((node[j], np.concatenate(gaps)))[:most]]
             if len(j):
                 a.append(np.full(len(j), node[i]))
                 b.append(node[j])
                 held += len(j)
             if held > 1 << 16:
-                yield _pairs(np.concatenate(a), np.concatenate(b))
+                yield pairs(a, b)
                 a, b, held = [], [], 0
         if held:
-            yield _pairs(np.concatenate(a), np.concatenate(b))
+            yield pairs(a, b)
+    if more:
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64())] * 2, ["a", "b"])
 
 
 def _sketched(pairs: DataFrame, marks: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) that the sketches leave."""
+    """Those of the pairs (a, b) that the sketches leave, and in how many bits these differ."""
 
     def check(batches):
         import pyarrow as pa
 
         for batch in batches:
             if len(batch):
-                x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u8").reshape(-1, SKETCH_WORDS) for i in (3, 5))
-                apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+                apart = _apart(batch.column(3).to_pylist(), batch.column(5).to_pylist())
                 ok = 9 * apart <= batch.column(2).to_numpy().astype(np.int64) + batch.column(4).to_numpy()
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(apart)], ["a", "b", "apart"]).filter(pa.array(ok))
 
     one = marks.select(F.col("node").alias("a"), F.col("n").alias("n"), F.col("sketch").alias("x"))
     two = marks.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("sketch").alias("y"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "n", "x", "m", "y").mapInArrow(check, "a long, b long")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "n", "x", "m", "y").mapInArrow(check, "a long, b long, apart long")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) whose whole sets are similar."""
+    """Those of the pairs (a, b) whose whole sets are similar, as a table."""
 
     def check(batches):
         import pyarrow as pa
@@ -383,25 +425,29 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     whole = materialize(sets.join(F.broadcast(wanted) if few else wanted, "node", "left_semi").select("node", "tokens").dropDuplicates(["node"]), "compared-sets")
     one = whole.select(F.col("node").alias("a"), F.col("tokens").alias("x"))
     two = whole.select(F.col("node").alias("b"), F.col("tokens").alias("y"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
+    return materialize(pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long"), "alike")
 
 
 def similar(docs: DataFrame, width: int = 5) -> DataFrame:
     """``docs`` (doc_id, text, ...) -> doc_id, component_id: documents linked by similar word shingles.
 
     Documents whose sets of distinct shingles have a Jaccard similarity of 0.8 or more are linked,
-    all of them and no others. In any order of all shingles, similar sets of n and m share one of the
-    first n - ceil(0.8 n) + 1 and m - ceil(0.8 m) + 1, so pairs are sought in the lists of those only;
-    shingles common in a sample come last in the order. Of each list the pairs with its first member and
-    of neighbours are compared at first. Then lists that hold more than one component give all other
-    pairs between components that neither sizes, places nor sketches rule out; lists of over ``CHUNK``
-    members do so in cells of two blocks each. A null text is empty. Equal sets are one node.
+    all of them and no others, up to collisions of 40-bit hashes. The candidates: sets whose SimHash
+    fingerprints a BK-tree finds within two bits, and, for those it can't find, an exact filter. In any
+    order of all shingles, similar sets of n and m share one of the first n - ceil(0.8 n) + 1 and
+    m - ceil(0.8 m) + 1, so pairs are sought in the lists of those only; shingles common in a sample come
+    last in the order. Of each list the pairs with its first member and of neighbours come first, the
+    nearest by sketch of each document before the others; then lists that hold more than one component
+    give pairs between components that neither sizes, places nor sketches rule out, nearest first, at last
+    all. Whole sets decide. Lists of over ``CHUNK`` members are compared in cells of two blocks each.
+    A null text is empty; texts without words are one node. Rows with a null doc_id have the
+    component of their text, null if no other document is in it.
     """
     return _components(_prints(docs, width)).select("doc_id", "component_id")
 
 
 def _prints(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, node (a hash of the set), n, tokens and sketch (only in a task's first row of the node), a row per row."""
+    """doc_id, mark (a hash of the text), node (a hash of the set), n, fp, and, in a task's first row of the node, tokens and sketch; a row per row."""
     bounded_batches(docs.sparkSession)
 
     def run(batches):
@@ -410,20 +456,25 @@ def _prints(docs: DataFrame, width: int) -> DataFrame:
 
         seen = set()
         for batch in batches:
-            nodes, sizes, raws, bits = [], [], [], []
-            for text in batch.column(1).to_pylist():
-                tokens = shingle_set(text, width)
+            nodes, sizes, prints, raws, bits = [], [], [], [], []
+            for text in batch.column(2).to_pylist():
+                hashes = shingle_hashes(text, width, 42)
+                tokens = shingle_set(hashes)
                 raw = _packed(tokens)
                 node = xxhash.xxh3_64_intdigest(raw, 7)
+                new = node not in seen
                 nodes.append(node)
                 sizes.append(len(tokens))
-                raws.append(None if node in seen else raw)
-                bits.append(None if node in seen else sketch(tokens))
+                prints.append(majority(hashes) if new else None)
+                raws.append(raw if new else None)
+                bits.append(sketch(tokens) if new else None)
                 seen.add(node)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(raws, pa.binary()), pa.array(bits, pa.binary())], ["doc_id", "node", "n", "tokens", "sketch"])
+            fps = pa.array([None if p is None else _signed(p) for p in prints], pa.int64())
+            cols = [batch.column(0), batch.column(1), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), fps, pa.array(raws, pa.binary()), pa.array(bits, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "mark", "node", "n", "fp", "tokens", "sketch"])
 
-    cols = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return materialize(cols.mapInArrow(run, "doc_id long, node long, n int, tokens binary, sketch binary"), "shingle-sets")
+    cols = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
+    return materialize(cols.mapInArrow(run, "doc_id long, mark long, node long, n int, fp long, tokens binary, sketch binary"), "shingle-sets")
 
 
 def _common(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -442,6 +493,13 @@ def _common(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return rows["token"].to_numpy().astype(np.uint64), rows["k"].to_numpy().astype(np.int64)
 
 
+def _tree_pairs(marks: DataFrame, radius: int = 2) -> DataFrame:
+    """(a, b): nodes with equal fingerprints and links of the BK-trees."""
+    first = materialize(marks.where("n > 0").groupBy("fp").agg(F.min("node").alias("name")), "node-prints")
+    same = marks.where("n > 0").join(splittable(first, "fp"), "fp").where("node <> name").select(F.col("name").alias("a"), F.col("node").alias("b"))
+    return same.union(near_edges(first, radius)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
 def _components(prints: DataFrame) -> DataFrame:
     """``prints`` with component_id: the smallest doc_id of the rows whose nodes reach each other by links."""
     spark = prints.sparkSession
@@ -462,38 +520,75 @@ def _components(prints: DataFrame) -> DataFrame:
     entry = "token long, n int, node long, at int"
     dealt = sets.where("n > 0").mapInArrow(index, entry).repartition(width, "token").sortWithinPartitions("token", "n", "node")
     lists = materialize(dealt.mapInArrow(_shared, f"{entry}, size long, head long, before long"), "shared-shingles")
-    marks = materialize(prints.where("sketch is not null").select("node", "n", "sketch").dropDuplicates(["node"]), "sketches")
+    marks = materialize(prints.where("sketch is not null").select("node", "n", "fp", "sketch").dropDuplicates(["node"]), "sketches")
 
     def pairs_of(other: str) -> DataFrame:
         return lists.where(f"{other} is not null").select(F.least("node", other).alias("a"), F.greatest("node", other).alias("b"))
 
-    near = materialize(_sketched(pairs_of("head").union(pairs_of("before")).distinct(), marks), "first-pairs")
-    links = materialize(_verified(near, sets), "first-links")
-    parts = connected_components(links, "first-components").select("node", F.col("component").alias("part"))
+    near = materialize(_sketched(_tree_pairs(marks).union(pairs_of("head")).union(pairs_of("before")).distinct(), marks), "first-pairs")
+    done = near.limit(0).select("a", "b")  # pairs compared
+    parts = near.limit(0).select(F.col("a").alias("node"), F.col("b").alias("part"))
+
+    def join_up(pairs: DataFrame, label: str) -> None:
+        nonlocal done, parts
+        links = _verified(materialize(pairs, f"{label}-pairs"), sets)
+        done = done.union(pairs)
+        grown = connected_components(links.union(parts.select(F.col("node").alias("a"), F.col("part").alias("b"))), f"{label}-components")
+        parts = materialize(grown.select("node", F.col("component").alias("part")), f"{label}-parts")
+
+    def apart(pairs: DataFrame) -> DataFrame:
+        """Pairs not compared yet whose nodes are in different components."""
+        of = lambda key: parts.select(F.col("node").alias(key), F.col("part").alias(f"of_{key}"))
+        both = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+        return both.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b").join(done, ["a", "b"], "left_anti")
+
+    nearest = near.groupBy("b").agg(F.min(F.struct("apart", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
+    join_up(nearest, "nearest")
+    join_up(apart(near.select("a", "b")), "near")
 
     # lists of up to three have given all their pairs
-    long = materialize(lists.where("size > 3").select("token", "n", "node", "at", "size").join(parts, "node", "left").withColumn("part", F.coalesce("part", "node")), "long-lists")
-    open_ = splittable(long.groupBy("token").agg(F.min("part").alias("least"), F.max("part").alias("most")).where("least < most"), "token").select("token")
+    long = lists.where("size > 3").select("token", "n", "node", "at", "size")
     k = F.ceil(F.col("size") / CHUNK)
     mine = F.pmod(F.xxhash64("node", F.lit(1)), k).cast("int")
     cells = F.transform(F.sequence(F.lit(0).cast("long"), k - 1), lambda j: F.struct(F.least(j, F.col("block")).cast("int").alias("low"), F.greatest(j, F.col("block")).cast("int").alias("high")))
-    spread = (
-        long.join(open_, "token").join(marks.select("node", "sketch"), "node").withColumn("block", mine).withColumn("cell", F.explode(cells))
-        .select("token", "cell.low", "cell.high", "block", "n", "node", "at", "part", "sketch")
-        .repartition(width, "token", "low", "high").sortWithinPartitions("token", "low", "high")
-    )
-    rest = materialize(spread.mapInArrow(_other_pairs, "a long, b long").distinct(), "other-pairs")
-    more = materialize(_verified(rest, sets), "other-links")
-    whole = connected_components(links.union(more), "similar-components")
-    linked = prints.select("doc_id", "node").join(whole, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = splittable(linked.groupBy("component").agg(F.min("doc_id").alias("component_id")), "component")
-    return linked.join(least, "component").select("doc_id", "component_id")
+    for most in ROUNDS:
+        placed = long.join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
+        placed = materialize(placed, "long-lists")
+        open_ = splittable(placed.groupBy("token").agg(F.min("part").alias("least"), F.max("part").alias("most")).where("least < most"), "token").select("token")
+        spread = (
+            placed.join(open_, "token").join(marks.select("node", "sketch"), "node").withColumn("block", mine).withColumn("cell", F.explode(cells))
+            .select("token", "cell.low", "cell.high", "block", "n", "node", "at", "part", "sketch")
+            .repartition(width, "token", "low", "high").sortWithinPartitions("token", "low", "high")
+        )
+        rest = materialize(spread.mapInArrow(lambda batches, most=most: _other_pairs(batches, most), "a long, b long").distinct(), "other-pairs")
+        if rest.isEmpty():
+            break
+        join_up(apart(rest.where("a is not null")), "other")
+        if rest.where("a is null").isEmpty():
+            break
+    linked = prints.select("doc_id", "mark", "node").join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
+    least = splittable(linked.groupBy("part").agg(F.min("doc_id").alias("component_id"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "mark")).alias("first")), "part")
+    return linked.join(least, "part").select("doc_id", "mark", "component_id", F.col("first.mark").alias("first_mark"))
 
 
 def keep_first(docs: DataFrame, width: int = 5) -> DataFrame:
     """One row of ``docs`` per group of similar documents, the one with the smallest doc_id.
 
-    Repeated rows of that document go; so do rows with a null doc_id, which nothing can stand for.
+    Rows with a null doc_id come after all others. Of rows that agree in doc_id and text one stays;
+    of rows that share a doc_id but are not similar, one of each group.
     """
-    kept = similar(docs, width).where("component_id = doc_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    rows = _components(_prints(docs, width))
+    stays = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("mark") == F.col("first_mark"))
+    keys = materialize(rows.groupBy("doc_id", "mark").agg(F.max(stays).alias("stays"), F.count(F.lit(1)).alias("times")), "kept-keys")
+    gone, repeated = keys.where("not stays").select("doc_id", "mark"), keys.where("stays and times > 1").select("doc_id", "mark")
+
+    def keyed(df: DataFrame, other: DataFrame, how: str) -> DataFrame:
+        few = other.count() <= 1_000_000  # 16 MB
+        side = (F.broadcast(other) if few else other).toDF("_doc", "_mark")
+        return df.join(side, F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_mark")), how)
+
+    kept = keyed(docs, gone, "left_anti")
+    if repeated.isEmpty():
+        return kept
+    one = keyed(kept, repeated, "left_semi").withColumn("_mark", F.xxhash64("text")).dropDuplicates(["doc_id", "_mark"]).drop("_mark")
+    return keyed(kept, repeated, "left_anti").union(one)
