@@ -1,27 +1,38 @@
 """Ids of whole texts by the ``tokenizers`` library, fast on repetitive text.
 
-The vocabulary's pre-tokenizer never lets a token cross white space, so a text's ids are the ids of
-its white-space-separated chunks, one after another, and a chunk's ids those of its pre-tokens.
-Each worker keeps a bounded number of chunks and pre-tokens with their ids; only what is new goes
-through the library. Chunks for which that argument needs care go through the library as they are.
+The vocabulary splits a lower-cased text into pre-tokens, and a text's ids are the ids of its
+pre-tokens, one after another. A block of texts is split, and its distinct pre-tokens found, by Arrow;
+ids of new ones come from the library, each worker keeps a bounded number, and numpy puts the
+texts together. Texts for which that argument needs care go through the library as they are.
 """
 
 from __future__ import annotations
 
-import re
+#: Most pre-tokens that a worker keeps (about 150 bytes each). New ones past it are encoded anew in each block.
+KEEP_WORDS = 700_000
+#: The vocabulary's own split, a fixed value of its file, is: 's|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+
+#: What of it isn't a run of letters, with white space spelled out to the end of Latin-1.
+APART = r"('s|'t|'re|'ve|'m|'ll|'d|\p{N}|[^\t-\r \x{85}\x{A0}\p{L}\p{N}]+)"
+#: White space to Arrow and Python but not to the vocabulary.
+CONTROLS = "\x1c\x1d\x1e\x1f"
 
-#: Most chunks and pre-tokens that a worker keeps (about 150 bytes each). New ones past it are encoded anew.
-KEEP_CHUNKS, KEEP_WORDS = 450_000, 300_000
-#: The vocabulary's own split of a chunk: a fixed value of its file.
-PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: Beyond Latin-1, lower case and normal forms may need context; Python's split() takes \x1c to \x1f for
-#: white space, which the vocabulary's pattern does not.
-WIDE, CONTROL = re.compile("[^\x00-\xff]"), re.compile("[\x1c-\x1f]")
+_encoders: dict[str, "WordEncoder"] = {}
 
-#: ASCII marks but the apostrophe, which may begin a pre-token of letters.
-MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
-_encoders: dict[str, "WordEncoder"] = {}
+def wide(text: str) -> bool:
+    """Whether a text has characters beyond Latin-1, of which lower case and normal forms may need context."""
+    if text.isascii():
+        return False
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return True
+    return False
+
+
+def needs_care(text: str) -> bool:
+    """The vocabulary's special tokens begin with "<|"."""
+    return "<|" in text or wide(text) or any(c in text for c in CONTROLS)
 
 
 class WordEncoder:
@@ -32,16 +43,13 @@ class WordEncoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import numpy as np
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.pieces = regex.compile(PIECES).findall
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.chunks: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {"": b""}
 
     def library(self, texts: list[str]) -> list[bytes]:
         import numpy as np
@@ -66,45 +74,67 @@ class WordEncoder:
                 found.update(zip(some, self.library(some), strict=True))
         return found
 
-    def _new_chunks(self, chunks: list[str]) -> dict[str, bytes]:
-        simple, split, found = [], [], {}
-        for c in chunks:
-            if "<|" in c or not c.isascii() and WIDE.search(c):
-                split.append(c)
-                continue
-            word = c.rstrip(MARKS)
-            if word.isalpha():  # letters, then at most one run of marks: no need for the pattern
-                simple.append((c, (c,) if len(word) == len(c) else (word, c[len(word) :])))
-            else:
-                simple.append((c, self.pieces(c)))
-        if split:
-            found.update(zip(split, self.library(split), strict=True))
-        words = self.words
-        extra = self._new_words(list({w for _, parts in simple for w in parts if w not in words}))
-        if room := max(0, KEEP_WORDS - len(words)):
-            words.update(list(extra.items())[:room])
-        for c, parts in simple:
-            found[c] = b"".join([words[w] if w in words else extra[w] for w in parts])
-        return found
+    def _ids_of(self, words: list[str], resolve) -> list[bytes]:
+        """Ids of distinct words; new ones by ``resolve``, and kept while there is room."""
+        known = self.words
+        out = list(map(known.get, words))
+        new = [i for i, ids in enumerate(out) if ids is None]
+        if new:
+            extra = resolve([words[i] for i in new])
+            for i in new:
+                out[i] = extra[words[i]]
+            if room := max(0, KEEP_WORDS - len(known)):
+                known.update(list(extra.items())[:room])
+        return out
+
+    def _together(self, lists, resolve) -> list[bytes]:
+        """Ids of each list of words."""
+        import numpy as np
+
+        coded = lists.flatten().dictionary_encode()
+        ids = self._ids_of(coded.dictionary.to_pylist(), resolve)
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        starts = np.cumsum(lengths) - lengths
+        index = coded.indices.to_numpy()
+        sizes = lengths[index]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        at = np.repeat(starts[index] - ends[:-1], sizes)
+        at += np.arange(ends[-1])
+        out = flat[at]
+        offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        bounds = ends[offsets].tolist()
+        return [out[a:b].tobytes() for a, b in zip(bounds, bounds[1:], strict=False)]
+
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        """Lower-cased texts that need no care."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        return self._together(pc.utf8_split_whitespace(pc.replace_substring_regex(pa.array(texts, pa.string()), APART, r" \1 ")), self._new_words)
+
+    def _careful(self, texts: list[str]) -> list[bytes]:
+        """Texts without control characters by white-space chunks, which no pre-token crosses; chunks that need care by the library."""
+        import pyarrow as pa
+
+        def resolve(chunks: list[str]) -> dict[str, bytes]:
+            odd = [c for c in chunks if needs_care(c)]
+            even = [c for c in chunks if not needs_care(c)]
+            found = dict(zip(odd, self.library(odd), strict=True))
+            return found | dict(zip(even, self._plain([c.lower() for c in even]), strict=True))
+
+        return self._together(pa.array([t.split() for t in texts], pa.list_(pa.string())), resolve)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        known = self.chunks
-        cut = []
-        for text in texts:
-            if not text:
-                cut.append(())
-            elif CONTROL.search(text):
-                cut.append(None)
-            else:
-                cut.append((text if WIDE.search(text) else text.lower()).split())
-        new = set().union(*[c for c in cut if c]).difference(known)
-        extra = self._new_chunks(list(new)) if new else {}
-        room = max(0, KEEP_CHUNKS - len(known))
-        known.update(extra)
-        get = known.__getitem__
-        out = [self.library([text])[0] if chunks is None else b"".join(map(get, chunks)) for text, chunks in zip(texts, cut, strict=True)]
-        for chunk in list(extra)[room:]:
-            del known[chunk]
+        out: list[bytes] = [b""] * len(texts)
+        plain, careful, whole = [], [], []
+        for i, text in enumerate(texts):
+            if text:
+                (plain if not needs_care(text) else whole if any(c in text for c in CONTROLS) else careful).append(i)
+        for some, by in ((plain, lambda t: self._plain([x.lower() for x in t])), (careful, self._careful), (whole, self.library)):
+            if some:
+                for i, ids in zip(some, by([texts[i] for i in some]), strict=True):
+                    out[i] = ids
         return out
 
 
