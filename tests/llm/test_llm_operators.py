@@ -110,9 +110,77 @@ def test_bins_hold_everything_and_reach_the_optimum(seed):
     assert sum(r.times for r in runs) <= packing.lower_bound(counts, 100) + 1
 
 
-def test_bin_completion_beats_best_fit():
-    # best-fit decreasing needs 3 bins here, two do
-    assert sum(r.times for r in packing.plan_bins({6: 1, 5: 2, 4: 1, 3: 1, 2: 1, 7: 0} | {7: 0}, 13)) == 2
+def fewest_bins(items, capacity):
+    """By trying everything."""
+    items, best = sorted(items, reverse=True), [len(items)]
+
+    def go(i, rooms):
+        if len(rooms) < best[0]:
+            if i == len(items):
+                best[0] = len(rooms)
+                return
+            for room in {r for r in rooms if r >= items[i]}:
+                go(i + 1, sorted([*rooms[: rooms.index(room)], *rooms[rooms.index(room) + 1 :], room - items[i]]))
+            go(i + 1, sorted([*rooms, capacity - items[i]]))
+
+    go(0, [])
+    return best[0]
+
+
+def best_fit_decreasing(items, capacity):
+    rooms = []
+    for x in sorted(items, reverse=True):
+        room = min((r for r in rooms if r >= x), default=None)
+        if room is None:
+            rooms.append(capacity - x)
+        else:
+            rooms.remove(room)
+            rooms.append(room - x)
+    return len(rooms)
+
+
+def bins_of(items, capacity):
+    lengths, counts = np.unique(items, return_counts=True)
+    return sum(r.times for r in packing.plan_bins(dict(zip(lengths.tolist(), counts.tolist(), strict=True)), capacity))
+
+
+def test_bin_completion_is_optimal_on_small_cases():
+    rng, below = np.random.default_rng(4), 0
+    for k in range(60):
+        capacity = int(rng.choice([10, 16, 30, 100]))
+        items = rng.integers(1 if k % 2 else capacity // 6 + 1, capacity + 1 if k % 2 else capacity // 2 + 2, int(rng.integers(1, 10))).tolist()
+        found, plain = bins_of(items, capacity), best_fit_decreasing(items, capacity)
+        assert found == fewest_bins(items, capacity), (items, capacity)
+        assert sum(r.times for r in packing.best_fit([items.count(n) for n in range(capacity + 1)], capacity)) == plain
+        below += found < plain
+    hard = [10, 10, 5, 5, 5, 5, 3, 3, 4, 4, 4, 4]  # best fit needs five
+    assert (best_fit_decreasing(hard, 16), bins_of(hard, 16)) == (5, 4) and below
+
+
+def test_fillings_are_undominated_and_complete():
+    counts = [0, 0, 1, 2, 0, 1, 1, 0, 2]
+    found = dict.fromkeys(items for _, items in packing.fillings(counts, 8, 9, 9))
+    want = set()
+    for n in np.ndindex(2, 3, 2, 2, 3):  # how many of 2, 3, 5, 6, 8
+        items = [x for x, k in zip((2, 3, 5, 6, 8), n, strict=True) for _ in range(k)]
+        left = [x for x in (2, 3, 5, 6, 8) if counts[x] > items.count(x)]
+        slack = 9 - sum(items)
+        subsets = [[items[i] for i in range(len(items)) if m >> i & 1] for m in range(2 ** len(items))]
+        if slack >= 0 and not any(sum(sub) <= x <= sum(sub) + slack and sub != [x] for x in left for sub in subsets):
+            want.add(tuple((x, items.count(x)) for x in sorted(set(items), reverse=True)))
+    assert set(found) == want
+
+
+@pytest.mark.parametrize(("low", "high", "n"), [(500, 900, 3000), (400, 1100, 6000), (1, 2049, 50_000)])
+def test_planning_of_many_lengths_is_short_and_never_above_best_fit(low, high, n):
+    import time
+
+    items = np.random.default_rng(0).integers(low, high, n)
+    began = time.process_time()
+    found = bins_of(items, 2048)
+    assert time.process_time() - began < 30
+    counts = np.bincount(items, minlength=2049).tolist()
+    assert found <= sum(r.times for r in packing.best_fit(counts, 2048))
 
 
 def test_packing_is_gapless(spark):
@@ -480,6 +548,18 @@ def test_secrets_glued_to_names_and_paths():
     assert secret_scan.spans_of(calm) == []
 
 
+@pytest.mark.parametrize("shape", ["{}", "ghp_{}", "https://host/p?sig={}&v=1", "key={}", "AWS_ACCESS_KEY={}", "data/{}/x", "client_key: '{}'"])
+def test_random_values_are_found_in_each_shape(shape):
+    rng, found = np.random.default_rng(3), 0
+    alphabet = list("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
+    for _ in range(200):
+        value = "".join(rng.choice(alphabet, 40))
+        text = f"some words before {shape.format(value)} and after it"
+        at = text.index(value)
+        found += any(s <= at and e >= at + 40 for s, e, _ in secret_scan.spans_of(text))
+    assert found >= 190
+
+
 def least_text(regex):
     """A shortest text of a rule: without optional groups, the first of each choice."""
     while (bare := re.sub(r"\(\?:[^()]*\)\?", "", regex)) != regex:

@@ -32,11 +32,11 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Whole texts travel to Python workers in Arrow batches of at most 1,000 rows and about 16 MB from here on in this session.
+    """Whole texts travel to Python workers in Arrow batches of at most 1,000 rows and about 8 MB from here on in this session.
 
     Plans read these settings when they run, so they stay set; lower values of the caller's own are kept.
     """
-    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 1000), ("spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20)):
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 1000), ("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)):
         if not 0 < int(re.sub(r"[^0-9-]", "", spark.conf.get(key))) <= most:
             spark.conf.set(key, str(most))
 

@@ -180,7 +180,7 @@ def train(docs: DataFrame, docs_per_lang: int = 1200, margin: float = 2.0) -> La
                     keys, n = np.unique(np.concatenate(found), return_counts=True)
                     yield pd.DataFrame({"lang": lang, "gram": keys.view(np.int64), "n": n})
 
-    counted = sample.where(~F.col("check")).select("lang", "text").mapInPandas(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
+    counted = sample.where(~F.col("check")).select("lang", "text").mapInPandas(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow().to_pandas()
     tables = {}
     for lang, part in counted.groupby("lang"):
         keys, n = part["gram"].to_numpy().view(np.uint64), part["n"].to_numpy()

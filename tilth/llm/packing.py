@@ -2,7 +2,7 @@
 
 Lengths are whole numbers up to the capacity, so a packing depends only on how many pieces of each
 length there are: the histogram (at most ``capacity`` rows, whatever the corpus) is packed by
-branch and bound on the driver, and the resulting runs of equal sequences are dealt out to the
+branch and bound on the driver, within a bounded effort, and the resulting runs of equal sequences are dealt out to the
 pieces by their rank among pieces of the same length. Pieces never travel to the driver.
 """
 
@@ -48,115 +48,165 @@ def lower_bound(counts: np.ndarray, capacity: int) -> int:
     return best
 
 
-def fillings(counts: list[int], largest: int, gap: int, width: int, effort: int) -> list[tuple[int, tuple[tuple[int, int], ...]]]:
-    """Undominated ways to fill ``gap`` beside ``largest``: (waste, ((length, n), ...)), best first.
-
-    Depth first over falling lengths. The first way down is best fit, the incumbent; a branch is cut
-    when even its smallest possible waste can't beat the worst filling kept. A filling to which any
-    left-over length could be added is dominated and never kept, and of equal wastes the one with
-    longer pieces comes first, which dominates those made of more, shorter pieces. ``effort`` bounds
-    the nodes visited; pieces are never dropped by it.
+def best_fit(counts: list[int], capacity: int) -> list[Run]:
+    """Best fit decreasing, a run of equal pieces and equal bins at a time."""
+    open_: dict[int, list[tuple[int, dict[int, int]]]] = {}  # room left -> (how many bins, what is in each)
+    for length in range(capacity, 0, -1):
+        left = counts[length]
+        while left:
+            room = min((r for r in open_ if r >= length), default=None)
+            times, items = open_[room].pop() if room is not None else (left, {})
+            if room is not None and not open_[room]:
+                del open_[room]
+            each = (capacity if room is None else room) // length
+            full = min(times, left // each)
+            part = left % each if full < times else 0  # one more bin takes what is left
+            kept = (capacity if room is None else room) - each * length
+            if full:
+                open_.setdefault(kept, []).append((full, items | {length: each}))
+                left -= full * each
+            if part and full < times:
+                open_.setdefault((capacity if room is None else room) - part * length, []).append((1, items | {length: part}))
+                left -= part
+                full += 1
+            if room is not None and full < times:
+                open_.setdefault(room, []).append((times - full, items))
+    return [Run(times, tuple(sorted(items.items(), reverse=True))) for bins in open_.values() for times, items in bins]
+
+
+def fillings(counts: list[int], largest: int, gap: int, most_waste: int):
+    """Undominated ways to fill ``gap`` beside ``largest``: (waste, ((length, n), ...)), the least waste first.
+
+    For each waste up to ``most_waste`` all sets with just that sum are enumerated, with every number of
+    each length; sums that the lengths still to come can't reach, kept as bits of whole numbers, cut the
+    branches. A filling is dominated, and left out, if a piece not in it could join it or take the place
+    of some of its pieces that it is at least as long as together (one of just its own length aside).
     """
-    sizes = [l for l in range(min(gap, largest), 0, -1) if counts[l]]
-    found: list[tuple[int, tuple[tuple[int, int], ...]]] = []
-    if not sizes:
-        return [(gap, ())]
-    left = [effort]
-    below = np.zeros(len(sizes) + 1, dtype=np.int64)  # all that is at hand from this size down
+    sizes = [length for length in range(min(gap, largest), 0, -1) if counts[length]]
+    whole = (1 << gap + 1) - 1
+    reach = [1] * (len(sizes) + 1)  # sums up to the gap of the lengths from this place on
     for i in range(len(sizes) - 1, -1, -1):
-        below[i] = below[i + 1] + sizes[i] * counts[sizes[i]]
-    smallest = sizes[-1]
-
-    def keep(waste: int, items: list[tuple[int, int]]) -> None:
-        found.append((waste, tuple(items)))
-        found.sort(key=lambda x: (x[0], tuple((-l, -n) for l, n in x[1])))
-        del found[width:]
-
-    def go(i: int, room: int, items: list[tuple[int, int]]) -> None:
-        left[0] -= 1
-        if len(found) == width and room - min(room, int(below[i])) >= found[-1][0]:
-            return
-        while i < len(sizes) and sizes[i] > room:
-            i += 1
-        if i == len(sizes) or room < smallest:
-            keep(room, items)
-            return
-        if len(found) == width and found[-1][0] == 0:
-            return
-        for j in range(i, len(sizes)):
-            if left[0] <= 0 and found:
-                return
-            if found and len(found) == width and room - min(room, int(below[j])) >= found[-1][0]:
-                return
-            size = sizes[j]
-            most = min(counts[size], room // size)
-            go(j + 1, room - most * size, [*items, (size, most)])
-            if len(found) == width and found[-1][0] == 0:
+        bits, left, step = reach[i + 1], min(counts[sizes[i]], gap // sizes[i]), 1
+        while left:
+            some = min(step, left)
+            bits |= bits << some * sizes[i] & whole
+            left, step = left - some, step * 2
+        reach[i] = bits
+
+    def exact(i: int, need: int, items: tuple[tuple[int, int], ...]):
+        while need:
+            if not reach[i] >> need & 1:
                 return
-            if most > 1:
-                go(j + 1, room - size, [*items, (size, 1)])
-
-    go(0, gap, [])
-    return found
-
-
-def plan_bins(histogram: dict[int, int], capacity: int, width: int = 3, effort: int = 400, restarts: int = 64) -> list[Run]:
+            size = sizes[i]
+            for n in range(min(counts[size], need // size), 0, -1):
+                if reach[i + 1] >> need - n * size & 1:
+                    yield from exact(i + 1, need - n * size, (*items, (size, n)))
+            i += 1
+        yield items
+
+    spare = sum(1 << size for size in sizes)
+    for waste in range(min(gap, most_waste) + 1):
+        if not reach[0] >> gap - waste & 1:
+            continue
+        for items in exact(0, gap - waste, ()):
+            left_out = spare & ~sum(1 << size for size, n in items if n == counts[size])
+            sums, several = 1, 0  # of any of its pieces, of two and more
+            for size, n in items:
+                for _ in range(n):
+                    several |= (several | sums & ~1) << size
+                    sums |= sums << size
+            if not left_out & several and not any(left_out >> d & sums for d in range(1, waste + 1)):
+                yield waste, items
+
+
+def plan_bins(histogram: dict[int, int], capacity: int, effort: int = 2000) -> list[Run]:
     """Pack ``histogram`` {length: count} (lengths 1..capacity) into as few bins as the search finds.
 
     Bin completion: take the longest piece left, complete its bin with an undominated filling, and
-    use that make as often as its scarcest part lasts, so that each step uses up some length and the
-    number of steps doesn't depend on the number of pieces. The plain best-fit packing is the first
-    incumbent. Branches (the next fillings of a step) are tried depth first while bins so far plus
-    the lower bound of the rest can still beat the incumbent, for ``restarts`` leaves at most; the
-    search ends early at the lower bound. Every piece is packed whatever the limits.
+    use that make as often as its scarcest part lasts or, on later branches, less often. The first
+    incumbents are best fit decreasing and the way down that always takes the least waste. Then ways
+    are tried depth first; the waste that a packing better than the incumbent may still have bounds the
+    fillings. The search ends at the lower bound, when no branch is left (the packing is then optimal),
+    or after ``effort`` bins were completed: finding the optimum is NP-hard. Every piece is packed whatever
+    the limit, never in more bins than best fit decreasing needs.
     """
-    start = [0] * (capacity + 1)
+    counts = [0] * (capacity + 1)
     for length, n in histogram.items():
         if not 1 <= length <= capacity:
             raise ValueError(f"length {length} is not in 1..{capacity}")
-        start[length] += n
-    goal = lower_bound(np.array(start, dtype=np.int64), capacity)
-
-    def complete(counts: list[int], top: int, used: int, runs: list[Run], width: int, effort: int, skip: dict[int, int], limit: int | None):
-        """One descent; ``skip`` says which filling to take at a step instead of the first."""
-        rest = sum(l * n for l, n in enumerate(counts))
-        step = 0
-        options = []
+        counts[length] += n
+    goal = lower_bound(np.array(counts, dtype=np.int64), capacity)
+    best = best_fit(counts, capacity)
+    least = sum(run.times for run in best)
+    rest = sum(length * n for length, n in enumerate(counts))
+
+    def makes(top: int, most_waste: int):
+        """(times, make) to try at a step, ``top`` the longest length left."""
+        counts[top] -= 1
+        ways = fillings(counts, top, capacity - top, most_waste)
         while True:
-            while top and not counts[top]:
-                top -= 1
-            if not top:
-                return used, runs, options
-            if limit is not None and used + -(-rest // capacity) >= limit:
-                return None, runs, options
-            counts[top] -= 1
-            ways = fillings(counts, top, capacity - top, width, effort)
+            way = next(ways, None)
             counts[top] += 1
-            options.append(len(ways))
-            _, items = ways[min(skip.get(step, 0), len(ways) - 1)]
+            if way is None:
+                return
             need = {top: 1}
-            for length, n in items:
+            for length, n in way[1]:
                 need[length] = need.get(length, 0) + n
-            times = min(counts[length] // n for length, n in need.items())
-            for length, n in need.items():
-                counts[length] -= n * times
-            rest -= times * sum(length * n for length, n in need.items())
-            used += times
-            runs.append(Run(times, tuple(sorted(need.items(), reverse=True))))
-            step += 1
-
-    best_used, best_runs, _ = complete(list(start), capacity, 0, [], 1, 1, {}, None)
-    tried, queue = 0, [{}]
-    while queue and best_used > goal and tried < restarts:
-        skip = queue.pop()
-        used, runs, options = complete(list(start), capacity, 0, [], width, effort, skip, best_used)
-        tried += 1
-        if used is not None and used < best_used:
-            best_used, best_runs = used, runs
-        last = max(skip, default=-1)
-        deep = [i for i in range(last + 1, len(options)) if options[i] > 1]
-        queue += [skip | {i: k} for i in deep[-8:] for k in range(1, options[i])]
-    return best_runs
+            make = tuple(need.items())
+            most = min(counts[length] // n for length, n in make)
+            for times in range(most, 0, -1):
+                if times == most or times * way[0] <= most_waste:
+                    yield times, make
+            counts[top] -= 1
+
+    def use(times: int, make: tuple[tuple[int, int], ...]) -> None:
+        nonlocal rest
+        for length, n in make:
+            counts[length] -= n * times
+            rest -= length * n * times
+
+    def top() -> int:
+        return next((length for length in range(capacity, 0, -1) if counts[length]), 0)
+
+    if least > goal:  # straight down by least waste
+        runs, start = [], list(counts)
+        while longest := top():
+            times, make = next(makes(longest, capacity))
+            use(times, make)
+            runs.append(Run(times, tuple(sorted(make, reverse=True))))
+        counts[:] = start
+        rest = sum(length * n for length, n in enumerate(counts))
+        if sum(run.times for run in runs) < least:
+            least, best = sum(run.times for run in runs), runs
+
+    def open_step(used: int):
+        allowed = (least - 1 - used) * capacity - rest
+        return makes(top(), allowed) if allowed >= 0 else iter(())
+
+    steps, used = [open_step(0)], 0
+    path: list[tuple[int, tuple[tuple[int, int], ...]]] = []
+    while steps and least > goal and effort > 0:
+        choice = next(steps[-1], None)
+        if choice is None:
+            steps.pop()
+            if path:
+                times, make = path.pop()
+                use(-times, make)
+                used -= times
+            continue
+        effort -= 1
+        use(*choice)
+        path.append(choice)
+        used += choice[0]
+        if rest:
+            steps.append(open_step(used))
+            continue
+        if used < least:
+            least, best = used, [Run(times, tuple(sorted(make, reverse=True))) for times, make in path]
+        times, make = path.pop()
+        use(-times, make)
+        used -= times
+    return best
 
 
 # ---- pieces of documents -----------------------------------------------------------------------
@@ -214,9 +264,9 @@ def pack(pieces: DataFrame, capacity: int, order: list[str], **search) -> DataFr
     spark = pieces.sparkSession
     parts = min(1024, max(64, shuffle_width(spark)))
     dealt = pieces.withColumn("_part", F.pmod(F.xxhash64("length", *order), F.lit(parts)).cast("int"))
-    found = dealt.groupBy("length", "_part").agg(F.count(F.lit(1)).alias("n")).toPandas()
+    found = dealt.groupBy("length", "_part").agg(F.count(F.lit(1)).alias("n")).toArrow()
     counts = np.zeros((capacity + 1, parts), dtype=np.int64)
-    counts[found["length"].to_numpy(np.int64), found["_part"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
+    counts[found["length"].to_numpy(), found["_part"].to_numpy()] = found["n"].to_numpy()
     before = np.cumsum(counts, axis=1) - counts
     runs = plan_bins({int(l): int(counts[l].sum()) for l in np.flatnonzero(counts.sum(axis=1))}, capacity, **search)
 

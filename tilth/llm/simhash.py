@@ -489,8 +489,8 @@ def _common(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                 yield pa.RecordBatch.from_arrays([pa.array(_unpacked(raw).astype(np.int64))], ["token"])
 
     counts = sets.where(F.pmod("node", F.lit(every)) == 0).select("tokens").mapInArrow(spell, "token long").groupBy("token").agg(F.count(F.lit(1)).alias("k"))
-    rows = counts.where("k > 2").orderBy(F.desc("k"), "token").limit(COMMON).toPandas().sort_values("token")
-    return rows["token"].to_numpy().astype(np.uint64), rows["k"].to_numpy().astype(np.int64)
+    rows = counts.where("k > 2").orderBy(F.desc("k"), "token").limit(COMMON).toArrow().sort_by("token")
+    return rows["token"].to_numpy().astype(np.uint64), rows["k"].to_numpy()
 
 
 def _tree_pairs(marks: DataFrame, radius: int = 2) -> DataFrame:
@@ -512,9 +512,11 @@ def _components(prints: DataFrame) -> DataFrame:
 
         order, rank = common.value
         for batch in batches:
-            if len(batch):
-                token, place, of = _prefixes([_unpacked(raw) for raw in batch.column(2).to_pylist()], order, rank)
-                node, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            node, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            block = np.cumsum(n, dtype=np.int64) // 250_000  # tokens at once
+            for lo, hi in zip(*(np.searchsorted(block, np.unique(block), side=side).tolist() for side in ("left", "right")), strict=True):
+                token, place, of = _prefixes([_unpacked(raw) for raw in batch.column(2).slice(lo, hi - lo).to_pylist()], order, rank)
+                of += lo
                 yield pa.RecordBatch.from_arrays([pa.array(token.astype(np.int64)), pa.array(n[of]), pa.array(node[of]), pa.array(place.astype(np.int32))], ["token", "n", "node", "at"])
 
     entry = "token long, n int, node long, at int"

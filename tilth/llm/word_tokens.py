@@ -9,7 +9,7 @@ texts together. Texts for which that argument needs care go through the library
 from __future__ import annotations
 
 #: Most pre-tokens that a worker keeps (about 150 bytes each). New ones past it are encoded anew in each block.
-KEEP_WORDS = 700_000
+KEEP_WORDS = 350_000
 #: The vocabulary's own split, a fixed value of its file, is: 's|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+
 #: What of it isn't a run of letters, with white space spelled out to the end of Latin-1.
 APART = r"('s|'t|'re|'ve|'m|'ll|'d|\p{N}|[^\t-\r \x{85}\x{A0}\p{L}\p{N}]+)"
@@ -145,7 +145,7 @@ def encoder(path: str) -> WordEncoder:
     return _encoders[path]
 
 
-def text_blocks(texts: list[str | None], most_chars: int = 4_000_000):
+def text_blocks(texts: list[str | None], most_chars: int = 2_000_000):
     """Cut a batch into runs of about ``most_chars`` characters, so that long texts don't pile up."""
     start, size = 0, 0
     for i, text in enumerate(texts):
