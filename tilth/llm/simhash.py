@@ -533,7 +533,10 @@ def _components(prints: DataFrame) -> DataFrame:
 
     def join_up(pairs: DataFrame, label: str) -> None:
         nonlocal done, parts
-        links = _verified(materialize(pairs, f"{label}-pairs"), sets)
+        pairs = materialize(pairs, f"{label}-pairs")
+        if pairs.isEmpty():
+            return
+        links = _verified(pairs, sets)
         done = done.union(pairs)
         grown = connected_components(links.union(parts.select(F.col("node").alias("a"), F.col("part").alias("b"))), f"{label}-components")
         parts = materialize(grown.select("node", F.col("component").alias("part")), f"{label}-parts")
@@ -546,9 +549,9 @@ def _components(prints: DataFrame) -> DataFrame:
 
     nearest = near.groupBy("b").agg(F.min(F.struct("apart", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
     join_up(nearest, "nearest")
-    join_up(apart(near.select("a", "b")), "near")
 
     # lists of up to three have given all their pairs
+    rest = near.select("a", "b")
     long = lists.where("size > 3").select("token", "n", "node", "at", "size")
     k = F.ceil(F.col("size") / CHUNK)
     mine = F.pmod(F.xxhash64("node", F.lit(1)), k).cast("int")
@@ -562,12 +565,12 @@ def _components(prints: DataFrame) -> DataFrame:
             .select("token", "cell.low", "cell.high", "block", "n", "node", "at", "part", "sketch")
             .repartition(width, "token", "low", "high").sortWithinPartitions("token", "low", "high")
         )
-        rest = materialize(spread.mapInArrow(lambda batches, most=most: _other_pairs(batches, most), "a long, b long").distinct(), "other-pairs")
-        if rest.isEmpty():
-            break
+        found = spread.mapInArrow(lambda batches, most=most: _other_pairs(batches, most), "a long, b long")
+        rest = materialize(found.union(rest).distinct(), "other-pairs")
         join_up(apart(rest.where("a is not null")), "other")
         if rest.where("a is null").isEmpty():
             break
+        rest = near.limit(0).select("a", "b")
     linked = prints.select("doc_id", "mark", "node").join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
     least = splittable(linked.groupBy("part").agg(F.min("doc_id").alias("component_id"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "mark")).alias("first")), "part")
     return linked.join(least, "part").select("doc_id", "mark", "component_id", F.col("first.mark").alias("first_mark"))
