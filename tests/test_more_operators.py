@@ -9,7 +9,7 @@ from tilth.sources import sinks
 
 def test_votes(spark):
     files = spark.createDataFrame([("a/001002.mp3",), ("a/001003.mp3",), ("2/255.mp3",), ("x.mp3",)], "path string")
-    assert tuple(keys.votes(files, "path").first()) == ("concat", 2)
+    assert tuple(keys.votes(files, "path").first()) == ("concat_3_3", 2)
     assert keys.votes(files.where("path = 'x.mp3'"), "path").count() == 0
 
 

@@ -69,10 +69,7 @@ def test_file_keys(spark, name, audit, batch):
 
 
 def test_conventions(spark):
-    by = dict(keys.CONVENTIONS)
-    assert value(spark, keys.key_by_pattern(F.lit("a/002255.mp3"), by["concat"])) == "2:255"
-    assert value(spark, keys.key_by_pattern(F.lit("2/255.mp3"), by["folder"])) == "2:255"
-    assert value(spark, keys.key_by_pattern(F.lit("surah_2_ayah_255.mp3"), by["labelled"])) == "2:255"
+    assert value(spark, keys.key_by_pattern(F.lit("a-2x255.mp3"), r"([0-9]+)x([0-9]+)")) == "2:255"
     assert value(spark, keys.reciter_of(F.lit("x.mp3"))) == "_root"
 
 
@@ -276,3 +273,16 @@ def test_roll_up(spark):
     got = scoring.roll_up(spark.createDataFrame(rows, "rule string, status string"), "rule", advisory=("madd_6_muqattaat",)).collect()
     graded = [r for r in got if not r["advisory"]]
     assert sum(r["n_ok"] for r in graded) == 2 and sum(r["n_warn"] for r in graded) == 1
+
+
+@pytest.mark.parametrize(
+    ("name", "path", "key"),
+    [
+        ("concat_3_3", "a/002255.mp3", "2:255"), ("concat_3_3", "a/12345/002255x1234567.mp3", "2:255"), ("concat_3_3", "115001.mp3", None), ("concat_3_3", "x.mp3", None),
+        ("folder", "2/255.mp3", "2:255"), ("folder", "001/001002.mp3", "1:2"), ("folder", "0002/0255.mp3", "2:255"), ("folder", "12345/2/3.mp3", "2:3"), ("folder", "2/000.mp3", None),
+        ("separated", "x_2-255.mp3", "2:255"), ("separated", "1234_5.6", "5:6"), ("separated", "2__3", None), ("separated", "0002_3.mp3", None),
+        ("labelled", "sura12_aya3.mp3", "12:3"), ("labelled", "s0001a0002.mp3", "1:2"), ("labelled", "Surah2 Ayah255", "2:255"), ("labelled", "surah_2_ayah_255.mp3", None), ("labelled", "a3s4.mp3", None),
+    ],
+)
+def test_naming_conventions(spark, name, path, key):
+    assert value(spark, keys.key_by_convention(F.lit(path), name)) == key

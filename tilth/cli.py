@@ -19,8 +19,8 @@ def index(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     files = readers.list_files(spark, a.audio_root, tuple(a.ext))
     root = F.lit(a.audio_root.rstrip("/") + "/")
     rel = F.regexp_replace("path", F.concat(F.lit(r"^.*?\Q"), root, F.lit(r"\E")), F.lit(""))
-    pattern = a.regex or dict(keys.CONVENTIONS)[a.pattern]
-    rows = files.select(rel.alias("audio_path"), (F.lit("default") if a.flat else keys.reciter_of(rel)).alias("reciter"), keys.key_by_pattern(rel, pattern).alias("key")).where("key is not null")
+    key = keys.key_by_pattern(rel, a.regex) if a.regex else keys.key_by_convention(rel, a.pattern)
+    rows = files.select(rel.alias("audio_path"), (F.lit("default") if a.flat else keys.reciter_of(rel)).alias("reciter"), key.alias("key")).where("key is not null")
     return quality.first_wins(rows, ["reciter", "key"], ["audio_path"]).select("reciter", F.split("key", ":")[0].cast("int").alias("surah"), F.split("key", ":")[1].cast("int").alias("ayah"), "audio_path", "n_duplicates")
 
 
@@ -98,7 +98,7 @@ def parser() -> argparse.ArgumentParser:
         q.add_argument("--out", required=name != "replay")
 
     need = {"required": True}
-    add("index", index, ("--audio-root", need), ("--regex", {}), ("--pattern", {"default": "concat", "choices": [n for n, _ in keys.CONVENTIONS]}), ("--ext", {"nargs": "*", "default": ["mp3", "wav", "flac", "ogg", "m4a"]}), ("--flat", {"action": "store_true"}))
+    add("index", index, ("--audio-root", need), ("--regex", {}), ("--pattern", {"default": "concat_3_3", "choices": list(keys.CONVENTIONS)}), ("--ext", {"nargs": "*", "default": ["mp3", "wav", "flac", "ogg", "m4a"]}), ("--flat", {"action": "store_true"}))
     add("ingest", ingest, ("--text", need), ("--annotations", need), ("--rule", {"nargs": "*"}), ("--surah", {"type": int}), ("--ayah", {"type": int}), ("--dead-letter", {}))
     add("audit", audit, ("--text", need), ("--index", need), ("--durations", {}), ("--reciter", {"nargs": "*"}), ("--surah", {"type": int}), ("--min-bytes", {"type": int, "default": 1024}), ("--mad-k", {"type": float, "default": 6.0}), ("--min-abs", {"type": float, "default": 0.4}), ("--ratio-low", {"type": float, "default": 0.5}), ("--ratio-high", {"type": float, "default": 2.0}))
     add("correct", correct, ("--index", need), ("--worklist", need), ("--apply", {"action": "store_true"}))

@@ -42,9 +42,7 @@ def pattern_vote(spark, sf_dir):
     p = table(spark, sf_dir, "pages")
     # a page's recording, named in one of three ways
     url = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("a/"), number(114), number(200), F.lit(".mp3"))).when(F.col("page_id") % 3 == 1, F.concat(number(114), F.lit("/"), number(200), F.lit(".mp3"))).otherwise(F.col("url"))
-    hits = [F.sum(keys.key_by_pattern(url, x).isNotNull().cast("long")).alias(n) for n, x in keys.CONVENTIONS]
-    votes = p.agg(*hits).select(F.explode(F.array(*[F.struct(F.col(n).alias("hits"), F.lit(-i).alias("order"), F.lit(n).alias("pattern")) for i, (n, _) in enumerate(keys.CONVENTIONS)])).alias("v"))
-    return votes.groupBy().agg(F.max("v").alias("v")).select("v.pattern", "v.hits").where("hits > 0")
+    return keys.votes(p.select(url.alias("url")), "url")
 
 
 def first_wins_dedup(spark, sf_dir):
@@ -194,7 +192,7 @@ SELECT c_custkey, file, CASE WHEN length(digits) = 6 AND try_cast(left(digits, 3
   THEN try_cast(left(digits, 3) AS int) || ':' || try_cast(right(digits, 3) AS int) END AS audit_key,
   CASE WHEN c_custkey % 3 IN (0, 1) THEN s || ':' || a END AS batch_key FROM g""",
     "pattern_vote": r"""WITH n AS (SELECT page_id % 3 AS k, url FROM pages),
-v AS (SELECT 'concat' AS pattern, 0 AS o, count(*) FILTER (k = 0) AS hits FROM n UNION ALL SELECT 'folder', 1, count(*) FILTER (k = 1) FROM n)
+v AS (SELECT 'concat_3_3' AS pattern, 0 AS o, count(*) FILTER (k = 0) AS hits FROM n UNION ALL SELECT 'folder', 1, count(*) FILTER (k = 1) FROM n)
 SELECT pattern, hits FROM v WHERE hits > 0 ORDER BY hits DESC, o LIMIT 1""",
     "first_wins_dedup": "SELECT sha256(text) AS text_hash, min(doc_id) AS doc_id, arg_min(lang, doc_id) AS lang, count(*) - 1 AS n_duplicates FROM documents GROUP BY 1",
     "upsert_last_wins": "SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1",
