@@ -573,6 +573,20 @@ def test_every_license_rule_passes_the_gate(spark):
     rules = [(label, name) for label, _, name in licenses.FAMILIES] + [(label, name) for label, _, name, *_ in licenses.PLAIN]
     texts = [(label, least_text(way)) for label, name in rules for way in [name]]
     texts += [("apache-2.0", "Released under Apache 2.0"), ("bsd-2-clause", "released under the BSD 2-Clause"), ("cc-by-sa", "Creative Commons Attribution-ShareAlike 4.0 International"), ("mit-0", "MIT No Attribution")]
+    texts += [(name.lower().removesuffix("-only").removesuffix("-or-later"), f"// SPDX-License-Identifier: {name}") for name in licenses.IDENTIFIERS]
     got = {r["doc_id"]: r["labels"].split(",") for r in licenses.scan(docs_of(spark, [t for _, t in texts])).collect()}
     assert [t for i, t in enumerate(texts) if got[i] == [""]] == []
-    assert all(texts[i][0] in got[i] for i in range(len(texts) - 4, len(texts)))
+    assert [x for _, need, x, *_ in licenses.PLAIN for w in need if w not in least_text(x).split()] == []
+    assert all(texts[i][0] in got[i] for i in range(len(texts) - 4 - len(licenses.IDENTIFIERS), len(texts)))
+
+
+def test_pairs_at_the_limit_are_decided_alike_from_both_sides():
+    rng = np.random.default_rng(2)
+    x = embedding_join.unit(rng.normal(size=(700, 48)) + 3)  # nearly all pairs are candidates
+    least = float((x[0] * x[1]).sum())
+    i, j = embedding_join.linked(x, x, least)
+    pairs = set(zip(i.tolist(), j.tolist(), strict=True))
+    assert len(pairs) > 100_000 and pairs == {(b, a) for a, b in pairs} and (0, 1) in pairs
+    for k in range(0, 700, 97):
+        a, b = embedding_join.linked(x[k : k + 1], x, least)
+        assert {(k, m) for m in b.tolist()} == {p for p in pairs if p[0] == k}

@@ -49,12 +49,10 @@ def reachable(x: np.ndarray, pivots: np.ndarray, angle: float) -> tuple[np.ndarr
 def linked(a: np.ndarray, b: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
     """Places (i, j) of the pairs of unit rows whose inner product in double precision is at least ``least``."""
     i, j = np.nonzero(a.astype(np.float32) @ b.astype(np.float32).T >= least - MARGIN)
-    if len(i) > 100_000:
-        rows = np.unique(i)
-        hit = a[rows] @ b.T >= least
-        i, j = np.nonzero(hit)
-        return rows[i], j
-    keep = np.einsum("ij,ij->i", a[i], b[j]) >= least
+    keep = np.zeros(len(i), bool)
+    for at in range(0, len(i), 1 << 16):  # the same sum in the same order for a pair, whichever side and however many
+        some = slice(at, at + (1 << 16))
+        keep[some] = (a[i[some]] * b[j[some]]).sum(axis=1) >= least
     return i[keep], j[keep]
 
 

@@ -136,22 +136,84 @@ PLAIN: tuple[tuple[str, tuple[str, ...], str, int, float], ...] = (
     ("redistribution", ("redistribution",), r"redistribution and use in source and binary forms", 2, 0.8),
     ("proprietary", ("proprietary",), r"proprietary (?:and confidential|licen[sc]e)", 2, 0.7),
     ("spdx", ("spdx",), r"spdx licen[sc]e identifier(?: [a-z0-9]+){1,4}", 1, 0.6),
+    ("mit", ("sublicense",), r"to use copy modify merge publish distribute sublicense and or sell copies", 2, 0.9),
+    ("mit", ("noninfringement",), r"warranties of merchantability fitness for a particular purpose and noninfringement", 1, 0.6),
+    ("mit-0", ("sublicense",), r"to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit", 2, 0.5),
+    ("isc", ("permission", "granted"), r"permission to use copy modify and (?:or )?distribute this software for any purpose with or without fee is hereby granted", 2, 0.9),
+    ("bsd", ("redistributions",), r"redistributions of source code must retain the above copyright notice", 2, 0.85),
+    ("bsd", ("redistributions",), r"redistributions in binary form must reproduce the above copyright notice", 2, 0.85),
+    ("bsd-3-clause", ("endorse",), r"may be used to endorse or promote products derived from this software without specific prior written permission", 2, 0.9),
+    ("bsd-4-clause", ("advertising",), r"all advertising materials mentioning features or use of this software must display", 2, 0.9),
+    ("apache-2.0", ("compliance",), r"you may not use this file except in compliance with the licen[sc]e", 2, 0.85),
+    ("apache-2.0", ("apache",), r"apache org licenses licen[sc]e 2 0", 3, 0.95),
+    ("gpl", ("redistribute",), r"this program is free software you can redistribute it and or modify it under the terms", 2, 0.85),
+    ("gpl", ("gnu",), r"you should have received a copy of the gnu general public licen[sc]e", 2, 0.9),
+    ("gpl", ("gnu",), r"gnu org licenses(?: gpl)?", 1, 0.6),
+    ("lgpl", ("gnu",), r"you should have received a copy of the gnu (?:lesser|library) general public licen[sc]e", 3, 0.9),
+    ("lgpl", ("redistribute",), r"this library is free software you can redistribute it and or modify it under the terms", 2, 0.85),
+    ("agpl-3.0", ("affero",), r"you should have received a copy of the gnu affero general public licen[sc]e", 3, 0.9),
+    ("no-warranty", ("merchantability",), r"(?:without even the )?implied warranty of merchantability", 1, 0.5),
+    ("no-warranty", ("warranty",), r"provided as is without (?:express or implied )?warranty", 1, 0.6),
+    ("mpl-2.0", ("mozilla",), r"subject to the terms of the mozilla public licen[sc]e", 3, 0.9),
+    ("mpl-2.0", ("mozilla",), r"mozilla org mpl 2 0", 3, 0.95),
+    ("epl-2.0", ("eclipse",), r"eclipse org legal epl 2 0", 3, 0.95),
+    ("epl-1.0", ("eclipse",), r"eclipse org legal epl v10", 3, 0.95),
+    ("zlib", ("misrepresented",), r"the origin of this software must not be misrepresented", 2, 0.9),
+    ("zlib", ("altered",), r"altered source versions must be plainly marked as such", 2, 0.85),
+    ("unlicense", ("unencumbered",), r"this is free and unencumbered software released into the public domain", 3, 0.95),
+    ("unlicense", ("unlicense",), r"unlicense org", 2, 0.8),
+    ("wtfpl", ("fuck",), r"do what the fuck you want to public licen[sc]e", 3, 0.95),
+    ("bsl-1.0", ("boost",), r"boost org licen[sc]e 1 0 txt", 3, 0.95),
+    ("cc-by", ("creativecommons",), r"creativecommons org licenses by [1-4] [05]", 3, 0.95),
+    ("cc-by-sa", ("creativecommons",), r"creativecommons org licenses by sa [1-4] [05]", 3, 0.95),
+    ("cc-by-nc", ("creativecommons",), r"creativecommons org licenses by nc [1-4] [05]", 3, 0.95),
+    ("cc-by-nd", ("creativecommons",), r"creativecommons org licenses by nd [1-4] [05]", 3, 0.95),
+    ("cc-by-nc-sa", ("creativecommons",), r"creativecommons org licenses by nc sa [1-4] [05]", 3, 0.95),
+    ("cc-by-nc-nd", ("creativecommons",), r"creativecommons org licenses by nc nd [1-4] [05]", 3, 0.95),
+    ("cc0-1.0", ("creativecommons",), r"creativecommons org publicdomain zero 1 0", 3, 0.95),
+    ("public-domain", ("creativecommons",), r"creativecommons org publicdomain mark 1 0", 3, 0.9),
+    ("cc0-1.0", ("waived",), r"(?:has )?waived all copyright and related or neighboring rights", 2, 0.9),
+    ("ofl-1.1", ("ofl",), r"scripts sil org ofl", 3, 0.95),
+    ("artistic-2.0", ("perl",), r"same terms as perl(?: itself)?", 1, 0.6),
+    ("proprietary", ("unauthorized",), r"unauthorized (?:copying|reproduction|use|distribution)(?: or distribution)? of this (?:file|software|work|document)", 2, 0.7),
+    ("proprietary", ("reproduced",), r"may not be reproduced(?: distributed)?(?: or transmitted)? in any form", 2, 0.7),
+    ("proprietary", ("confidential",), r"trade secret(?:s)? and confidential", 1, 0.6),
+    ("non-commercial", ("noncommercial",), r"for noncommercial (?:use|purposes) only", 2, 0.7),
+    ("non-commercial", ("commercial",), r"for non commercial (?:use|purposes) only", 2, 0.7),
+    ("non-commercial", ("commercial",), r"not for commercial use", 2, 0.6),
+    ("research-only", ("research",), r"for research (?:use|purposes) only", 2, 0.7),
+    ("no-derivatives", ("derivative",), r"no derivative works", 1, 0.6),
+    ("share-alike", ("sharealike",), r"sharealike [1-4] [05]", 1, 0.6),
 )
 
+# Identifiers of the SPDX list: each is a rule of its own behind "SPDX-License-Identifier:".
+IDENTIFIERS = """
+0BSD AFL-3.0 AGPL-3.0 AGPL-3.0-only AGPL-3.0-or-later Apache-1.1 Apache-2.0 Artistic-1.0 Artistic-2.0 BlueOak-1.0.0 BSD-1-Clause
+BSD-2-Clause BSD-3-Clause BSD-3-Clause-Clear BSD-4-Clause BSL-1.0 BUSL-1.1 CC0-1.0 CC-BY-1.0 CC-BY-2.0 CC-BY-2.5 CC-BY-3.0 CC-BY-4.0
+CC-BY-NC-2.0 CC-BY-NC-3.0 CC-BY-NC-4.0 CC-BY-NC-ND-3.0 CC-BY-NC-ND-4.0 CC-BY-NC-SA-3.0 CC-BY-NC-SA-4.0 CC-BY-ND-3.0 CC-BY-ND-4.0
+CC-BY-SA-2.0 CC-BY-SA-2.5 CC-BY-SA-3.0 CC-BY-SA-4.0 CDDL-1.0 CDDL-1.1 CPL-1.0 ECL-2.0 Elastic-2.0 EPL-1.0 EPL-2.0 EUPL-1.1 EUPL-1.2
+GFDL-1.2 GFDL-1.3 GPL-1.0 GPL-2.0 GPL-2.0-only GPL-2.0-or-later GPL-3.0 GPL-3.0-only GPL-3.0-or-later HPND ICU ISC JSON LGPL-2.0
+LGPL-2.1 LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0 LGPL-3.0-only LGPL-3.0-or-later Libpng MIT MIT-0 MPL-1.1 MPL-2.0 MS-PL MS-RL
+MulanPSL-2.0 NCSA ODbL-1.0 ODC-By-1.0 OFL-1.1 OpenSSL OSL-3.0 PDDL-1.0 PHP-3.01 PostgreSQL PSF-2.0 Python-2.0 Ruby SSPL-1.0
+Unicode-3.0 Unlicense UPL-1.0 Vim W3C WTFPL X11 Zlib ZPL-2.1
+""".split()
+
 
 def rules() -> list[dict]:
-    """The signature rules: every way of granting every family, and the plain ones."""
+    """The signature rules: every way of granting every family, the plain ones, and the identifiers."""
     found = [
         {"label": label, "need": [word, *need], "regex": f" {before}(?:{name})(?= )", "priority": priority, "weight": weight}
         for label, word, name in FAMILIES
         for _, need, before, priority, weight in GRANTS
     ]
     found += [{"label": l, "need": list(n), "regex": f" (?:{x})(?= )", "priority": p, "weight": w} for l, n, x, p, w in PLAIN]
+    for name in IDENTIFIERS:
+        words = re.findall("[a-z0-9]+", name.lower())
+        label = re.sub("-(only|or-later)$", "", name.lower())
+        found.append({"label": label, "need": ["spdx", words[0]], "regex": f" spdx licen[sc]e identifier {' '.join(words)}(?= )", "priority": 3, "weight": 0.95})
     return found
 
 
-
-
 def stems() -> list[str]:
     """A substring that each rule and base phrase requires: "licen" where its expression can't do without, or else its longest required word."""
 
