@@ -120,7 +120,7 @@ GRANTS: tuple[tuple[str, tuple[str, ...], str, int, float], ...] = (
     ("released", ("released", "under"), r"(?:is |are )?released under (?:the terms of |a )?", 3, 0.95),
     ("distributed", ("distributed", "under"), r"(?:is |are )?distributed under (?:the terms of |a )?", 3, 0.9),
     ("available", ("available", "under"), r"(?:is |are |made )?available under (?:the terms of |a )?", 2, 0.85),
-    ("identified", ("spdx",), r"spdx licen[sc]e identifier ", 3, 0.95),
+    ("identified", ("spdx",), r"spdx licen[sc]e identifier ", 2, 0.95),
     ("published", ("published", "under"), r"(?:is |are )?published under (?:the terms of |a )?", 2, 0.85),
 )
 
