@@ -39,13 +39,9 @@ def error_rate(spark, sf_dir):
     return a.join(b, "item_id").select("item_id", F.round(rate, 9).alias("cer"), F.when(rate > 0.75, "mismatch").otherwise("ok").alias("content"))
 
 
-def _names(spark, sf_dir):
-    return table(spark, sf_dir, "part").select(F.col("p_name").alias("name")).distinct()
-
-
 def _name_pairs(spark, sf_dir):
-    n = _names(spark, sf_dir)  # a dimension of two-word names, met by their first letters
-    return n.select(F.col("name").alias("a"), F.left("name", F.lit(1)).alias("k")).join(n.select(F.col("name").alias("b"), F.left("name", F.lit(1)).alias("k")), "k")
+    n = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("a"))  # each name beside the next part's
+    return n.join(n.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("a").alias("b")), "p_partkey").select("a", "b").distinct()
 
 
 def semi_global_fit(spark, sf_dir):
@@ -58,7 +54,8 @@ def bigram_overlap(spark, sf_dir):
 
 
 def locate_span(spark, sf_dir):
-    verses = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("int").alias("pos"), text.letters_only(F.col("text")).alias("letters"))
+    ascii_text = F.regexp_replace("text", r"[^\x00-\x7F]", "?")
+    verses = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("int").alias("pos"), text.letters_only(ascii_text).alias("letters"))
     clips = verses.select("conv_id", F.col("pos").alias("clip"), F.when(F.col("pos") % 2 == 0, F.col("pos")).alias("near"), F.substring("letters", 5, 60).alias("decoded"))
     return locate.locate(clips, verses, ["conv_id"])
 
@@ -75,7 +72,12 @@ def word_verdicts(spark, sf_dir):
 def traceback_match(spark, sf_dir):
     p = _name_pairs(spark, sf_dir)
     region = alignment.region_udf("a", "b")
-    return p.select("a", "b", F.array_join(F.transform(alignment.matched_udf("a", "b"), lambda x: F.coalesce(x.cast("string"), F.lit("-"))), ",").alias("matched"), region.alias("r")).select("a", "b", "matched", "r.start", "r.end")
+    letters, first = F.replace("b", F.lit(" "), F.lit("")), F.length(F.substring_index("b", " ", 1))
+    ratios = alignment.word_ratios_udf(F.replace("a", F.lit(" "), F.lit("")), letters, F.array(F.lit(0), first), F.array(first, F.length(letters)))
+    matched = F.array_join(F.transform(alignment.matched_udf("a", "b"), lambda x: F.coalesce(x.cast("string"), F.lit("-"))), ",")
+    found = p.select("a", "b", matched.alias("matched"), region.alias("r"), ratios.alias("w"))
+    share = lambda i: F.round(F.get("w", F.lit(i)), 9)
+    return found.select("a", "b", "matched", "r.start", "r.end", share(0).alias("first_ratio"), share(1).alias("second_ratio"))
 
 
 def word_ratio_scores(spark, sf_dir):
@@ -154,7 +156,25 @@ _NORMAL = (
 _WORDS = r"""p AS (SELECT item_id, generate_subscripts(string_split_regex(text, '\s'), 1) AS k, unnest(string_split_regex(text, '\s')) AS word FROM benchmark),
 o AS (SELECT item_id, word, k, coalesce(sum(length(word) + 1) OVER (PARTITION BY item_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::int AS s FROM p),
 w AS (SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY k) - 1)::int AS pos, word, s AS w0, (s + length(word))::int AS w1 FROM o WHERE word <> '')"""
-_PAIRS = "n AS (SELECT DISTINCT p_name AS name FROM part), q AS (SELECT x.name AS a, y.name AS b FROM n x JOIN n y ON left(x.name, 1) = left(y.name, 1))"
+_PAIRS = "n AS (SELECT DISTINCT p_name AS name FROM part), q AS (SELECT DISTINCT x.p_name AS a, y.p_name AS b FROM part x JOIN part y ON y.p_partkey = x.p_partkey + 1)"
+
+
+def _back(pairs: str, name: str, free_start: bool) -> str:
+    """CTEs: the way back through the edit distances of ``pairs`` (h, r): diagonal, then deletion, then insertion."""
+    if free_start:
+        d = lambda i, j: f"list_min(list_transform(range(0, {j} + 1), lambda k: levenshtein(left(h, {i}), substr(r, k + 1, {j} - k))))"
+        end = f"length(r) - list_position(list_transform(range(0, length(r) + 1), lambda x: {d('length(h)', 'length(r) - x')}), list_min(list_transform(range(0, length(r) + 1), lambda x: {d('length(h)', 'length(r) - x')}))) + 1"
+    else:
+        d = lambda i, j: f"levenshtein(left(h, {i}), left(r, {j}))"
+        end = "length(r)"
+    same = "substr(h, i, 1) = substr(r, j, 1)"
+    return f"""{name} AS (SELECT h, r, length(h)::int AS i, ({end})::int AS j, NULL::int AS hit, 0 AS n FROM {pairs} UNION ALL
+SELECT h, r, CASE WHEN move = 'left' THEN i ELSE i - 1 END, CASE WHEN move = 'up' THEN j ELSE j - 1 END, CASE WHEN move = 'both' AND {same} THEN j - 1 END, n + 1
+FROM (SELECT *, CASE WHEN i > 0 AND j > 0 AND {d('i', 'j')} = {d('i - 1', 'j - 1')} + ({same})::int * -1 + 1 THEN 'both'
+WHEN j > 0 AND {d('i', 'j')} = {d('i', 'j - 1')} + 1 THEN 'left' ELSE 'up' END AS move FROM {name} WHERE i > 0{'' if free_start else ' OR j > 0'}))"""
+
+
+_FIT = "list_min(list_transform(range(0, least(length(run), 2 * length(decoded)) + 1), lambda k: levenshtein({}, left({}, k))))"
 SQL = {
     "slice_words": r"""WITH s AS (SELECT item_id, text, unnest(range(0, 41, 7))::int AS s FROM benchmark)
 SELECT item_id, s AS start, substr(text, s + 1, 5) AS segment, regexp_extract(left(text, s), '([^ ]*)$', 1) || substr(text, s + 1, 5) || regexp_extract(substr(text, s + 6), '^([^ ]*)', 1) AS word FROM s""",
@@ -167,6 +187,37 @@ SELECT item_id, round(r, 9) AS cer, CASE WHEN r > 0.75 THEN 'mismatch' ELSE 'ok'
 round(list_min(list_transform(range(0, length(b) + 1), lambda k: levenshtein(reverse(a), left(reverse(b), k)))) / length(a)::double, 9) AS suffix FROM q""",
     "bigram_overlap": f"""WITH {_PAIRS}, g AS (SELECT name, substr(name, i, 2) AS g, count(*) AS c FROM n, range(1, 100) t(i) WHERE i < greatest(length(name), 2) GROUP BY 1, 2)
 SELECT a, b, coalesce(sum(CASE WHEN y.c IS NOT NULL THEN least(x.c, y.c) END), 0)::int AS overlap FROM q LEFT JOIN g x ON x.name = a LEFT JOIN g y ON y.name = b AND y.g = x.g GROUP BY 1, 2""",
+    "traceback_match": f"""WITH RECURSIVE {_PAIRS}, l AS (SELECT *, replace(a, ' ', '') AS x, replace(b, ' ', '') AS y, length(split_part(b, ' ', 1))::int AS w FROM q),
+spans AS (SELECT a AS h, b AS r FROM l UNION SELECT x, y FROM l), {_back("spans", "free", True)},
+region AS (SELECT h, r, min(j) AS lo, greatest(min(j), max(j) - 1) AS hi FROM free GROUP BY 1, 2),
+c AS (SELECT l.*, greatest(0, lo - 4) AS lo, least(length(y), hi + 5)::int AS hi FROM l JOIN region ON h = x AND r = y),
+whole AS (SELECT a AS h, b AS r FROM c UNION SELECT x, substr(y, lo + 1, hi - lo) FROM c), {_back("whole", "fixed", False)},
+hits AS (SELECT h, r, hit AS spot, i AS place FROM fixed WHERE hit IS NOT NULL),
+m AS (SELECT a, b, string_agg(coalesce(place::varchar, '-'), ',' ORDER BY k) AS matched FROM (SELECT a, b, unnest(range(length(b)))::int AS k FROM q) LEFT JOIN hits ON h = a AND r = b AND spot = k GROUP BY 1, 2),
+e AS (SELECT c.*, 1 AS nth, 0 AS s, w AS t FROM c UNION ALL SELECT c.*, 2, w, length(y)::int FROM c),
+g AS (SELECT a, b, nth, any_value(s) AS s, any_value(t) AS t, any_value(lo) AS lo, any_value(hi) AS hi, count(place) AS n, max(place) - min(place) + 1 - count(place) AS gap
+FROM e LEFT JOIN hits ON h = x AND r = substr(y, lo + 1, hi - lo) AND spot + lo >= s AND spot + lo < t GROUP BY 1, 2, 3),
+v AS (SELECT a, b, nth, CASE WHEN t <= lo OR s >= hi THEN NULL WHEN s = t THEN 1.0 WHEN n = 0 OR gap > 1 THEN 0.0 ELSE round(n::double / (t - s), 9) END AS v FROM g)
+SELECT m.a, m.b, matched, region.lo AS start, region.hi AS "end", v1.v AS first_ratio, v2.v AS second_ratio FROM m JOIN region ON region.h = m.a AND region.r = m.b
+JOIN v v1 ON v1.a = m.a AND v1.b = m.b AND v1.nth = 1 JOIN v v2 ON v2.a = m.a AND v2.b = m.b AND v2.nth = 2""",
+    "locate_span": rf"""WITH v AS (SELECT conv_id, turn::int AS pos, regexp_replace(regexp_replace(text, '[^\x00-\x7F]', '?', 'g'), '[\s\x{{0B}}]', '', 'g') AS letters FROM conversations),
+c AS (SELECT conv_id, pos AS clip, CASE WHEN pos % 2 = 0 THEN pos END AS near, substr(letters, 5, 60) AS decoded FROM v),
+runs AS (SELECT x.conv_id, x.pos AS i, y.pos AS j, string_agg(z.letters, '' ORDER BY z.pos) AS run FROM v x JOIN v y ON y.conv_id = x.conv_id AND y.pos BETWEEN x.pos AND x.pos + 5
+JOIN v z ON z.conv_id = x.conv_id AND z.pos BETWEEN x.pos AND y.pos GROUP BY 1, 2, 3),
+p AS (SELECT c.*, i, j, run, (floor(length(decoded) * 1.3) + 5)::int AS cap FROM c JOIN runs USING (conv_id) WHERE length(decoded) > 0),
+sides AS (SELECT conv_id, clip, i, j, side, unnest(list_transform(range(1, greatest(length(t), 2)), lambda k: substr(t, k, 2))) AS g
+FROM (SELECT conv_id, clip, i, j, 'head' AS side, left(run, cap) AS t FROM p UNION ALL SELECT conv_id, clip, i, j, 'tail', right(run, cap) FROM p) WHERE t <> ''),
+own AS (SELECT conv_id, clip, g, count(*) AS n FROM (SELECT conv_id, clip, unnest(list_transform(range(1, greatest(length(decoded), 2)), lambda k: substr(decoded, k, 2))) AS g FROM c WHERE decoded <> '') GROUP BY 1, 2, 3),
+bags AS (SELECT conv_id, clip, i, j, side, g, count(*) AS n FROM sides GROUP BY ALL),
+met AS (SELECT conv_id, clip, i, j, max(n) AS shared FROM (SELECT bags.conv_id, bags.clip, i, j, side, sum(least(bags.n, own.n)) AS n FROM bags JOIN own ON own.conv_id = bags.conv_id AND own.clip = bags.clip AND own.g = bags.g GROUP BY ALL) GROUP BY ALL),
+kinds AS (SELECT conv_id, clip, count(*) AS n FROM own GROUP BY ALL),
+scored AS (SELECT p.*, row_number() OVER (PARTITION BY p.conv_id, p.clip ORDER BY coalesce(shared, 0)::double / greatest(kinds.n, least(length(run), cap), 1) DESC, p.i, p.j) AS place
+FROM p JOIN kinds ON kinds.conv_id = p.conv_id AND kinds.clip = p.clip LEFT JOIN met ON met.conv_id = p.conv_id AND met.clip = p.clip AND met.i = p.i AND met.j = p.j),
+f AS (SELECT conv_id, clip, near, i, j, least({_FIT.format("decoded", "run")}, {_FIT.format("reverse(decoded)", "reverse(run)")}) / length(decoded)::double AS cer FROM scored WHERE place <= 6 OR length(decoded) < 12),
+u AS (SELECT * FROM f WHERE NOT EXISTS (SELECT 1 FROM f n WHERE n.conv_id = f.conv_id AND n.clip = f.clip AND n.cer <= f.cer + 1e-9 AND n.i >= f.i AND n.j <= f.j AND n.j - n.i < f.j - f.i)),
+w AS (SELECT *, min(cer) OVER (PARTITION BY conv_id, clip) AS low FROM u)
+SELECT conv_id, clip, i AS "from", j AS "to", cer FROM w WHERE low <= 0.75 AND cer <= low + CASE WHEN near IS NULL THEN 0 ELSE 0.05 END
+QUALIFY row_number() OVER (PARTITION BY conv_id, clip ORDER BY coalesce(abs(i - near), 0), cer, i, j) = 1""",
     "word_verdicts": f"""WITH {_WORDS}, r AS (SELECT item_id, unnest(range(0, length(text), 9)) AS r0 FROM benchmark),
 h AS (SELECT w.item_id, w.pos, bool_or((r0 // 9) % 3 = 0) AS warn, count(*) AS n FROM w JOIN r ON r.item_id = w.item_id AND r0 < w1 AND r0 + 3 > w0 GROUP BY 1, 2)
 SELECT w.item_id, w.pos, coalesce(n, 0) AS n_rules, CASE WHEN length(word) > 6 THEN 'red' WHEN coalesce(warn, false) THEN 'yellow' ELSE 'green' END AS verdict FROM w LEFT JOIN h ON h.item_id = w.item_id AND h.pos = w.pos""",
