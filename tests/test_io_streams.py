@@ -134,3 +134,126 @@ def test_sticky(spark):
     rows = [("w", 1, "green"), ("w", 2, "red"), ("v", 1, "red"), ("v", 2, "red")]
     got = windows.sticky_verdicts(spark.createDataFrame(rows, "k string, s int, v string"), ["k"], "s", F.col("v") != "red", "v").collect()
     assert {(r["k"], r["v"]) for r in got} == {("w", "green"), ("v", "red")}
+
+
+def test_failing_batch_is_tried_again(spark, tmp_path, monkeypatch):
+    rows = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "k int, v string")
+    tries, waits = [], []
+    real = windows.upsert
+
+    def fails(times):
+        def run(*args, **kw):
+            tries.append(1)
+            if len(tries) <= times:
+                raise OSError("busy")
+            return real(*args, **kw)
+
+        return run
+
+    monkeypatch.setattr(windows.time, "sleep", waits.append)
+    monkeypatch.setattr(windows, "upsert", fails(2))
+    windows.keyed_batches(str(tmp_path / "t"), ["k"], ["v"], backoff=0.5)(rows, 0)
+    assert len(tries) == 3 and waits == [0.5, 1.0]
+    assert {(r["k"], r["v"]) for r in spark.read.parquet(str(tmp_path / "t" / "version=0")).collect()} == {(1, "b"), (2, "c")}
+    tries.clear()
+    monkeypatch.setattr(windows, "upsert", fails(9))
+    with pytest.raises(OSError):
+        windows.keyed_batches(str(tmp_path / "t"), ["k"], ["v"])(rows, 1)
+    assert len(tries) == 3 and sinks.versions(spark, str(tmp_path / "t")) == [0]
+
+
+def test_restart_skips_finished_keys(spark, tmp_path):
+    path, seen = str(tmp_path / "done"), []
+    work = lambda n: spark.createDataFrame([("r", i) for i in range(n)], "reciter string, ayah int")
+
+    def process(rows):
+        seen.extend(r["ayah"] for r in rows.collect())
+        return rows.withColumn("harakat", F.col("ayah") * 1.5)
+
+    assert sinks.resume(spark, work(3), ["reciter", "ayah"], process, path) == 3
+    with pytest.raises(ValueError):  # a run that dies appends nothing
+        sinks.resume(spark, work(5), ["reciter", "ayah"], lambda rows: (_ for _ in ()).throw(ValueError()), path)
+    assert sinks.resume(spark, work(5), ["reciter", "ayah"], process, path) == 2
+    assert sinks.resume(spark, work(5), ["reciter", "ayah"], process, path) == 0
+    assert sorted(seen) == [0, 1, 2, 3, 4] and spark.read.json(path).count() == 5
+
+
+def test_bounded_buffer_and_skipped_ticks(spark, tmp_path):
+    import time
+
+    schema = "k string, at timestamp, x double"
+    batches = [[("a", t, 1.0) for t in range(0, 5000, 500)], [("a", t, 3.0) for t in range(5000, 6000, 500)] + [("b", 0, 2.0)]]
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, "k string, ms long, x double").select("k", F.timestamp_millis("ms").alias("at"), "x").coalesce(1).write.mode("append").parquet(str(tmp_path / f"in{i}"))
+    (tmp_path / "in").mkdir()
+    for i in range(2):
+        for f in (tmp_path / f"in{i}").glob("*.parquet"):
+            f.rename(tmp_path / "in" / f"{i}-{f.name}")
+            time.sleep(1.1)
+    stream = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = windows.recent_levels(stream(), "k", "at", "x", 1000).writeStream.format("memory").queryName("recent").outputMode("append").option("checkpointLocation", str(tmp_path / "c1")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert sorted((r["k"], r["at_ms"], r["n"], r["rms"]) for r in spark.table("recent").collect()) == [("a", 4500, 2, 1.0), ("a", 5500, 2, 3.0), ("b", 0, 1, 2.0)]
+    began = []
+
+    def slow(batch, _):
+        began.append(time.monotonic())
+        batch.count()
+        time.sleep(1.5)
+
+    q = windows.start_ticks(stream(), slow, str(tmp_path / "c2"), "1 second")
+    q.processAllAvailable()
+    q.stop()
+    assert len(began) == 2 and began[1] - began[0] >= 1.5
+
+
+def wav(samples, rate=8000, bits=16, channels=1, cut=0):
+    import struct
+
+    data = b"".join(int(x * (1 << (bits - 1))).to_bytes(bits // 8, "little", signed=True) for x in samples)
+    head = struct.pack("<4sIHHIIHH", b"fmt ", 16, 1, channels, rate, rate * channels * bits // 8, channels * bits // 8, bits)
+    body = b"WAVE" + head + struct.pack("<4sI", b"data", len(data)) + data
+    return (b"RIFF" + struct.pack("<I", len(body)) + body)[: len(body) + 8 - cut]
+
+
+def test_headers_and_waveforms(spark, tmp_path):
+    frame = bytes((0xFF, 0xFB, 0x90, 0x00)) + bytes(413)  # 128 kbit/s at 44100: 417 bytes, 1152 samples
+    files = {
+        "ok.wav": wav([0.5, -0.5] * 400), "wide.wav": wav([0.25] * 1200, bits=24), "two.wav": wav([0.5, 0.25] * 400, channels=2),
+        "none.wav": b"", "tiny.wav": wav([0.1] * 4), "zero.wav": b"RIFF" + wav([])[4:] + b"junk" + (600).to_bytes(4, "little") + bytes(600),
+        "bad.wav": b"RIFF\x00\x00\x00\x00WAVE" + bytes(700), "text.mp3": b"hello " * 200, "ok.mp3": b"ID3\x04\x00\x00\x00\x00\x00\x0a" + bytes(10) + frame * 100, "bad.mp3": b"\xff" + bytes(900),
+    }
+    for name, raw in files.items():
+        (tmp_path / name).write_bytes(raw)
+    got = {r["path"].rsplit("/", 1)[1]: r for r in readers.probe_files(spark, str(tmp_path), 500).collect()}
+    status = {n: r["status"] for n, r in got.items()}
+    assert status == {
+        "ok.wav": "ok", "wide.wav": "ok", "two.wav": "ok", "tiny.wav": "tiny", "zero.wav": "zero_duration", "bad.wav": "corrupt",
+        "text.mp3": "unreadable", "ok.mp3": "ok", "bad.mp3": "corrupt",
+    }
+    assert got["ok.wav"]["duration"] == 0.1 and got["ok.wav"]["bitrate"] == 128_000
+    assert got["ok.mp3"]["duration"] == pytest.approx(100 * 1152 / 44100) and got["ok.mp3"]["bitrate"] == pytest.approx(128_000, rel=0.01)
+    waves = {r["path"].rsplit("/", 1)[1]: r for r in readers.read_waveforms(spark, str(tmp_path)).collect()}
+    assert waves["ok.wav"]["rate"] == 8000 and waves["ok.wav"]["signal"][:2] == [0.5, -0.5]
+    assert set(waves["wide.wav"]["signal"]) == {0.25} and waves["two.wav"]["signal"] == [0.375] * 400
+    assert all(waves[n]["rate"] is None and waves[n]["signal"] is None for n in ("bad.wav", "text.mp3", "ok.mp3"))
+
+
+def test_settings(tmp_path):
+    from tilth import settings
+
+    path = tmp_path / "env"
+    path.write_text("# note\n\nA=1\nexport B = 'two words'\nC=x # why\n=3\nbroken\n")
+    assert settings.read_file(str(path)) == {"A": "1", "B": "two words", "C": "x"}
+    assert settings.setting("A", path=str(path), environ={"A": "9"}) == "9"
+    assert settings.setting("B", path=str(path), environ={}) == "two words" and settings.setting("D", "d", str(path), {}) == "d"
+    assert settings.load(str(tmp_path / "no"), {}) == {}
+
+
+def test_reciters_and_colours(spark):
+    from tilth.sources import dimensions
+
+    assert dimensions.reciters(spark).count() == 30
+    rows = spark.createDataFrame([("alafasy", "iqlab"), ("nobody", "other"), (None, None)], "reciter string, rule string")
+    got = dimensions.with_reciter_names(rows).select("reciter_name", dimensions.rule_colour(F.col("rule")).alias("c")).collect()
+    assert {(r["reciter_name"], r["c"]) for r in got} == {("Mishary Alafasy", "#7E57C2"), ("nobody", "#C9A227"), (None, "#C9A227")}

@@ -28,6 +28,47 @@ RULES = (
     ("idghaam_mutajanisayn", "Merging of similar letters", "ghunnah"),
     ("idghaam_mutaqaribayn", "Merging of close letters", "ghunnah"),
 )
+# Display colour of each rule, and of any other.
+COLOURS = {
+    "madd_2": "#E8A33D", "madd_246": "#F2C14E", "madd_6": "#E5392B", "madd_munfasil": "#F58B3C", "madd_muttasil": "#E5662E", "ghunnah": "#1E9E8A",
+    "idghaam_ghunnah": "#2BB673", "idghaam_no_ghunnah": "#7FB069", "idghaam_shafawi": "#4C9A7A", "idghaam_mutajanisayn": "#5FA8A0", "idghaam_mutaqaribayn": "#6FB3AB",
+    "ikhfa": "#3E78B2", "ikhfa_shafawi": "#5B8FD6", "iqlab": "#7E57C2", "qalqalah": "#C2407A", "hamzat_wasl": "#9AA0A6", "lam_shamsiyyah": "#B0883B", "silent": "#C4C7CC",
+}
+OTHER_COLOUR = "#C9A227"
+# Reciter key, display name, style.
+RECITERS = (
+    ("abdul_basit_murattal", "Abdul Basit Murattal", "Murattal"),
+    ("abdullaah_3awwaad_al_juhaynee", "Abdullaah Awwaad Al-Juhaynee", "Murattal"),
+    ("abdullah_basfar", "Abdullah Basfar", "Murattal"),
+    ("abdulsamad", "Abdul Samad", "Murattal"),
+    ("abdurrahmaan_as_sudais", "Abdurrahmaan As-Sudais", "Murattal"),
+    ("abu_bakr_ash_shaatree", "Abu Bakr Ash-Shaatree", "Murattal"),
+    ("alafasy", "Mishary Alafasy", "Murattal"),
+    ("ali_jaber", "Ali Jaber", "Murattal"),
+    ("ayman_sowaid", "Ayman Sowaid", "Murattal"),
+    ("banna", "Mahmoud Al-Banna", "Murattal"),
+    ("fares_abbad", "Fares Abbad", "Murattal"),
+    ("ghamadi", "Saad Al-Ghamadi", "Murattal"),
+    ("hani_rifai", "Hani Ar-Rifai", "Murattal"),
+    ("hudhaify", "Ali Al-Hudhaify", "Murattal"),
+    ("husary", "Mahmoud Al-Husary", "Murattal"),
+    ("husary_mujawwad", "Mahmoud Al-Husary", "Mujawwad"),
+    ("hussary.teacher", "Al-Husary (Teacher)", "Teacher"),
+    ("ibrahim_akhdar", "Ibrahim Al-Akhdar", "Murattal"),
+    ("minshawy_mujawwad", "Mohamed Al-Minshawy", "Mujawwad"),
+    ("minshawy_murattal", "Mohamed Al-Minshawy", "Murattal"),
+    ("minshawy_teacher", "Al-Minshawy (Teacher)", "Teacher"),
+    ("mostafa_ismail", "Mostafa Ismail", "Murattal"),
+    ("muhammad_jibreel", "Muhammad Jibreel", "Murattal"),
+    ("muhsin_al_qasim", "Muhsin Al-Qasim", "Murattal"),
+    ("nasser_alqatami", "Nasser Al-Qatami", "Murattal"),
+    ("saood_ash_shuraym", "Saood Ash-Shuraym", "Murattal"),
+    ("tunaiji", "Khalifa Al-Tunaiji", "Murattal"),
+    ("warsh_husary", "Al-Husary (Warsh)", "Warsh"),
+    ("warsh_yassin", "Yassin Al-Jazairi (Warsh)", "Warsh"),
+    ("yasser_ad_dussary", "Yasser Ad-Dussary", "Murattal"),
+)
+DEFAULT_RECITER = "alafasy"
 # Textbook bands in counts.
 BANDS = {
     "madd_2": (2.0, 2.0),
@@ -81,6 +122,24 @@ def rules(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, RULE_SCHEMA)
 
 
+def reciters(spark: SparkSession) -> DataFrame:
+    """The 30 reciters: reciter, name, style."""
+    return spark.createDataFrame(RECITERS, "reciter string, name string, style string")
+
+
+def with_reciter_names(rows: DataFrame, key: str = "reciter") -> DataFrame:
+    """``rows`` with ``reciter_name``; a reciter that isn't in the dimension is named by its key, null stays null."""
+    names = reciters(rows.sparkSession).select(F.col("reciter").alias("_k"), F.col("name").alias("reciter_name"))
+    found = rows.join(F.broadcast(names), F.col(key) == F.col("_k"), "left").drop("_k")  # 30 rows
+    return found.withColumn("reciter_name", F.coalesce("reciter_name", F.col(key)))
+
+
+def rule_colour(rule):
+    """Column: a rule's display colour, one default for any other."""
+    known = F.create_map(*[F.lit(x) for pair in COLOURS.items() for x in pair])
+    return F.coalesce(F.try_element_at(known, rule), F.lit(OTHER_COLOUR))
+
+
 def effective_rule(rule, surah, ayah):
     """Column: a six-count prolongation on disjoint letters is a rule of its own."""
     disjoint = (surah.isin(*DISJOINT_SURAHS) & (ayah == 1)) | ((surah == DISJOINT_EXTRA[0]) & (ayah == DISJOINT_EXTRA[1]))

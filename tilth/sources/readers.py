@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tilth.functions import audio
+from tilth.operators.quality import integrity
+
 ANNOTATIONS = T.StructType(
     [
         T.StructField("surah", T.IntegerType()),
@@ -100,3 +103,23 @@ def read_checkpoint(spark: SparkSession, path: str) -> DataFrame:
     """Calibration checkpoint lines -> reciter, surah, ayah, rule, harakat, nasality; verses without results give one row of nulls."""
     schema = "reciter string, surah int, ayah int, results array<struct<rule: string, harakat: double, nasality: double>>"
     return spark.read.schema(schema).json(path).select("reciter", "surah", "ayah", F.explode_outer("results").alias("r")).select("reciter", "surah", "ayah", "r.rule", "r.harakat", "r.nasality")
+
+
+def probe_files(spark: SparkSession, path: str, least_bytes: int = 1024) -> DataFrame:
+    """Audio files below a folder by their headers: path, length, duration in seconds, bitrate, status.
+
+    The ladder of ``quality.integrity``; unreadable: no known container, corrupt: one whose header
+    doesn't hold together. RIFF WAVE and MPEG layer III are known. Files are probed where they are read.
+    Spark gives no row for a file without bytes, so its key comes out as missing from the coverage.
+    """
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    found = found.where(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin("mp3", "wav", "flac", "ogg", "m4a"))
+    probed = found.select("path", "length", audio.probe_udf("content").alias("p"))
+    status = integrity(F.col("length"), F.col("p.duration"), F.col("p.known"), least_bytes)
+    return probed.select("path", "length", F.when(status.isin("ok", "zero_duration"), F.col("p.duration")).alias("duration"), F.when(status == "ok", F.col("p.bitrate")).alias("bitrate"), status.alias("status"))
+
+
+def read_waveforms(spark: SparkSession, path: str) -> DataFrame:
+    """WAV files -> path, rate, signal (mono, -1 to 1); both null where a file can't be read, so that measures go by durations alone."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", audio.waveform_udf("content").alias("w"))
+    return found.select("path", "w.rate", "w.signal")

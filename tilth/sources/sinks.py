@@ -84,6 +84,23 @@ def replay(spark: SparkSession, infile: str, residual: str, target: str, schemas
     return counts
 
 
+def resume(spark: SparkSession, work: DataFrame, keys: list[str], process, path: str) -> int:
+    """Process the rows of ``work`` whose ``keys`` the checkpoint below ``path`` doesn't hold yet, and append to it. -> rows left over by earlier runs.
+
+    ``process(rows)`` gives ``keys`` and result columns. Each run appends its results as JSON lines in
+    one commit: a run that fails appends nothing and is repeated, finished keys are never processed again.
+    """
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    left = work
+    if hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
+        done = spark.read.schema(work.select(*keys).schema).json(path).distinct()
+        left = work.join(done, keys, "left_anti")
+    n = left.count()
+    if n:
+        process(left).write.mode("append").json(path)
+    return n
+
+
 def write_worklist(problems: DataFrame, path: str) -> None:
     """Tab-separated repair list."""
     problems.write.mode("overwrite").csv(path, sep="\t", header=True)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,14 +37,55 @@ def sticky_verdicts(rounds: DataFrame, keys: list[str], seq: str, ok: Column, ve
     return best.select(*keys, F.col("b.v").alias(verdict), F.col("b.ok").alias("content_ok"))
 
 
-def keyed_batches(target: str, keys: list[str], order: list[str]):
+def keyed_batches(target: str, keys: list[str], order: list[str], retries: int = 3, backoff: float = 1.0):
     """A ``foreachBatch`` function that upserts each batch, last row per key winning; a repeated batch changes nothing.
 
-    Each batch writes a whole new version below ``target``, named after its batch id.
+    Each batch writes a whole new version below ``target``, named after its batch id. A failing write
+    is tried ``retries`` times, after ``backoff`` seconds times the tries so far; then the batch fails
+    and the stream with it, so that a restart repeats it from the checkpoint.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark: SparkSession = batch.sparkSession
-        upsert(spark, batch, target, keys, order, version=batch_id)
+        for attempt in range(1, retries + 1):
+            try:
+                upsert(spark, batch, target, keys, order, version=batch_id)
+                return
+            except Exception:
+                if attempt == retries:
+                    raise
+                time.sleep(backoff * attempt)
 
     return write
+
+
+def recent_levels(samples: DataFrame, key: str, at: str, value: str, width_ms: int, delay: str = "10 seconds") -> DataFrame:
+    """Level of the last ``width_ms`` of each key's samples after every batch that brings some: key, at_ms, n, rms.
+
+    The state per key is a bounded buffer: samples of the last two windows before its latest one,
+    older ones are dropped, late ones too.
+    """
+    import numpy as np
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    def run(key_: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        times, loud = state.get if state.exists else ([], [])
+        new = [f for f in frames]
+        t = np.concatenate([np.asarray(times, dtype=np.int64), *[f["_at"].to_numpy(dtype=np.int64) for f in new]])
+        x = np.concatenate([np.asarray(loud, dtype=float), *[f["_x"].to_numpy(dtype=float) for f in new]])
+        order = np.lexsort((x, t))
+        t, x = t[order], x[order]
+        last = int(t[-1])
+        keep, now = t > last - 2 * width_ms, t > last - width_ms
+        state.update((t[keep].tolist(), x[keep].tolist()))
+        yield pd.DataFrame([(key_[0], last, int(now.sum()), float(np.sqrt(np.mean(x[now] ** 2))))], columns=[key, "at_ms", "n", "rms"])
+
+    kind = samples.schema[key].dataType.simpleString()
+    ready = samples.where(F.col(value).isNotNull() & F.col(at).isNotNull()).withWatermark(at, delay).select(key, F.unix_millis(at).alias("_at"), F.col(value).cast("double").alias("_x"))
+    return ready.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, at_ms long, n int, rms double", "times array<long>, loud array<double>", "append", GroupStateTimeout.NoTimeout)
+
+
+def start_ticks(stream: DataFrame, write, checkpoint: str, every: str):
+    """Start ``write(batch, id)`` at most once per ``every``: ticks that pass while a batch is at work are skipped, their rows go into the next batch."""
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
