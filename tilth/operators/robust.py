@@ -9,6 +9,15 @@ from pyspark.sql.window import Window
 #: Half-width, in ranks over n, of the bracket searched around a quantile, and the sketch's accuracy.
 BRACKET, ACCURACY = 0.01, 10_000
 
+#: Most rows of a grouped side that is broadcast.
+FEW = 10_000
+
+
+def few_rows(side: DataFrame) -> DataFrame:
+    """A small grouped side of a join: computed once and kept; broadcast if it has at most ``FEW`` rows, else joined by shuffle."""
+    kept = side.persist()
+    return F.broadcast(kept) if kept.limit(FEW + 1).count() <= FEW else kept
+
 
 def order_statistics(df: DataFrame, keys: list[str], value: str, wanted: dict[str, Column]) -> DataFrame:
     """Exact values at 0-based ranks per group: ``wanted`` maps names to rank columns over ``n``.
@@ -30,7 +39,7 @@ def order_statistics(df: DataFrame, keys: list[str], value: str, wanted: dict[st
         ),
     )
     # grid ends hold no slack: the first is the least value, the last the largest
-    marks = ranks.select(*keys, "n", bracket.alias("_b"))
+    marks = few_rows(ranks.select(*keys, "n", bracket.alias("_b")))
     seen = (
         rows.join(marks, keys)
         .select(*keys, "n", "_v", F.explode("_b").alias("b"))
@@ -66,7 +75,7 @@ def calibration_bands(samples: DataFrame, rule: str, value: str, k: float = 3.0,
     kept = samples.where(F.col(value).isNotNull() & (~is_one | (F.col(value) >= floor)))
     wanted = {"_lo": F.floor((F.col("n") - 1) / 2), "_hi": F.floor(F.col("n") / 2)}
     wanted |= {p: nearest_rank(q) for p, q in (("p05", 0.05), ("p10", 0.10), ("p90", 0.90), ("p95", 0.95))}
-    spots = order_statistics(kept, [rule], value, wanted).withColumn("median", (F.col("_lo") + F.col("_hi")) / 2)
+    spots = few_rows(order_statistics(kept, [rule], value, wanted).withColumn("median", (F.col("_lo") + F.col("_hi")) / 2))
     away = kept.join(spots.select(rule, "median"), rule).withColumn("_d", F.abs(F.col(value) - F.col("median")))
     mad = medians(away, [rule], "_d", "mad").select(rule, F.when(F.col("mad") == 0, 1e-9).otherwise(F.col("mad")).alias("mad"))
     band = spots.where(F.col("n") >= least).join(mad, rule)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tilth.operators.robust import few_rows
+
 
 def status(value: Column, lo: Column, hi: Column, tolerance: float) -> Column:
     """ok or warn: warn strictly beyond the band widened by the tolerance."""
@@ -13,7 +15,7 @@ def status(value: Column, lo: Column, hi: Column, tolerance: float) -> Column:
 
 def grade(segments: DataFrame, bands: DataFrame, rule: str, value: str, tolerance: float = 0.8) -> DataFrame:
     """Add ``status`` to each segment; a rule without a band or a segment without a value is unknown."""
-    marks = bands.select(F.col(rule), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"))
+    marks = few_rows(bands.select(F.col(rule), F.col("lo").alias("_lo"), F.col("hi").alias("_hi")))
     graded = segments.join(marks, rule, "left")
     found = F.when(F.col("_lo").isNull() | F.col(value).isNull(), "unknown").otherwise(status(F.col(value), F.col("_lo"), F.col("_hi"), tolerance))
     return graded.withColumn("status", found).drop("_lo", "_hi")
