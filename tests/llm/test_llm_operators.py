@@ -591,3 +591,109 @@ def test_pairs_at_the_limit_are_decided_alike_from_both_sides():
     for k in range(0, 700, 97):
         a, b = embedding_join.linked(x[k : k + 1], x, least)
         assert {(k, m) for m in b.tolist()} == {p for p in pairs if p[0] == k}
+
+
+def plain_kneser_ney(texts_of, text, lang):
+    """Nats per character of one text under one language, by recursion over dictionaries of counts."""
+    from collections import Counter
+
+    levels = {}
+    for name, texts in texts_of.items():
+        by = {4: Counter()}
+        for t in texts:
+            c = language_id.codes_of(t).tolist()
+            by[4].update(tuple(c[i - 3 : i + 1]) for i in range(3, len(c)))
+        for k in (3, 2, 1):
+            by[k] = Counter(g[1:] for g in by[k + 1])
+        levels[name] = by
+    symbols = len({g for by in levels.values() for g in by[1]}) + 1
+    by = levels[lang]
+
+    def p(gram):
+        k = len(gram)
+        if not k:
+            return 1 / symbols
+        followers = [n for g, n in by[k].items() if g[:-1] == gram[:-1]]
+        if not followers:
+            return p(gram[1:])
+        once, twice = sum(n == 1 for n in by[k].values()), sum(n == 2 for n in by[k].values())
+        d = once / (once + 2 * twice) if once and twice else 0.5
+        return max(by[k][gram] - d, 0) / sum(followers) + d * len(followers) / sum(followers) * p(gram[1:])
+
+    c = language_id.codes_of(text).tolist()
+    return -sum(math.log(max(p(tuple(c[i - 3 : i + 1])), 1e-12)) for i in range(3, len(c))) / (len(c) - 3)
+
+
+def test_kneser_ney_equals_plain_recursion(prose):
+    texts, langs = prose
+    learn = {x: [t[:150] for t, y in zip(texts, langs, strict=True) if y == x][:4] for x in ("en", "fr", "de")}
+    counts = {}
+    for lang, some in learn.items():
+        counts[lang] = np.unique(np.concatenate([language_id.grams(language_id.codes_of(t), 4) for t in some]), return_counts=True)
+    model = language_id.KneserNey(counts)
+    probes = [texts[30][:80], texts[31][:80], texts[32][:80], "zzz qqq", "É", "Ω and the der"]
+    found, sizes = model.cross_entropies(probes)
+    for i, text in enumerate(probes):
+        assert sizes[i] == len(language_id.codes_of(text)) - 3
+        for j, lang in enumerate(model.languages):
+            assert found[i, j] == pytest.approx(plain_kneser_ney(learn, text, lang), abs=1e-4)
+
+
+def test_language_id_rejects_junk_and_keeps_prose(spark, prose):
+    texts, langs = prose
+    rng = np.random.default_rng(8)
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    junk = ["".join(rng.choice([*letters, " "], 400)) for _ in range(40)]
+    junk += [base64.b64encode(rng.bytes(300)).decode() for _ in range(40)]
+    junk += [" ".join("".join(chr(0x0430 + int(c)) for c in rng.integers(0, 32, 6)) for _ in range(60)) for _ in range(40)]
+    docs = docs_of(spark, [*texts, *junk], [*langs, *[None] * len(junk)])
+    accepted = {r["doc_id"]: r["accepted"] for r in language_id.identify(docs, language_id.train(docs)).collect()}
+    kept, rejected = np.mean([accepted[i] for i in range(240)]), np.mean([not accepted[i] for i in range(240, 360)])
+    print(kept, rejected)
+    assert kept >= 0.99 and rejected >= 0.95
+
+
+def test_discriminant_equals_plain_densities(spark, prose):
+    texts, _ = prose
+    bad = [" ".join(w.upper() + "!!" for w in t.split()[: 5 + i]) for i, t in enumerate(texts[:60])]
+    docs = docs_of(spark, [*texts, *bad])
+    stats = quality.document_statistics(docs)
+    labels = spark.createDataFrame([(i, int(i < 240)) for i in range(300)], "doc_id long, quality int")
+    model = quality.train(stats, labels)
+    x = np.array([quality.statistics(t) for t in [*texts, *bad]])
+    learn = np.array([zlib.crc32(str(i).encode()) % 5 != 0 for i in range(300)])
+    y = np.arange(300) < 240
+    d, parts = x.shape[1], [x[learn & (y == c)] for c in (False, True)]
+    spread = [np.cov(p.T, bias=True) for p in parts]
+    pooled = sum(len(p) * s for p, s in zip(parts, spread, strict=True)) / learn.sum()
+    logs = []
+    for p, s in zip(parts, spread, strict=True):
+        cov = 0.93 * s + 0.05 * pooled + 0.02 * np.diag(np.maximum(np.diag(pooled), 1e-8)) + 1e-9 * np.eye(d)
+        away = x - p.mean(axis=0)
+        logs.append(-0.5 * np.einsum("ij,ij->i", away, np.linalg.solve(cov, away.T).T) - 0.5 * np.linalg.slogdet(cov)[1])
+    plain = logs[1] - logs[0]
+    assert np.allclose(model.difference(x), plain, rtol=1e-5, atol=1e-5)
+    got = {r["doc_id"]: r["score"] for r in quality.score(stats, model).collect()}
+    curve = 1 / (1 + np.exp(-(model.slope * np.sign(plain) * np.log1p(np.abs(plain)) + model.intercept)))
+    assert np.allclose([got[i] for i in range(300)], curve, atol=1e-5)
+
+
+def test_null_and_repeated_ids_lose_no_row(spark):
+    """Null doc_ids, repeated rows and repeated doc_ids: each operator gives a row per row, equal texts alike."""
+    text = "the cat sat on the mat and looked at the moon for a long while " * 3
+    rows = [(None, text), (None, "other words stand here, token=abcdefgh12345678"), (7, text), (7, text), (7, "all rights reserved, cc by"), (8, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", None, "x", "y", "z", "w") for i, t in rows], DOCS)
+    for found in (
+        quality.document_statistics(docs), language_id.identify(docs, language_id.train(docs)), minhash.fingerprints(docs), minhash.edited_fingerprints(docs),
+        token_store.store_documents(docs, WORDS, 2),
+    ):
+        assert sorted(str(r["doc_id"]) for r in found.collect()) == ["7", "7", "7", "8", "None", "None"]
+    prints = {(r["doc_id"], r["fingerprint"]) for r in minhash.fingerprints(docs.where(docs["text"] == text)).collect()}
+    assert len({p for _, p in prints}) == 1
+    packed = packing.pack_documents(docs, WORDS, capacity=64).toPandas()
+    assert packed.groupby("sequence_id")["length"].sum().max() <= 64
+    assert packed["doc_id"].isna().sum() >= 2 and (packed["doc_id"] == 7).sum() >= 3 and (packed["doc_id"] == 8).sum() == 1
+    assert quality.keep_good(docs, quality.train(quality.document_statistics(docs), spark.createDataFrame([], "doc_id long, quality int"))).count() == 6
+    assert secret_scan.redact(docs).count() == 6
+    kept = simhash.keep_first(docs, width=5)
+    assert kept.columns == docs.columns and sorted(str(r["text"]) for r in kept.collect()) == sorted({str(t) for _, t in rows})
