@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from tilth.functions import keys
 from tilth.operators import quality
 from tilth.plans.tables import table
+from tilth.sources import dimensions
 
 
 def inventory_gaps(spark, sf_dir):
@@ -152,6 +153,16 @@ def vocabulary_filter(spark, sf_dir):
     return j.groupBy("rule", F.coalesce("label", F.lit("other")).alias("label"), F.col("grp").isNotNull().alias("known")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def display_names(spark, sf_dir):
+    """Events as plays of a reciter's verse with a rule: both by number, some outside the dimensions."""
+    pick = lambda names, n: F.get(F.array(*[F.lit(x) for x in names]), (F.col("event_id") % n).cast("int"))
+    e = table(spark, sf_dir, "events").select(
+        F.coalesce(pick([r[0] for r in dimensions.RECITERS], 33), F.lit("guest")).alias("reciter"), F.coalesce(pick(dimensions.COLOURS, 20), F.lit("other")).alias("rule")
+    )
+    named = dimensions.with_reciter_names(e.groupBy("reciter", "rule").agg(F.count(F.lit(1)).alias("n")))
+    return named.select("reciter", "reciter_name", "rule", dimensions.rule_colour(F.col("rule")).alias("colour"), "n")
+
+
 def nested_explode(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.length("text").alias("size"))
     nested = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "size"))).alias("turns"))
@@ -171,7 +182,7 @@ QUERIES = {
     for f in (
         inventory_gaps, coverage_matrix, integrity_status, name_keys, pattern_vote, first_wins_dedup, upsert_last_wins, precedence_merge,
         index_rewrite, map_enrich, repair_worklist, dead_letter_split, left_enrich, resume_work, key_differences, flag_update, hash_sample,
-        path_parts, reclass_floor, vocabulary_filter, nested_explode, slot_counts,
+        path_parts, reclass_floor, vocabulary_filter, display_names, nested_explode, slot_counts,
     )
 }
 
@@ -224,6 +235,10 @@ c AS (SELECT *, CASE WHEN p_type = 'STANDARD' AND p_size IN (SELECT z FROM s) TH
 SELECT p_partkey, class, CASE class WHEN 'STANDARD_SUB' THEN 3.0 WHEN 'PROMO' THEN 2.0 ELSE 1.0 END::double AS floor, p_type IN ('STANDARD','PROMO','SMALL') AS lower_only FROM c""",
     "vocabulary_filter": """SELECT event_type AS rule, CASE WHEN event_type IN ('click','view','purchase') THEN upper(left(event_type, 1)) || substr(event_type, 2) ELSE 'other' END AS label,
 event_type IN ('click','view','purchase') AS known, count(*) AS n FROM events GROUP BY 1, 2, 3""",
+    "display_names": f"""WITH r AS (SELECT * FROM (VALUES {", ".join(f"({i}, '{k}', '{n}')" for i, (k, n, _) in enumerate(dimensions.RECITERS))}) t(i, k, name)),
+c AS (SELECT * FROM (VALUES {", ".join(f"({i}, '{k}', '{x}')" for i, (k, x) in enumerate(dimensions.COLOURS.items()))}) t(i, rule, colour))
+SELECT coalesce(r.k, 'guest') AS reciter, coalesce(r.name, 'guest') AS reciter_name, coalesce(c.rule, 'other') AS rule, coalesce(c.colour, '{dimensions.OTHER_COLOUR}') AS colour, count(*) AS n
+FROM events LEFT JOIN r ON r.i = event_id % 33 LEFT JOIN c ON c.i = event_id % 20 GROUP BY 1, 2, 3, 4""",
     "nested_explode": "SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, length(text)) - 1)::int AS pos, turn, role, length(text)::int AS size FROM conversations",
     "slot_counts": """SELECT source, count(*) AS n_present, string_agg(CASE WHEN rn <= 3 THEN doc_id::varchar END, ',' ORDER BY doc_id) AS examples
 FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents) GROUP BY 1""",
