@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 pytest.importorskip("tilth.llm")
 import public_tokenizers  # noqa: E402
@@ -485,6 +486,21 @@ def test_ranges_of_keys(spark, n):
     assert got == {k: bisect_right(cuts, k) for k in keys} | {None: 0}
 
 
+@pytest.mark.parametrize("n", [1, 7, 64, 300])
+def test_each_range_has_a_task_of_its_own(spark, n):
+    from tilth.llm.common import task_of
+
+    df = spark.range(n * 3).select((F.col("id") % n).cast("int").alias("part"))
+    placed = df.repartition(n, task_of(spark, "part", n)).select("part", F.spark_partition_id().alias("task")).distinct().collect()
+    assert sorted((r["part"], r["task"]) for r in placed) == [(i, i) for i in range(n)]
+
+
+def test_next_documents_are_shuffled_once(spark):
+    docs = spark.createDataFrame([(i, "a b c " * i) for i in range(50)], "doc_id long, text string")
+    plan = minhash.with_next(docs)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
 def shingles_of(text, width=5):
     words = (text or "").lower().split()
     return {tuple(words[i : i + width]) for i in range(len(words) - width + 1)} or ({tuple(words)} if words else set())

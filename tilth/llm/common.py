@@ -82,6 +82,20 @@ def range_of(key: str, cuts: list[int]):
     return F.when(F.col(key).isNull(), F.lit(0)).otherwise(first + near)
 
 
+def task_of(spark: SparkSession, part: str, n: int):
+    """Column: a number for ``part`` (0 to n - 1) that ``repartition(n, number)`` puts in a task of its own.
+
+    Range numbers themselves are hashed to tasks, several to one task and none to another. Here each task
+    has the smallest integer that hashes to it. Only ``n`` numbers (ranges, at most 10,000) reach the driver.
+    """
+    numbers = spark.range(n * 32).select(F.col("id").cast("int").alias("number"))
+    rows = numbers.groupBy(F.pmod(F.hash("number"), F.lit(n)).alias("task")).agg(F.min("number").alias("number")).collect()
+    of = {r["task"]: r["number"] for r in rows}
+    if len(of) < n:  # a task that nothing hashes to: e ** -32 each
+        return F.col(part)
+    return F.get(F.array(*[F.lit(of[task]) for task in range(n)]), F.col(part))
+
+
 def splittable(df: DataFrame, key: str) -> DataFrame:
     """``df``, grouped by ``key`` just before, as a join side with a shuffle of its own.
 

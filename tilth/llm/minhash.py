@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tilth.llm.common import key_ranges, range_of
+from tilth.llm.common import key_ranges, range_of, task_of
 
 BINS, BIN_BITS, PER_WORD = 256, 8, 16
 LOW_BITS = 4
@@ -106,8 +106,8 @@ def with_next(docs: DataFrame, part_bytes: int = 8 << 20) -> DataFrame:
     """Each document beside the next in ascending doc_id order (the last beside the first).
 
     doc_id, text, signature, next_text, next_signature. Null doc_ids come first and rows with one
-    doc_id follow their text's order; a single row is its own next. One shuffle by range of doc_id:
-    a range's first row is also sent, as a guest, to the range before it.
+    doc_id follow their text's order; a single row is its own next. One shuffle by range of doc_id,
+    a task per range: a range's first row is also sent, as a guest, to the range before it.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     cuts = key_ranges(rows, "doc_id", "text", part_bytes)
@@ -124,7 +124,7 @@ def with_next(docs: DataFrame, part_bytes: int = 8 << 20) -> DataFrame:
     guest = F.struct(guest_of.alias("part"), F.lit(True).alias("guest"))
     dealt = spread.select(
         "doc_id", "text", signature(F.col("text")).alias("signature"), F.explode(F.when(F.col("doc_id").eqNullSafe(low), F.array(own, guest)).otherwise(F.array(own))).alias("at")
-    ).select("doc_id", "text", "signature", "at.part", "at.guest")
+    ).select("doc_id", "text", "signature", "at.part", "at.guest").withColumn("part", task_of(docs.sparkSession, "part", n)).repartition(n, "part")
     in_order = Window.partitionBy("part").orderBy("guest", F.col("doc_id").asc_nulls_first(), "text")
     return (
         dealt.withColumns({"next_text": F.lead("text").over(in_order), "next_signature": F.lead("signature").over(in_order)})
