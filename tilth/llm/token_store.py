@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tilth.llm.common import bounded_batches, key_ranges, new_path, range_of
+from tilth.llm.common import bounded_batches, key_ranges, new_path, range_of, task_of
 from tilth.llm.perfect_hash import PerfectHash, mix
 from tilth.llm.word_tokens import encoder, text_blocks
 
@@ -151,7 +151,7 @@ def write_store(docs: DataFrame, vocabulary: str, end_id: int, path: str | None
     manifest = (
         rows.withColumn("shard", range_of("doc_id", cuts).cast("int"))
         .select("shard", "doc_id", "text")
-        .repartition(len(cuts) + 1, "shard")
+        .repartition(len(cuts) + 1, task_of(spark, "shard", len(cuts) + 1))
         .sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "text")
         .mapInArrow(write, MANIFEST)
         .toPandas()
@@ -219,7 +219,7 @@ def read_store(keys: DataFrame, path: str, cuts: list[int], manifest: DataFrame,
         .agg(F.count(F.lit(1)).alias("n"))
         .select(range_of("doc_id", cuts).cast("int").alias("shard"), "doc_id", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))).alias("nth"))
     )
-    return wanted.repartition(len(cuts) + 1, "shard").sortWithinPartitions("shard", "doc_id", "nth").mapInArrow(read, schema)
+    return wanted.repartition(len(cuts) + 1, task_of(keys.sparkSession, "shard", len(cuts) + 1)).sortWithinPartitions("shard", "doc_id", "nth").mapInArrow(read, schema)
 
 
 def store_documents(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
