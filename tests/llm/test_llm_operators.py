@@ -440,15 +440,15 @@ def test_randomness_tests_accept_random_and_reject_text():
 
 
 # ---- embeddings ----
-@pytest.mark.parametrize("cell_rows", [5000, 20])
-def test_embedding_join(spark, cell_rows):
+@pytest.mark.parametrize(("cell_rows", "most_pivots"), [(5000, 1024), (20, 1024), (5, 3), (3, 1)])
+def test_embedding_join(spark, cell_rows, most_pivots):
     rng = np.random.default_rng(9)
     centres = rng.normal(size=(6, 16))
     x = np.concatenate([centres[rng.integers(0, 6, 160)] + rng.normal(size=(160, 16)) * rng.uniform(0.05, 0.45, (160, 1)), rng.normal(size=(40, 16))]).astype(np.float32)
     vectors = [*x.tolist(), x[0].tolist(), x[0].tolist(), (x[1] * 3).tolist(), None, [0.0] * 16, [float("nan")] * 16, [None] * 16, [], x[2][:8].tolist(), [float("inf")] * 16]
     rows = [(i, v, 0, "c", "d") for i, v in enumerate(vectors)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, name string, weight string")
-    got = {r["vec_id"]: r for r in embedding_join.near_duplicates(df, 0.9, cell_rows=cell_rows).collect()}
+    got = {r["vec_id"]: r for r in embedding_join.near_duplicates(df, 0.9, cell_rows=cell_rows, most_pivots=most_pivots).collect()}
     ok = lambda v: bool(v) and None not in v and all(map(math.isfinite, v)) and any(v)
 
     def near(a, b):
@@ -464,6 +464,20 @@ def test_embedding_join(spark, cell_rows):
     assert embedding_join.near_duplicates(df.limit(0), 0.9).count() == 0
 
 
+def test_inner_cells_prune_clustered_vectors_and_lose_none():
+    rng = np.random.default_rng(5)
+    x = embedding_join.unit(np.repeat(rng.normal(size=(40, 32)), 50, axis=0) + rng.normal(size=(2000, 32)) * 0.1)
+    angle = math.acos(0.9)
+    inner = {0: embedding_join.apart_only(x[::50])}
+    met, work = np.zeros((2000, 2000), bool), 0
+    for _, _, own, guests in embedding_join.leaves(x, x[:1], inner, angle):
+        some = np.concatenate([own, guests])
+        met[np.ix_(own, some)] = True
+        work += len(own) * len(some)
+    assert met[x @ x.T >= 0.9].all()
+    assert work < 0.3 * 2000**2
+
+
 def test_word_encoder_on_marks_and_apostrophes():
     import itertools
 

@@ -5,8 +5,8 @@ guests to every cell whose members they could reach: a vector within the radius
 j lies, by the triangle inequality, at most twice the radius farther from pivot j than from its own
 pivot, and at most the radius beyond the plane between the two. A cell joins its members with
 members and guests by blocked matrix products, in single precision with a margin to find candidates
-and in double precision to decide. Large cells are split by a hash of their members; guests go to
-every part. A task emits link counts and a spanning forest, never all pairs.
+and in double precision to decide. Large cells are cut again by pivots of their own; what these leave
+large is split by a hash of its members, and guests go to every part. A task emits link counts and a spanning forest, never all pairs.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ from pyspark.sql import types as T
 from tilth.llm.common import connected_components, materialize, shuffle_width
 
 MARGIN = 1e-4
+#: Above the rounding of angles and distances; it can only add guests.
+SLACK = 1e-7
 
 
 def usable(v: Column) -> Column:
@@ -35,15 +37,45 @@ def unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
+def apart_only(pivots: np.ndarray) -> np.ndarray:
+    """The unit rows without those that lie on an earlier one, so that each is surely nearest to itself."""
+    return pivots[~(np.tril(pivots @ pivots.T, -1) > 1 - 1e-9).any(axis=1)]
+
+
 def reachable(x: np.ndarray, pivots: np.ndarray, angle: float) -> tuple[np.ndarray, np.ndarray]:
     """(home cell of each unit vector, matrix of the cells whose members it may be linked with)."""
-    near = np.clip(x @ pivots.T, -1, 1)
-    home = near.argmax(axis=1)
-    own = near[np.arange(len(x)), home]
-    by_triangle = np.arccos(near) - np.arccos(own)[:, None] <= 2 * angle + 1e-9
-    apart = np.linalg.norm(pivots[None, :, :] - pivots[:, None, :], axis=2)[home]
-    by_plane = own[:, None] - near <= 2 * math.sin(angle / 2) * apart + 1e-9
-    return home, by_triangle & by_plane
+    apart = np.sqrt(np.maximum(0, 2 - 2 * (pivots @ pivots.T)))
+    home, reach = np.zeros(len(x), np.int64), np.zeros((len(x), len(pivots)), bool)
+    for at in range(0, len(x), 1024):
+        some = slice(at, at + 1024)
+        near = np.clip(x[some] @ pivots.T, -1, 1)
+        home[some] = near.argmax(axis=1)
+        own = near.max(axis=1)[:, None]
+        by_triangle = np.arccos(near) - np.arccos(own) <= 2 * angle + SLACK
+        reach[some] = by_triangle & (own - near <= 2 * math.sin(angle / 2) * apart[home[some]] + SLACK)
+    return home, reach
+
+
+def leaves(x: np.ndarray, pivots: np.ndarray | None, inner: dict[int, np.ndarray], angle: float):
+    """(cell, inner cell, places of members, places of guests) of unit vectors.
+
+    A cell with pivots of its own is cut by them as the whole is by its pivots: members of an inner
+    cell are nearest to its pivot among those, so the same two bounds hold for all that the cell gets.
+    """
+    if pivots is None:
+        yield 0, 0, np.arange(len(x)), np.zeros(0, np.int64)
+        return
+    home, reach = reachable(x, pivots, angle)
+    for cell in range(len(pivots)):
+        at = np.flatnonzero(reach[:, cell])
+        own = home[at] == cell
+        if cell not in inner:
+            yield cell, 0, at[own], at[~own]
+            continue
+        near, within = reachable(x[at], inner[cell], angle)
+        for sub in range(len(inner[cell])):
+            mine = own & (near == sub)
+            yield cell, sub, at[mine], at[within[:, sub] & ~mine]
 
 
 def linked(a: np.ndarray, b: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
@@ -95,13 +127,15 @@ class Cell:
         return [e for e in self.edges + own if e[0] != e[1]]
 
 
-def near_duplicates(vectors: DataFrame, least: float = 0.9, cell_rows: int = 5000, most_pivots: int = 1024) -> DataFrame:
+def near_duplicates(vectors: DataFrame, least: float = 0.9, cell_rows: int = 5000, most_pivots: int = 1024, most_inner: int = 16_384) -> DataFrame:
     """``vectors`` (vec_id, embedding, ...) -> vec_id, n_links, component_id, kept; a row per row.
 
     Links are pairs of rows with cosine of at least ``least``; vectors of different lengths, null,
     empty or zero vectors and those with a null or non-finite component have none and are their own
     component. Rows of one vec_id are separate vectors, but one node of the components. A null
-    vec_id is in its equal vectors' component.
+    vec_id is in its equal vectors' component. At most ``most_pivots`` pivots cut the whole, and at most
+    as many each cell of over twice ``cell_rows`` members, ``most_inner`` in all; only these, and a row
+    per cell, reach the driver. What is still larger is split by hash.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
@@ -112,7 +146,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, cell_rows: int = 500
     n_pivots = max(1, min(most_pivots, -(-total // cell_rows)))
     # a bounded sample of pivots, at most most_pivots vectors
     chosen = [r["embedding"] for r in distinct.select("embedding").orderBy(F.xxhash64("cid"), "cid").limit(n_pivots).collect()]
-    pivots = {size: unit(np.array([p for p in chosen if len(p) == size], dtype=np.float64)) for size in {len(p) for p in chosen}}
+    pivots = {size: apart_only(unit(np.array([p for p in chosen if len(p) == size], dtype=np.float64))) for size in {len(p) for p in chosen}}
     shared = spark.sparkContext.broadcast(pivots)
 
     def matrix(column) -> tuple[np.ndarray, np.ndarray]:
@@ -120,53 +154,64 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, cell_rows: int = 500
         offsets = column.offsets.to_numpy()
         return np.diff(offsets), column.values.to_numpy()[offsets[0] : offsets[-1]]
 
-    def homes(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            sizes, flat = matrix(batch.column(0))
-            starts = np.cumsum(sizes) - sizes
-            for size in np.unique(sizes).tolist():
-                pick = np.flatnonzero(sizes == size)
-                home = np.zeros(len(pick), np.int64)
-                if size in shared.value:
-                    x = unit(flat[starts[pick][:, None] + np.arange(size)])
-                    home = reachable(x, shared.value[size], angle)[0]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pick), size, np.int32)), pa.array(home.astype(np.int32))], ["size", "cell"])
-
-    # at most a row per pivot and vector length
-    found = distinct.select("embedding").mapInArrow(homes, "size int, cell int").groupBy("size", "cell").agg(F.count(F.lit(1)).alias("n")).collect()
-    parts = {(r["size"], r["cell"]): -(-r["n"] // (2 * cell_rows)) for r in found}
+    def by_size(batch, column: int, within: dict):
+        """(vector length, places in the batch, leaves) of the vectors of each length."""
+        sizes, flat = matrix(batch.column(column))
+        starts = np.cumsum(sizes) - sizes
+        for size in np.unique(sizes).tolist():
+            pick = np.flatnonzero(sizes == size)
+            x = unit(flat[starts[pick][:, None] + np.arange(size)])
+            yield size, pick, leaves(x, shared.value.get(size), within.get(size, {}), angle)
+
+    def members_by_leaf(inner) -> dict:
+        """Members of each (size, cell, inner cell): a row for each reaches the driver."""
+
+        def count(batches):
+            import pyarrow as pa
+
+            for batch in batches:
+                rows = [(size, cell, sub, len(own)) for size, _, found in by_size(batch, 0, inner.value) for cell, sub, own, _ in found if len(own)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32()) for c in zip(*rows, strict=True)] or [pa.array([], pa.int32())] * 4, ["size", "cell", "inner", "n"])
+
+        counts = distinct.select("embedding").mapInArrow(count, "size int, cell int, inner int, n int").groupBy("size", "cell", "inner")
+        return {(r["size"], r["cell"], r["inner"]): r["n"] for r in counts.agg(F.sum("n").alias("n")).collect()}
+
+    inner = spark.sparkContext.broadcast({})
+    found = members_by_leaf(inner)
+    large = {key[:2] for key, n in found.items() if n > 2 * cell_rows and key[0] in pivots}
+    if large:
+        every = max(cell_rows, -(-2 * total // most_inner))
+        some = distinct.where(F.pmod(F.xxhash64("cid", F.lit(2)), F.lit(every)) == 0).select("embedding").limit(most_inner).collect()
+        cut: dict = {}
+        for size in {size for size, _ in large}:
+            # with a pivot in front, so that a size without samples is no case of its own
+            x = unit(np.array([pivots[size][0], *[r["embedding"] for r in some if len(r["embedding"]) == size]], dtype=np.float64))[1:]
+            home = reachable(x, pivots[size], angle)[0]
+            of = {cell: apart_only(x[home == cell][:most_pivots]) for s, cell in large if s == size}
+            cut[size] = {cell: p for cell, p in of.items() if len(p) > 1}
+        inner = spark.sparkContext.broadcast(cut)
+        found = members_by_leaf(inner)
+    parts = {key: -(-n // (2 * cell_rows)) for key, n in found.items()}
     layout = spark.sparkContext.broadcast(parts)
-    dealt_schema = "size int, cell int, part int, guest boolean, cid long, name long, weight long, embedding array<double>"
+    dealt_schema = "size int, cell int, inner int, part int, guest boolean, cid long, name long, weight long, embedding array<double>"
 
     def deal(batches):
         import pyarrow as pa
 
         for batch in batches:
-            cid = batch.column(0).to_numpy()
-            sizes, flat = matrix(batch.column(3))
-            starts = np.cumsum(sizes) - sizes
-            for size in np.unique(sizes).tolist():
-                pick = np.flatnonzero(sizes == size)
-                if size in shared.value:
-                    x = unit(flat[starts[pick][:, None] + np.arange(size)])
-                    home, reach = reachable(x, shared.value[size], angle)
-                else:
-                    home, reach = np.zeros(len(pick), np.int64), np.ones((len(pick), 1), bool)
-                for cell in range(reach.shape[1]):
-                    n = layout.value.get((size, cell), 0)
+            turn = batch.column(0).to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)
+            for size, pick, found in by_size(batch, 3, inner.value):
+                for cell, sub, own, guests in found:
+                    n = layout.value.get((size, cell, sub), 0)
+                    of = (turn[pick[own]] % np.uint64(max(1, n))).astype(np.int64)
                     for part in range(n):
-                        member = (home == cell) & ((cid[pick].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(n) == part)
-                        send = np.flatnonzero(member | reach[:, cell])
-                        if not len(send):
+                        member = np.concatenate([of == part, np.zeros(len(guests), bool)])
+                        if not len(member):
                             continue
-                        some = batch.take(pa.array(pick[send]))
-                        k = len(send)
+                        some = batch.take(pa.array(pick[np.concatenate([own, guests])]))
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.full(k, v, np.int32)) for v in (size, cell, part)]
-                            + [pa.array(~member[send]), some.column(0), some.column(1), some.column(2), some.column(3)],
-                            ["size", "cell", "part", "guest", "cid", "name", "weight", "embedding"],
+                            [pa.array(np.full(len(member), v, np.int32)) for v in (size, cell, sub, part)] + [pa.array(~member), *some.columns],
+                            ["size", "cell", "inner", "part", "guest", "cid", "name", "weight", "embedding"],
                         )
 
     out_schema = T.StructType([T.StructField(n, T.LongType()) for n in ("cid", "links", "a", "b")])
@@ -189,8 +234,8 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, cell_rows: int = 500
             return Cell(*[np.concatenate(c) for c in zip(*members, strict=True)], least)
 
         for batch in batches:
-            key = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3)], axis=1)
-            guest = batch.column(3).to_numpy(zero_copy_only=False)
+            key = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4)], axis=1)
+            guest = batch.column(4).to_numpy(zero_copy_only=False)
             cut = np.flatnonzero((key[1:] != key[:-1]).any(axis=1) | (guest[1:] != guest[:-1])) + 1
             for lo, hi in zip([0, *cut.tolist()], [*cut.tolist(), len(key)], strict=True):
                 if tuple(key[lo]) != where:
@@ -198,16 +243,18 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, cell_rows: int = 500
                         yield from results(cell or settle())
                     where, cell, members = tuple(key[lo]), None, []
                 some = batch.slice(lo, hi - lo)
-                _, flat = matrix(some.column(7))
+                _, flat = matrix(some.column(8))
                 data = (
-                    some.column(4).to_numpy(),
-                    some.column(5).fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False),
-                    some.column(6).to_numpy(),
+                    some.column(5).to_numpy(),
+                    some.column(6).fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False),
+                    some.column(7).to_numpy(),
                     unit(flat.reshape(hi - lo, -1)),
                 )
                 if not guest[lo]:
                     members.append(data)
                     continue
+                if cell is None and not members:
+                    continue  # a part that the hash left empty
                 if cell is None:
                     cell, members = settle(), []
                 for at in range(0, hi - lo, 512):
@@ -217,8 +264,8 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, cell_rows: int = 500
 
     dealt = distinct.select("cid", "name", "weight", "embedding").mapInArrow(deal, dealt_schema)
     joined = materialize(
-        dealt.repartition(max(shuffle_width(spark), 4 * sum(parts.values())), "size", "cell", "part")
-        .sortWithinPartitions("size", "cell", "part", "guest")
+        dealt.repartition(max(shuffle_width(spark), 4 * sum(parts.values())), "size", "cell", "inner", "part")
+        .sortWithinPartitions("size", "cell", "inner", "part", "guest")
         .mapInArrow(join, out_schema),
         "vector-links",
     )
