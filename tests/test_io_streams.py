@@ -150,15 +150,14 @@ def test_failing_batch_is_tried_again(spark, tmp_path, monkeypatch):
 
         return run
 
-    monkeypatch.setattr(windows.time, "sleep", waits.append)
     monkeypatch.setattr(windows, "upsert", fails(2))
-    windows.keyed_batches(str(tmp_path / "t"), ["k"], ["v"], backoff=0.5)(rows, 0)
+    windows.keyed_batches(str(tmp_path / "t"), ["k"], ["v"], backoff=0.5, wait=waits.append)(rows, 0)
     assert len(tries) == 3 and waits == [0.5, 1.0]
     assert {(r["k"], r["v"]) for r in spark.read.parquet(str(tmp_path / "t" / "version=0")).collect()} == {(1, "b"), (2, "c")}
     tries.clear()
     monkeypatch.setattr(windows, "upsert", fails(9))
     with pytest.raises(OSError):
-        windows.keyed_batches(str(tmp_path / "t"), ["k"], ["v"])(rows, 1)
+        windows.keyed_batches(str(tmp_path / "t"), ["k"], ["v"], wait=waits.append)(rows, 1)
     assert len(tries) == 3 and sinks.versions(spark, str(tmp_path / "t")) == [0]
 
 

@@ -37,7 +37,7 @@ def sticky_verdicts(rounds: DataFrame, keys: list[str], seq: str, ok: Column, ve
     return best.select(*keys, F.col("b.v").alias(verdict), F.col("b.ok").alias("content_ok"))
 
 
-def keyed_batches(target: str, keys: list[str], order: list[str], retries: int = 3, backoff: float = 1.0):
+def keyed_batches(target: str, keys: list[str], order: list[str], retries: int = 3, backoff: float = 1.0, wait=time.sleep):
     """A ``foreachBatch`` function that upserts each batch, last row per key winning; a repeated batch changes nothing.
 
     Each batch writes a whole new version below ``target``, named after its batch id. A failing write
@@ -54,7 +54,7 @@ def keyed_batches(target: str, keys: list[str], order: list[str], retries: int =
             except Exception:
                 if attempt == retries:
                     raise
-                time.sleep(backoff * attempt)
+                wait(backoff * attempt)
 
     return write
 
