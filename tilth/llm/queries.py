@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tilth.llm import byte_bpe, embedding_join, language_id, licenses, minhash, packing, quality, secret_scan, simhash, token_store
+from tilth.llm import byte_bpe, embedding_join, language_id, licenses, minhash, packing, prefix_trie, quality, secret_scan, simhash, token_store
 from tilth.llm.common import materialize
 
 WORDS, BYTES = "word_bpe_49k.json", "byte_bpe_50k.tiktoken"
@@ -68,10 +68,14 @@ def op10_embedding_near_dedup(spark, sf_dir):
     return embedding_join.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), least=0.9)
 
 
+def op11_conversation_trie(spark, sf_dir):
+    return prefix_trie.build(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def queries():
     found = [
         op1_best_fit_packing, op2_language_id, op3_license_scan, op4_quality_classifier, op5_simhash_near_dedup, op6_minhash_fingerprints, op7_byte_bpe, op8_token_store,
-        op9_secret_scan, op10_embedding_near_dedup,
+        op9_secret_scan, op10_embedding_near_dedup, op11_conversation_trie,
     ]
     return {f.__name__: f for f in found}
 
@@ -87,6 +91,22 @@ reach AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, l.b FROM reac
 c AS (SELECT a, min(b) AS component_id FROM reach GROUP BY 1),
 n AS (SELECT a, count(*) AS n_links FROM links GROUP BY 1)
 SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept FROM v JOIN c ON c.a = vec_id LEFT JOIN n ON n.a = vec_id""",
+    "op11_conversation_trie": """WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, list(struct_pack(r := role, t := text) ORDER BY i) AS own FROM t GROUP BY 1),
+h AS (SELECT conv_id, own, conv_id - conv_id % 100 AS host, (4294967295 - list_reduce(list_concat([4294967295::bigint],
+    flatten(list_transform(range(1, 1 + length(conv_id::varchar)), lambda k: [ascii(substr(conv_id::varchar, k, 1))::bigint, -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda acc, e: CASE WHEN e >= 0 THEN xor(acc, e) ELSE xor(acc >> 1, 3988292384 * (acc & 1)) END)) % 6 AS h FROM c),
+r AS (SELECT h.conv_id, list_concat(CASE WHEN g.own IS NULL THEN [] ELSE g.own[1:h.h] END, h.own[h.h + 1:]) AS p FROM h LEFT JOIN c g ON g.conv_id = h.host),
+d AS (SELECT conv_id, p, unnest(range(0, 1 + len(p))) AS depth FROM r),
+n AS (SELECT depth, p[1:depth] AS q, min(conv_id) AS conv_id, count(*) AS n_convs,
+    sha256(coalesce(string_agg(conv_id::varchar, ',' ORDER BY conv_id) FILTER (len(p) = depth), '')) AS ends_sha256 FROM d GROUP BY 1, 2),
+k AS (SELECT n.*, u.conv_id AS parent_conv_id, coalesce(v.n, 0) AS n_children FROM n LEFT JOIN n u ON u.depth = n.depth - 1 AND u.q = n.q[1:n.depth - 1]
+    LEFT JOIN (SELECT depth - 1 AS depth, q[1:depth - 1] AS q, count(*) AS n FROM n WHERE depth > 0 GROUP BY 1, 2) v ON v.depth = n.depth AND v.q = n.q),
+a AS (SELECT depth, q, n_convs, n_children, unnest(range(0, depth + 1)) AS top FROM k)
+SELECT k.conv_id, k.depth, k.parent_conv_id, k.n_convs, k.n_children, s.n_leaves, s.saved_tokens, k.ends_sha256 FROM k
+JOIN (SELECT top, q[1:top] AS q, count(*) FILTER (n_children = 0) AS n_leaves, sum(CASE WHEN depth = 0 THEN 0 ELSE (n_convs - 1) * length(q[depth].t) END)::bigint AS saved_tokens FROM a GROUP BY 1, 2) s
+ON s.top = k.depth AND s.q = k.q""",
 }
 
 
