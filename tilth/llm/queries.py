@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tilth.llm import byte_bpe, embedding_join, language_id, licenses, minhash, packing, prefix_trie, quality, secret_scan, simhash, token_store
+from tilth.llm import byte_bpe, embedding_join, language_id, licenses, minhash, packing, prefix_trie, quality, secret_scan, simhash, spelling, token_store
 from tilth.llm.common import materialize
 
 WORDS, BYTES = "word_bpe_49k.json", "byte_bpe_50k.tiktoken"
@@ -72,10 +72,14 @@ def op11_conversation_trie(spark, sf_dir):
     return prefix_trie.build(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
+def op12_spelling_variants(spark, sf_dir):
+    return spelling.variants(documents(spark, sf_dir))
+
+
 def queries():
     found = [
         op1_best_fit_packing, op2_language_id, op3_license_scan, op4_quality_classifier, op5_simhash_near_dedup, op6_minhash_fingerprints, op7_byte_bpe, op8_token_store,
-        op9_secret_scan, op10_embedding_near_dedup, op11_conversation_trie,
+        op9_secret_scan, op10_embedding_near_dedup, op11_conversation_trie, op12_spelling_variants,
     ]
     return {f.__name__: f for f in found}
 
@@ -107,6 +111,21 @@ a AS (SELECT depth, q, n_convs, n_children, unnest(range(0, depth + 1)) AS top F
 SELECT k.conv_id, k.depth, k.parent_conv_id, k.n_convs, k.n_children, s.n_leaves, s.saved_tokens, k.ends_sha256 FROM k
 JOIN (SELECT top, q[1:top] AS q, count(*) FILTER (n_children = 0) AS n_leaves, sum(CASE WHEN depth = 0 THEN 0 ELSE (n_convs - 1) * length(q[depth].t) END)::bigint AS saved_tokens FROM a GROUP BY 1, 2) s
 ON s.top = k.depth AND s.q = k.q""",
+    "op12_spelling_variants": """WITH RECURSIVE r AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS run FROM documents),
+g AS (SELECT doc_id, run, count(*) AS n FROM r WHERE length(run) >= 7 GROUP BY 1, 2),
+h AS (SELECT run, n, 4294967295 - list_reduce(list_concat([4294967295::bigint], flatten(list_transform(
+    range(1, 1 + octet_length(encode(concat(doc_id, ':', run)))), lambda k: [('0x' || substr(hex(encode(concat(doc_id, ':', run))), 2 * k - 1, 2))::bigint, -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda acc, e: CASE WHEN e >= 0 THEN xor(acc, e) ELSE xor(acc >> 1, 3988292384 * (acc & 1)) END) AS h FROM g),
+m AS (SELECT CASE WHEN h % 31 = 0 THEN concat(substr(run, 1, h % length(run)), substr(run, h % length(run) + 2)) ELSE run END AS word, n FROM h),
+w AS (SELECT word, sum(n)::bigint AS n FROM m WHERE length(word) >= 7 GROUP BY 1 HAVING sum(n) >= 2),
+v AS (SELECT word, n, i, concat(substr(word, 1, i - 1), substr(word, i + 1)) AS less FROM (SELECT word, n, unnest(range(1, 1 + length(word))) AS i FROM w)),
+p AS (SELECT a.word AS a, b.word AS b, b.n FROM v a JOIN v b ON a.i = b.i AND a.less = b.less AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM v a JOIN w b ON a.less = b.word UNION SELECT b.word, a.word, a.n FROM v a JOIN w b ON a.less = b.word),
+k AS (SELECT a, count(*) AS n_near, max(n) AS most FROM p GROUP BY 1),
+f AS (SELECT p.a, min(p.b) AS form, any_value(most) AS form_n FROM p JOIN k ON p.a = k.a AND p.n = k.most JOIN w ON w.word = p.a WHERE most >= 10 * w.n GROUP BY 1),
+c AS (SELECT word, word AS root FROM w UNION ALL SELECT c.word, f.form FROM c JOIN f ON f.a = c.root),
+e AS (SELECT c.word, c.root FROM c LEFT JOIN f ON f.a = c.root WHERE f.a IS NULL)
+SELECT w.word, f.form, e.root, w.n, coalesce(k.n_near, 0) AS n_near, f.form_n FROM w JOIN e ON e.word = w.word LEFT JOIN f ON f.a = w.word LEFT JOIN k ON k.a = w.word""",
 }
 
 
