@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tilth.llm import byte_bpe, embedding_join, language_id, licenses, minhash, packing, prefix_trie, quality, secret_scan, simhash, spelling, token_store
+from tilth.llm import byte_bpe, embedding_join, language_id, licenses, minhash, packing, personal_data, prefix_trie, quality, secret_scan, simhash, spelling, token_store
 from tilth.llm.common import materialize
 
 WORDS, BYTES = "word_bpe_49k.json", "byte_bpe_50k.tiktoken"
@@ -76,10 +76,19 @@ def op12_spelling_variants(spark, sf_dir):
     return spelling.variants(documents(spark, sf_dir))
 
 
+def op13_personal_data(spark, sf_dir):
+    found = personal_data.scan(documents(spark, sf_dir))
+    of = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(
+        "doc_id", of("email"), of("ip"), of("card"), of("phone"),
+        F.sha2(secret_scan.listed(F.col("base")), 256).alias("base_sha256"), secret_scan.listed(F.col("spans")).alias("spans"),
+    )
+
+
 def queries():
     found = [
         op1_best_fit_packing, op2_language_id, op3_license_scan, op4_quality_classifier, op5_simhash_near_dedup, op6_minhash_fingerprints, op7_byte_bpe, op8_token_store,
-        op9_secret_scan, op10_embedding_near_dedup, op11_conversation_trie, op12_spelling_variants,
+        op9_secret_scan, op10_embedding_near_dedup, op11_conversation_trie, op12_spelling_variants, op13_personal_data,
     ]
     return {f.__name__: f for f in found}
 
