@@ -115,18 +115,19 @@ def base_spans(text: str | None) -> list[tuple[str, int, int]]:
 
 
 def check(kind: str, s: str, digits: str) -> int:
+    """A check sum votes either way; a range that holds proves nothing, so it votes only no."""
     if kind == "card":
         return 1 if 13 <= len(digits) <= 19 and luhn(digits) else -1
     if kind == "ip":
-        return 1 if all(len(x) <= 3 and int(x) <= 255 and (x == "0" or x[0] != "0") for x in s.split(".")) else -1
+        return 0 if all(len(x) <= 3 and int(x) <= 255 and (x == "0" or x[0] != "0") for x in s.split(".")) else -1
     if kind == "phone":
-        return 1 if 9 <= len(digits) <= 15 else -1
+        return 0 if 9 <= len(digits) <= 15 else -1
     if kind == "iban":
         flat = s.replace(" ", "")
         return 1 if int("".join(str(int(c, 36)) for c in flat[4:] + flat[:4])) % 97 == 1 else -1
     if kind == "ssn":
-        return -1 if s[:3] in ("000", "666") or s[0] == "9" or s[4:6] == "00" or s[7:] == "0000" else 1
-    return 1 if 5 <= len(s) <= 254 and all(len(x) <= 63 for x in s.split(".")) else -1
+        return -1 if s[:3] in ("000", "666") or s[0] == "9" or s[4:6] == "00" or s[7:] == "0000" else 0
+    return 0 if 5 <= len(s) <= 254 and all(len(x) <= 63 for x in s.split(".")) else -1
 
 
 def gazetteer(kind: str, s: str, digits: str) -> int:
@@ -167,7 +168,7 @@ def votes_on(text: str, kind: str, start: int, end: int, fixed: bool) -> tuple[l
         s = s[-512:]
     votes = [
         shape(kind, s), check(kind, s, digits), gazetteer(kind, s, digits), int(any(w in FOR[kind] for w in before)), -int(any(w in AGAINST for w in before)),
-        -1 if glued else 1, regular(digits) if kind != "email" else 0, int(fixed),
+        -int(glued), regular(digits) if kind != "email" else 0, int(fixed),
     ]
     return votes, before
 
@@ -257,7 +258,10 @@ def find(docs: DataFrame) -> DataFrame:
 
 @dataclass
 class LabelModel:
-    """How often a kind is real, and the chance of each vote (no, nothing, yes) of each labeler if it is and if it isn't."""
+    """How often a kind is real, and the chance of each vote (no, nothing, yes) of each labeler that votes, if it is and if it isn't.
+
+    No vote says nothing: its chance counts as 1 both ways.
+    """
 
     prior: float
     chances: np.ndarray  # real or not, labeler, vote + 1
@@ -276,8 +280,8 @@ def estimate(votes: np.ndarray, counts: np.ndarray, check_sum: bool = False, wei
     what fails it isn't real.
     """
     n = votes.shape[1] if votes.size else len(LABELERS)
-    belief = np.array([[0.4, 0.45, 0.15], [0.15, 0.45, 0.4]])[:, None, :].repeat(n, axis=1)
-    known = np.array([[0.9, 0.0001, 0.0999], [0.0001, 0.0001, 0.9998]])
+    belief = np.array([[0.7, 1.0, 0.3], [0.3, 1.0, 0.7]])[:, None, :].repeat(n, axis=1)
+    known = np.array([[0.9, 1.0, 0.1], [0.0001, 1.0, 0.9999]])
     at = LABELERS.index("check")
     if check_sum:
         belief[:, at] = known
@@ -288,9 +292,10 @@ def estimate(votes: np.ndarray, counts: np.ndarray, check_sum: bool = False, wei
     for _ in range(rounds):
         chances = belief * weight
         for y, share in ((0, counts * (1 - real)), (1, counts * real)):
-            for v in (-1, 0, 1):
+            for v in (-1, 1):
                 chances[y, :, v + 1] += ((votes == v) * share[:, None]).sum(axis=0)
-        chances /= chances.sum(axis=2, keepdims=True)
+        chances[:, :, [0, 2]] /= chances[:, :, [0, 2]].sum(axis=2, keepdims=True)
+        chances[:, :, 1] = 1.0
         if check_sum:
             chances[:, at] = known
         model = LabelModel(float((counts @ real + 1) / (counts.sum() + 2)), chances)
