@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from tilth.sources import readers, sinks
+from tilth.sources import readers, sinks, store
 from tilth.streaming import pauses, windows
 
 
@@ -120,8 +120,7 @@ def test_level_stream_and_keyed_batches(spark, tmp_path):
     target = str(tmp_path / "latest")
     q = stream.writeStream.foreachBatch(windows.keyed_batches(target, ["user_id", "event_type"], ["ts", "event_id"])).option("checkpointLocation", str(tmp_path / "cp1")).trigger(availableNow=True).start()
     q.awaitTermination()
-    done = sinks.versions(spark, target)
-    latest = spark.read.parquet(f"{target}/version={done[-1]}")
+    latest = store.KeyedStore(spark, target, ["user_id", "event_type"]).read()
     assert latest.count() == events.select("user_id", "event_type").distinct().count()
     q = windows.level_stream(windows.event_time(spark.readStream.schema(events.schema).parquet(str(tmp_path / "in")), "ts", "1 hour"), "ts", ["event_type"], "value", "3200 seconds", "1600 seconds")
     q = q.writeStream.format("memory").queryName("levels").outputMode("complete").option("checkpointLocation", str(tmp_path / "cp2")).trigger(availableNow=True).start()
@@ -139,26 +138,27 @@ def test_sticky(spark):
 def test_failing_batch_is_tried_again(spark, tmp_path, monkeypatch):
     rows = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "k int, v string")
     tries, waits = [], []
-    real = windows.upsert
+    real = store.KeyedStore.upsert
 
     def fails(times):
-        def run(*args, **kw):
+        def run(self, *args, **kw):
             tries.append(1)
             if len(tries) <= times:
                 raise OSError("busy")
-            return real(*args, **kw)
+            return real(self, *args, **kw)
 
         return run
 
-    monkeypatch.setattr(windows, "upsert", fails(2))
+    monkeypatch.setattr(store.KeyedStore, "upsert", fails(2))
     windows.keyed_batches(str(tmp_path / "t"), ["k"], ["v"], backoff=0.5, wait=waits.append)(rows, 0)
     assert len(tries) == 3 and waits == [0.5, 1.0]
-    assert {(r["k"], r["v"]) for r in spark.read.parquet(str(tmp_path / "t" / "version=0")).collect()} == {(1, "b"), (2, "c")}
+    table = store.KeyedStore(spark, str(tmp_path / "t"), ["k"])
+    assert {(r["k"], r["v"]) for r in table.read().collect()} == {(1, "b"), (2, "c")}
     tries.clear()
-    monkeypatch.setattr(windows, "upsert", fails(9))
+    monkeypatch.setattr(store.KeyedStore, "upsert", fails(9))
     with pytest.raises(OSError):
         windows.keyed_batches(str(tmp_path / "t"), ["k"], ["v"], wait=waits.append)(rows, 1)
-    assert len(tries) == 3 and sinks.versions(spark, str(tmp_path / "t")) == [0]
+    assert len(tries) == 3 and table.versions() == [0]
 
 
 def test_restart_skips_finished_keys(spark, tmp_path):

@@ -46,10 +46,12 @@ def segments(samples: DataFrame, keys: list[str], order: list[str], at: str, rms
     return s.select(*keys, F.explode(found).alias("c")).select(*keys, "c.*")
 
 
-def segment_stream(samples: DataFrame, key: str, at: str, rms: str, config: PauseConfig, delay: str = "10 seconds") -> DataFrame:
+def segment_stream(samples: DataFrame, key: str, at: str, rms: str, config: PauseConfig, delay: str = "10 seconds", mark_late: bool = False) -> DataFrame:
     """The same cuts from a stream: ``samples`` with an event-time column, ordered per key within each batch.
 
-    State per key is five numbers; samples of a batch are sorted by time, later ones than the state's last are used.
+    State per key is five numbers; samples of a batch are sorted by time. A sample before the state's last is never
+    merged; with ``mark_late`` it comes out as a row of its own, with column ``late``, its time as start and end and
+    one sample (see ``late.observed`` and ``late.apart``).
     """
     import pandas as pd
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -59,20 +61,24 @@ def segment_stream(samples: DataFrame, key: str, at: str, rms: str, config: Paus
         cuts = []
         for now, loud in sorted((int(t), float(r)) for f in frames for t, r in zip(f["_at"], f["_rms"], strict=True)):
             if now < last:
+                if mark_late:
+                    cuts.append((key_[0], now, now, 1, True))
                 continue
             last, start, speaking = now, (start if start >= 0 else now), loud > config.speech
             quiet = -1 if speaking or not spoke else (quiet if quiet >= 0 else now)
             n += 1
             forced = now - start >= config.longest and (spoke or speaking)
             if forced or (spoke and not speaking and now - quiet >= config.pause and now - start >= config.shortest):
-                cuts.append((key_[0], start, now, n))
+                cuts.append((key_[0], start, now, n, False))
                 spoke, quiet, start, n = False, -1, now, 0
             else:
                 spoke = spoke or speaking
         state.update((spoke, quiet, start, n, last))
         if cuts:
-            yield pd.DataFrame(cuts, columns=[key, "segment_start", "segment_end", "n_samples"])
+            found = pd.DataFrame(cuts, columns=[key, "segment_start", "segment_end", "n_samples", "late"])
+            yield found if mark_late else found.drop(columns="late")
 
+    late = ", late boolean" if mark_late else ""
     kind = samples.schema[key].dataType.simpleString()
     ready = samples.withWatermark(at, delay).select(key, F.unix_millis(at).alias("_at"), F.col(rms).cast("double").alias("_rms"))
-    return ready.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, segment_start long, segment_end long, n_samples int", "spoke boolean, quiet long, start long, n int, last long", "append", GroupStateTimeout.NoTimeout)
+    return ready.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, segment_start long, segment_end long, n_samples int{late}", "spoke boolean, quiet long, start long, n int, last long", "append", GroupStateTimeout.NoTimeout)

@@ -5,10 +5,10 @@ from __future__ import annotations
 import time
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tilth.sources.sinks import upsert
+from tilth.sources.store import KeyedStore
 
 
 def event_time(df: DataFrame, column: str, delay: str) -> DataFrame:
@@ -37,24 +37,26 @@ def sticky_verdicts(rounds: DataFrame, keys: list[str], seq: str, ok: Column, ve
     return best.select(*keys, F.col("b.v").alias(verdict), F.col("b.ok").alias("content_ok"))
 
 
-def keyed_batches(target: str, keys: list[str], order: list[str], retries: int = 3, backoff: float = 1.0, wait=time.sleep):
-    """A ``foreachBatch`` function that upserts each batch, last row per key winning; a repeated batch changes nothing.
+def keyed_batches(target: str, keys: list[str], order: list[str], retries: int = 3, backoff: float = 1.0, wait=time.sleep, stream: str = "stream", buckets: int = 64, keep: int = 10):
+    """A ``foreachBatch`` function that upserts each batch into a ``KeyedStore``, last row per key winning; a repeated batch changes nothing.
 
-    Each batch writes a whole new version below ``target``, named after its batch id. A failing write
-    is tried ``retries`` times, after ``backoff`` seconds times the tries so far; then the batch fails
-    and the stream with it, so that a restart repeats it from the checkpoint.
+    A batch rewrites the buckets that it touches, and of the versions the last ``keep`` stay. A failing write is tried
+    ``retries`` times, after ``backoff`` seconds times the tries so far; then the batch fails and the stream with it, so that a
+    restart repeats it from the checkpoint. Streams that share a table have names of their own.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark: SparkSession = batch.sparkSession
+        store = KeyedStore(batch.sparkSession, target, keys, buckets)
         for attempt in range(1, retries + 1):
             try:
-                upsert(spark, batch, target, keys, order, version=batch_id)
-                return
+                store.upsert(batch, order, stream, batch_id)
+                break
             except Exception:
                 if attempt == retries:
                     raise
                 wait(backoff * attempt)
+        if batch_id % keep == keep - 1:
+            store.expire(keep)
 
     return write
 
