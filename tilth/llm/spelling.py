@@ -149,21 +149,28 @@ def most_lost(spans: list[tuple[int, int]]) -> int:
     return max(_most_lost(tuple((p - spans[lo][0], e - spans[lo][0]) for p, e in spans[lo : lo + 24])) for lo in range(0, len(spans), 12))
 
 
-def listed_grams(word: str, counts: dict[str, int], frequent: frozenset[str]) -> list[tuple[int, int]]:
-    """The rarest grams of a word, one more than an edit can take away; in an order that near words share."""
+def lists_of(word: str, counts: dict[str, int], frequent: frozenset[str]) -> list[int]:
+    """The lists a word enters, packed: 4 * start of the gram + 2 if what is behind it is kept + 1 if it has three letters.
+
+    They belong to its rarest grams, one more than an edit can take away. Two words have the lists they share in one
+    order: by frequency, gram and side, then place, which is counted from the same end.
+    """
     spans = decompose(word, frequent)
     kept = most_lost(spans) + 1
     if kept > len(spans):
         raise ValueError(f"{word} has too few grams")
-    return sorted(spans, key=lambda s: (counts.get(word[s[0] : s[1]], 0), word[s[0] : s[1]], s[0]))[:kept]
+    rare = sorted((counts.get(word[p:e], 0), word[p:e], p) for p, e in spans)[:kept]
+    return [4 * p + 2 * side + len(g) - 2 for _, g, side, p in sorted((c, g, side, p) for c, g, p in rare for side in (0, 1))]
 
 
 def distance_one(rests: list[str]) -> list[tuple[int, int]]:
     """Pairs of places in a list of distinct strings that one edit takes to each other; linear in their letters."""
     if len(rests) == 2:
-        a, b = rests
-        if abs(len(a) - len(b)) > 1:
+        a, b = sorted(rests, key=len)
+        if len(b) - len(a) > 1:
             return []
+        begin, end = common(a, b)
+        return [(0, 1)] if begin + end >= len(b) - 1 else []
     at, groups, pairs = {r: i for i, r in enumerate(rests)}, defaultdict(list), []
     for j, r in enumerate(rests):
         shorter = set()
@@ -186,26 +193,34 @@ def common(a: str, b: str) -> tuple[int, int]:
     return x, y
 
 
-def first_shared(a: str, b: str, a_grams: list[int], b_grams: list[int], rank: int) -> bool:
-    """Whether list number ``rank`` of ``a`` (two per gram: by beginning, by end) is its first that ``b`` is in, too."""
+def first_shared(a: str, b: str, a_lists: list[int], b_lists: list[int], rank: int) -> bool:
+    """Whether list number ``rank`` of ``a`` is its first that ``b`` is in, too."""
     begin, end = common(a, b)
-    starts, back = set(b_grams), {(len(b) - (g >> 1), g & 1) for g in b_grams}
-    for k in range(rank):
-        g = a_grams[k >> 1]
-        p, e = g >> 1, (g >> 1) + 2 + (g & 1)
-        if k & 1:
-            if len(a) - p <= end and (len(a) - p, g & 1) in back:
+    shift = 4 * (len(b) - len(a))
+    for x in a_lists[:rank]:
+        if x & 2:
+            if len(a) - (x >> 2) <= end and x + shift in b_lists:
                 return False
-        elif e <= begin and g in starts:
+        elif (x >> 2) + 2 + (x & 1) <= begin and x in b_lists:
             return False
     return True
 
 
-ENTRY = "list long, rank int, word string, n long, grams array<int>"
+ENTRY = "list long, rank int, word string, n long, lists array<int>"
+
+
+def kept_part(word: str, x: int) -> str:
+    """What the words of a list share: their beginnings up to the gram's end, or all from its start."""
+    return ">" + word[x >> 2 :] if x & 2 else "<" + word[: (x >> 2) + 2 + (x & 1)]
+
+
+def remains(word: str, x: int) -> str:
+    """What may differ between the words of a list."""
+    return word[: x >> 2] if x & 2 else word[(x >> 2) + 2 + (x & 1) :]
 
 
 def entries_of(words: DataFrame, counts: dict[str, int], share: float = FREQUENT) -> DataFrame:
-    """Words with their lists: list (hash of side and what is kept), rank, word, n, grams (2 * start, + 1 for triples, in order)."""
+    """Words with their lists: list (hash of what is kept), rank of it among the word's, word, n, lists (packed, in order)."""
     spark: SparkSession = words.sparkSession
     shared = spark.sparkContext.broadcast((counts, frequent_pairs(counts, share)))
 
@@ -213,21 +228,18 @@ def entries_of(words: DataFrame, counts: dict[str, int], share: float = FREQUENT
         import pyarrow as pa
         import xxhash
 
-        schema = pa.schema([("list", pa.int64()), ("rank", pa.int32()), ("word", pa.string()), ("n", pa.int64()), ("grams", pa.list_(pa.int32()))])
+        schema = pa.schema([("list", pa.int64()), ("rank", pa.int32()), ("word", pa.string()), ("n", pa.int64()), ("lists", pa.list_(pa.int32()))])
         counts, frequent = shared.value
         for batch in batches:
-            lists, ranks, names, ns, grams = [], [], [], [], []
+            hashes, ranks, names, ns, lists = [], [], [], [], []
             for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                spans = listed_grams(word, counts, frequent)
-                packed = [2 * p + (e - p == 3) for p, e in spans]
-                for i, (p, e) in enumerate(spans):
-                    lists.append(xxhash.xxh64_intdigest("<" + word[:e]) - (1 << 63))
-                    lists.append(xxhash.xxh64_intdigest(">" + word[p:]) - (1 << 63))
-                    ranks += (2 * i, 2 * i + 1)
-                names += [word] * (2 * len(spans))
-                ns += [n] * (2 * len(spans))
-                grams += [packed] * (2 * len(spans))
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((lists, ranks, names, ns, grams), schema.types, strict=True)], schema=schema)
+                mine = lists_of(word, counts, frequent)
+                hashes += [xxhash.xxh64_intdigest(kept_part(word, x)) - (1 << 63) for x in mine]
+                ranks += range(len(mine))
+                names += [word] * len(mine)
+                ns += [n] * len(mine)
+                lists += [mine] * len(mine)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((hashes, ranks, names, ns, lists), schema.types, strict=True)], schema=schema)
 
     return words.select("word", "n").mapInArrow(run, ENTRY)
 
@@ -242,27 +254,21 @@ def dealt_again(entries: DataFrame) -> DataFrame:
         import pyarrow as pa
         import xxhash
 
-        schema = pa.schema([("list", pa.int64()), ("rank", pa.int32()), ("word", pa.string()), ("n", pa.int64()), ("grams", pa.list_(pa.int32())), ("kind", pa.int32()), ("whole", pa.bool_())])
+        schema = pa.schema([("list", pa.int64()), ("rank", pa.int32()), ("word", pa.string()), ("n", pa.int64()), ("lists", pa.list_(pa.int32())), ("kind", pa.int32()), ("whole", pa.bool_())])
         for batch in batches:
             out = []
-            for key, rank, word, n, grams in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                rest = remains(word, rank, grams)
+            for key, rank, word, n, lists in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                rest = remains(word, lists[rank])
                 of = lambda s: xxhash.xxh64_intdigest(f"{key}:{s}") - (1 << 63)  # noqa: B023, E731
                 shorter = [rest[:i] + rest[i + 1 :] for i in range(len(rest))]
-                out += [(of(f"{i}:{v}"), rank, word, n, grams, 1, False) for i, v in enumerate(shorter)]
-                out += [(of(v), rank, word, n, grams, 2, False) for v in set(shorter)] + [(of(rest), rank, word, n, grams, 2, True)]
+                out += [(of(f"{i}:{v}"), rank, word, n, lists, 1, False) for i, v in enumerate(shorter)]
+                out += [(of(v), rank, word, n, lists, 2, False) for v in set(shorter)] + [(of(rest), rank, word, n, lists, 2, True)]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
 
     return entries.mapInArrow(run, ENTRY + ", kind int, whole boolean")
 
 
-def remains(word: str, rank: int, grams: list[int]) -> str:
-    """What may differ between the words of a list."""
-    g = grams[rank >> 1]
-    return word[: g >> 1] if rank & 1 else word[(g >> 1) + 2 + (g & 1) :]
-
-
 NEAR = "word string, n_near long, form_n long, form string"
 
 
@@ -281,12 +287,12 @@ def near_words(entries: DataFrame, parts: int) -> DataFrame:
         def merge(rows, kind):
             if kind == 2:
                 short = [r for r in rows if r[5]]
-                pairs = [(s, r) for s in short for r in rows if not r[5] and len(r[1]) == len(s[1]) + 1 and kept_of(r) == kept_of(s)]
+                pairs = [(s, r) for s in short for r in rows if not r[5] and one_more(s, r)]
             else:
                 by: dict[str, list] = defaultdict(list)
                 for r in rows:  # lists whose hashes meet are told apart
-                    by[kept_of(r)].append(r)
-                pairs = [(g[i], g[j]) for g in by.values() if len(g) > 1 for i, j in distance_one([remains(r[1], r[0], r[3]) for r in g])]
+                    by[kept_part(r[1], r[3][r[0]])].append(r)
+                pairs = [(g[i], g[j]) for g in by.values() if len(g) > 1 for i, j in distance_one([remains(r[1], r[3][r[0]]) for r in g])]
                 if kind == 1:
                     pairs = [(a, b) for a, b in pairs if len(a[1]) == len(b[1])]
             for a, b in pairs:
@@ -294,9 +300,8 @@ def near_words(entries: DataFrame, parts: int) -> DataFrame:
                     meet(a[1], a[2], b[1], b[2])
                     meet(b[1], b[2], a[1], a[2])
 
-        def kept_of(r):
-            g = r[3][r[0] >> 1]
-            return ">" + r[1][g >> 1 :] if r[0] & 1 else "<" + r[1][: (g >> 1) + 2 + (g & 1)]
+        def one_more(s, r):
+            return len(r[1]) == len(s[1]) + 1 and kept_part(r[1], r[3][r[0]]) == kept_part(s[1], s[3][s[0]]) and sum(common(s[1], r[1])) >= len(s[1])
 
         def out():
             rows = [(w, *x) for w, x in found.items()]
@@ -306,12 +311,12 @@ def near_words(entries: DataFrame, parts: int) -> DataFrame:
 
         now, rows = None, []
         for batch in batches:
-            for key, rank, word, n, grams, kind, whole in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for key, rank, word, n, lists, kind, whole in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (key, kind) != now:
                     if len(rows) > 1:
                         merge(rows, now[1])
                     now, rows = (key, kind), []
-                rows.append((rank, word, n, grams, kind, whole))
+                rows.append((rank, word, n, lists, kind, whole))
             if len(found) > KEPT:
                 yield from out()
         if len(rows) > 1:
@@ -351,7 +356,7 @@ def variants(docs: DataFrame, times: int = 10, share: float = FREQUENT, long_lis
     long = entries.groupBy("list").agg(F.count(F.lit(1)).alias("_c")).where(F.col("_c") > long_list).select("list")
     long = materialize(long, "long-lists")
     as_they_are = entries.join(splittable(long, "list"), "list", "left_anti").withColumns({"kind": F.lit(0), "whole": F.lit(False)})
-    again = dealt_again(entries.join(splittable(long, "list"), "list", "left_semi").select("list", "rank", "word", "n", "grams"))
+    again = dealt_again(entries.join(splittable(long, "list"), "list", "left_semi").select("list", "rank", "word", "n", "lists"))
     near = near_words(as_they_are.unionByName(again), 4 * shuffle_width(spark))
     best = F.min(F.struct((-F.col("form_n")).alias("m"), F.col("form").alias("f")))
     near = materialize(near.groupBy("word").agg(F.sum("n_near").alias("n_near"), best.alias("b")).select("word", "n_near", F.col("b.f").alias("form"), (-F.col("b.m")).alias("form_n")), "near")
