@@ -10,6 +10,7 @@ A shard with many members is dealt again by a finer cut of its free bits, which
 
 from __future__ import annotations
 
+import uuid
 from itertools import combinations
 
 import numpy as np
@@ -317,24 +318,53 @@ def _batches_of(table, rows: int = 1 << 16):
 
 
 def _shared(batches):
-    """Lists of a token (n, node, place; by n) with two and more nodes: each row once, the list's size, its first node and the one before if they can be similar."""
+    """Lists of a token (n, node, place; by n) with two and more nodes: each row once, the list's size, its first node and the one before if they can be similar.
+
+    The first and the last list of a partition may go on in others: ``edge`` marks their rows, one alone too.
+    """
     import pyarrow as pa
 
-    for table, marks in _whole(batches, 1):
+    tables = _whole(batches, 1)
+    now, first = next(tables, None), True
+    while now is not None:
+        after = next(tables, None)
+        table, marks = now
         token, n, node, at = (table.column(i).to_numpy() for i in range(4))
-        new = np.ones(len(node), bool)  # copies in other tasks stand next to each other
+        new = np.ones(len(node), bool)  # copies from other tasks stand next to each other
         new[1:] = (node[1:] != node[:-1]) | (token[1:] != token[:-1])
         sizes = np.add.reduceat(new.astype(np.int64), marks)
-        keep = new & (np.repeat(sizes, np.diff([*marks, len(node)])) > 1)
-        token, n, node, at, sizes = token[keep], n[keep], node[keep], at[keep], sizes[sizes > 1]
+        edges = np.zeros(len(marks), bool)
+        edges[0], edges[-1] = edges[0] | first, edges[-1] | (after is None)
+        lengths = np.diff([*marks, len(node)])
+        keep = new & np.repeat((sizes > 1) | edges, lengths)
+        token, n, node, at, edge = token[keep], n[keep], node[keep], at[keep], np.repeat(edges, lengths)[keep]
+        sizes = sizes[(sizes > 1) | edges]
         head = np.repeat(np.cumsum(sizes) - sizes, sizes)
         here = np.arange(len(node))
         before = np.maximum(here - 1, head)
         of_head = (here > head) & _could_be(n[head], at[head], n, at)
         of_before = (before > head) & _could_be(n[before], at[before], n, at)
         cols = [pa.array(token), pa.array(n), pa.array(node), pa.array(at), pa.array(np.repeat(sizes, sizes))]
-        cols += [pa.array(node[head], mask=~of_head), pa.array(node[before], mask=~of_before)]
-        yield from _batches_of(pa.table(cols, ["token", "n", "node", "at", "size", "head", "before"]))
+        cols += [pa.array(node[head], mask=~of_head), pa.array(node[before], mask=~of_before), pa.array(edge)]
+        yield from _batches_of(pa.table(cols, ["token", "n", "node", "at", "size", "head", "before", "edge"]))
+        now, first = after, False
+
+
+def _lists(prefixes: DataFrame) -> DataFrame:
+    """``prefixes`` (token, n, node, at) as lists: token, n, node, at, size, head, before. A list is cut where a partition ends.
+
+    Rows go to tasks by ranges of (token, n, node), so a very common token is many tasks with as many rows as others have.
+    Only the lists at the two edges of a partition can be cut; what they are together is summed up over at most two
+    rows a partition, which is broadcast. A cut list counts as longer than three, so that all its pairs are sought.
+    """
+    entry = "token long, n int, node long, at int"
+    dealt = prefixes.repartitionByRange(shuffle_width(prefixes.sparkSession), "token", "n", "node").sortWithinPartitions("token", "n", "node")
+    lists = materialize(dealt.mapInArrow(_shared, f"{entry}, size long, head long, before long, edge boolean"), "shared-shingles")
+    cut = lists.where("edge").groupBy("token").agg(F.count(F.lit(1)).alias("total"), F.min(F.struct("n", "node", "at")).alias("h"))
+    cut = materialize(cut, "cut-lists").where("total > 1")
+    similar_to_head = (F.col("node") != F.col("h.node")) & (9 * F.least(F.col("n") - F.col("at"), F.col("h.n") - F.col("h.at")) >= 4 * (F.col("n") + F.col("h.n")))
+    joined = lists.where("edge").join(F.broadcast(cut), "token").select("token", "n", "node", "at", F.greatest("total", F.lit(4)).alias("size"), F.when(similar_to_head, F.col("h.node")).alias("head"), "before")
+    return lists.where("not edge").drop("edge").union(joined)
 
 
 def _other_pairs(batches, most: int | None):
@@ -439,7 +469,7 @@ def similar(docs: DataFrame, width: int = 5) -> DataFrame:
     last in the order. Of each list the pairs with its first member and of neighbours come first, the
     nearest by sketch of each document before the others; then lists that hold more than one component
     give pairs between components that neither sizes, places nor sketches rule out, nearest first, at last
-    all. Whole sets decide. Lists of over ``CHUNK`` members are compared in cells of two blocks each.
+    all. Whole sets decide. Tasks get ranges of lists, cut anywhere; lists of over ``CHUNK`` members are compared in cells of two blocks each.
     A null text is empty; texts without words are one node. Rows with a null doc_id have the
     component of their text, null if no other document is in it.
     """
@@ -519,9 +549,7 @@ def _components(prints: DataFrame) -> DataFrame:
                 of += lo
                 yield pa.RecordBatch.from_arrays([pa.array(token.astype(np.int64)), pa.array(n[of]), pa.array(node[of]), pa.array(place.astype(np.int32))], ["token", "n", "node", "at"])
 
-    entry = "token long, n int, node long, at int"
-    dealt = sets.where("n > 0").mapInArrow(index, entry).repartition(width, "token").sortWithinPartitions("token", "n", "node")
-    lists = materialize(dealt.mapInArrow(_shared, f"{entry}, size long, head long, before long"), "shared-shingles")
+    lists = _lists(materialize(sets.where("n > 0").mapInArrow(index, "token long, n int, node long, at int"), "prefixes"))
     marks = materialize(prints.where("sketch is not null").select("node", "n", "fp", "sketch").dropDuplicates(["node"]), "sketches")
 
     def pairs_of(other: str) -> DataFrame:
@@ -587,13 +615,15 @@ def keep_first(docs: DataFrame, width: int = 5) -> DataFrame:
     keys = materialize(rows.groupBy("doc_id", "mark").agg(F.max(stays).alias("stays"), F.count(F.lit(1)).alias("times")), "kept-keys")
     gone, repeated = keys.where("not stays").select("doc_id", "mark"), keys.where("stays and times > 1").select("doc_id", "mark")
 
+    doc, mark = (f"{name}_{uuid.uuid4().hex}" for name in ("doc", "mark"))  # no column of docs has these names
+
     def keyed(df: DataFrame, other: DataFrame, how: str) -> DataFrame:
         few = other.count() <= 1_000_000  # 16 MB
-        side = (F.broadcast(other) if few else other).toDF("_doc", "_mark")
-        return df.join(side, F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_mark")), how)
+        side = (F.broadcast(other) if few else other).toDF(doc, mark)
+        return df.join(side, F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & (F.xxhash64("text") == F.col(mark)), how)
 
     kept = keyed(docs, gone, "left_anti")
     if repeated.isEmpty():
         return kept
-    one = keyed(kept, repeated, "left_semi").withColumn("_mark", F.xxhash64("text")).dropDuplicates(["doc_id", "_mark"]).drop("_mark")
+    one = keyed(kept, repeated, "left_semi").withColumn(mark, F.xxhash64("text")).dropDuplicates(["doc_id", mark]).drop(mark)
     return keyed(kept, repeated, "left_anti").union(one)
