@@ -228,7 +228,7 @@ def test_headers_and_waveforms(spark, tmp_path):
     status = {n: r["status"] for n, r in got.items()}
     assert status == {
         "ok.wav": "ok", "wide.wav": "ok", "two.wav": "ok", "tiny.wav": "tiny", "zero.wav": "zero_duration", "bad.wav": "corrupt",
-        "text.mp3": "unreadable", "ok.mp3": "ok", "bad.mp3": "corrupt",
+        "text.mp3": "unreadable", "ok.mp3": "ok", "bad.mp3": "corrupt", "none.wav": "empty",
     }
     assert got["ok.wav"]["duration"] == 0.1 and got["ok.wav"]["bitrate"] == 128_000
     assert got["ok.mp3"]["duration"] == pytest.approx(100 * 1152 / 44100) and got["ok.mp3"]["bitrate"] == pytest.approx(128_000, rel=0.01)

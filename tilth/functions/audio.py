@@ -1,12 +1,10 @@
-"""Headers and samples of audio files as Arrow-batched functions over their bytes."""
+"""Headers of MPEG frames and WAVE files, and samples of WAVE files."""
 
 from __future__ import annotations
 
 import struct
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import functions as F
 
 # Fixed values of the MPEG audio standard, layer III: kbit/s by index for version 1 and for 2 and 2.5, sampling rates of version 1.
 KBITS_1 = (0, 32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320)
@@ -49,40 +47,6 @@ def mp3_frame(raw: bytes, at: int) -> tuple[int, int, int, int] | None:
     return samples // 8 * bits // hertz + (raw[at + 2] >> 1 & 1), samples, hertz, bits
 
 
-def mp3_length(raw: bytes) -> tuple[float, int] | None:
-    """(seconds, bits a second) by the frames' headers; None unless two frames follow each other."""
-    at = 0
-    if raw[:3] == b"ID3" and len(raw) >= 10:
-        at = 10 + sum((b & 0x7F) << 7 * (3 - i) for i, b in enumerate(raw[6:10]))
-    start = raw.find(b"\xff", at)
-    while start >= 0:
-        frame = mp3_frame(raw, start)
-        if frame and (start + frame[0] >= len(raw) or mp3_frame(raw, start + frame[0])):
-            break
-        start = raw.find(b"\xff", start + 1)
-    if start < 0:
-        return None
-    seconds, used, at = 0.0, 0, start
-    while frame := mp3_frame(raw, at):
-        seconds, used, at = seconds + frame[1] / frame[2], used + frame[0], at + frame[0]
-    return seconds, round(used * 8 / seconds)
-
-
-def probe(raw: bytes) -> tuple[bool, float | None, int | None]:
-    """(known container, duration in seconds, bits a second); no duration: the header doesn't hold together."""
-    if raw[:4] == b"RIFF" and raw[8:12] == b"WAVE":
-        chunks = riff_chunks(raw)
-        found = wav_format(chunks)
-        if not found:
-            return True, None, None
-        _, channels, rate, bits = found
-        return True, len(chunks[b"data"]) / (channels * rate * bits // 8), channels * rate * bits
-    if raw[:3] == b"ID3" or raw[:1] == b"\xff":
-        found = mp3_length(raw)
-        return (True, *found) if found else (True, None, None)
-    return False, None, None
-
-
 def waveform(raw: bytes) -> tuple[int, np.ndarray] | None:
     """(rate, mono samples from -1 to 1) of a WAVE file of integers or floats; None if it can't be read."""
     chunks = riff_chunks(raw) if raw[:4] == b"RIFF" and raw[8:12] == b"WAVE" else {}
@@ -105,20 +69,3 @@ def waveform(raw: bytes) -> tuple[int, np.ndarray] | None:
     else:
         return None
     return rate, x.reshape(-1, channels).mean(axis=1).astype(np.float32)
-
-
-def _probe(raw: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([probe(bytes(r or b"")) for r in raw], columns=["known", "duration", "bitrate"]).astype({"duration": "float64", "bitrate": "Int64"})
-
-
-def _waveform(raw: pd.Series) -> pd.DataFrame:
-    found = [waveform(bytes(r or b"")) or (None, None) for r in raw]
-    return pd.DataFrame({"rate": pd.array([f[0] for f in found], dtype="Int32"), "signal": [f[1] for f in found]})
-
-
-def probe_udf(content):
-    return F.pandas_udf(_probe, "struct<known: boolean, duration: double, bitrate: long>")(content)
-
-
-def waveform_udf(content):
-    return F.pandas_udf(_waveform, "struct<rate: int, signal: array<float>>")(content)

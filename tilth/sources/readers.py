@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tilth.functions import audio
 from tilth.operators.quality import integrity
+from tilth.sources import audio_files
 
 ANNOTATIONS = T.StructType(
     [
@@ -85,7 +85,7 @@ def read_audio_index(spark: SparkSession, path: str) -> DataFrame:
     return nested.unionByName(flat).select("reciter", F.get(key, F.lit(0)).try_cast("int").alias("surah"), F.get(key, F.lit(1)).try_cast("int").alias("ayah"), "audio_path").where("surah is not null and ayah is not null and audio_path <> ''")
 
 
-def list_files(spark: SparkSession, path: str, extensions: tuple[str, ...] = ("mp3", "wav", "flac", "ogg", "m4a")) -> DataFrame:
+def list_files(spark: SparkSession, path: str, extensions: tuple[str, ...] = audio_files.EXTENSIONS) -> DataFrame:
     """Files below a folder by extension: path, length; contents are never read."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length")
     return found.where(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(*extensions))
@@ -105,21 +105,20 @@ def read_checkpoint(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).json(path).select("reciter", "surah", "ayah", F.explode_outer("results").alias("r")).select("reciter", "surah", "ayah", "r.rule", "r.harakat", "r.nasality")
 
 
-def probe_files(spark: SparkSession, path: str, least_bytes: int = 1024) -> DataFrame:
-    """Audio files below a folder by their headers: path, length, duration in seconds, bitrate, status.
+def probe_files(spark: SparkSession, path: str, least_bytes: int = 1024, extensions: tuple[str, ...] = audio_files.EXTENSIONS) -> DataFrame:
+    """Audio files below a folder by their headers: path, length, duration in seconds, bitrate, status, bytes_read.
 
-    The ladder of ``quality.integrity``; unreadable: no known container, corrupt: one whose header
-    doesn't hold together. RIFF WAVE and MPEG layer III are known. Files are probed where they are read.
-    Spark gives no row for a file without bytes, so its key comes out as missing from the coverage.
+    The ladder of ``quality.integrity``: missing, empty, tiny, unreadable (no known container), corrupt (one whose header
+    doesn't hold together), zero_duration, ok. WAVE, MPEG layer III, ADTS, FLAC, Ogg (Vorbis, Opus, FLAC) and MP4 are known.
+    Only ranges of a file are read. Long MPEG and ADTS files without a table of frames are measured by their first 64 KB.
     """
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    found = found.where(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin("mp3", "wav", "flac", "ogg", "m4a"))
-    probed = found.select("path", "length", audio.probe_udf("content").alias("p"))
-    status = integrity(F.col("length"), F.col("p.duration"), F.col("p.known"), least_bytes)
-    return probed.select("path", "length", F.when(status.isin("ok", "zero_duration"), F.col("p.duration")).alias("duration"), F.when(status == "ok", F.col("p.bitrate")).alias("bitrate"), status.alias("status"))
+    audio_files.register(spark)
+    found = spark.read.format("audio_headers").option("extensions", ",".join(extensions)).load(path)
+    status = integrity(F.col("length"), F.col("duration"), F.col("known"), least_bytes)
+    return found.select("path", "length", F.when(status.isin("ok", "zero_duration"), F.col("duration")).alias("duration"), F.when(status == "ok", F.col("bitrate")).alias("bitrate"), status.alias("status"), "bytes_read")
 
 
 def read_waveforms(spark: SparkSession, path: str) -> DataFrame:
-    """WAV files -> path, rate, signal (mono, -1 to 1); both null where a file can't be read, so that measures go by durations alone."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", audio.waveform_udf("content").alias("w"))
-    return found.select("path", "w.rate", "w.signal")
+    """Audio files -> path, rate, signal (mono, -1 to 1); both null where a file isn't a readable WAVE file, so that measures go by durations alone."""
+    audio_files.register(spark)
+    return spark.read.format("audio_waveforms").load(path)
