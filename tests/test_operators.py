@@ -42,10 +42,10 @@ def test_theil_sen_resists_outliers(spark):
     points[3], points[40] = (1, 3, 900.0), (1, 40, -500.0)
     points += [(2, x, float(x)) for x in range(3)]
     df = spark.createDataFrame([(g, float(x), y, i) for i, (g, x, y) in enumerate(points)], "g int, x double, y double, i int")
-    got = robust.theil_sen(df, ["g"], "x", "y", ["i"]).collect()
+    got = robust.theil_sen(df, ["g"], "x", "y").collect()
     assert [(r["g"], round(r["slope"], 6), round(r["intercept"], 6)) for r in got] == [(1, 0.4, 1.0)]
     big = spark.range(600).select(F.lit(1).alias("g"), F.col("id").cast("double").alias("x"), (F.col("id") * 0.4 + 1).alias("y"), F.col("id").alias("i"))
-    assert robust.theil_sen(big, ["g"], "x", "y", ["i"]).first()["slope"] == pytest.approx(0.4)
+    assert robust.theil_sen(big, ["g"], "x", "y").first()["slope"] == pytest.approx(0.4)
 
 
 def test_only_gross_anomalies(spark):
@@ -55,7 +55,7 @@ def test_only_gross_anomalies(spark):
     for i, y in ((5, 0.1), (50, rows[50][2] * 3.0), (90, rows[90][2] * 0.3)):
         rows[i] = (rows[i][0], rows[i][1], y)
     df = spark.createDataFrame([("r", *r) for r in rows], "reciter string, i int, letters double, seconds double")
-    fit = robust.theil_sen(df, ["reciter"], "letters", "seconds", ["i"])
+    fit = robust.theil_sen(df, ["reciter"], "letters", "seconds")
     found = robust.outliers(df, fit, ["reciter"], "letters", "seconds", min_abs=0.4, mad_k=6.0, ratio_low=0.5, ratio_high=2.0).where("outlier").collect()
     by = {r["i"]: r["reason"] for r in found}
     assert by[5] == "too_short_abs" and by.get(50) in ("too_long", None) and set(by) <= {5, 50, 90}

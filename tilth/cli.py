@@ -58,7 +58,7 @@ def audit(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
         d = d.withColumn("status", status)
         found.append(d.where("status <> 'ok'").select("reciter", "surah", "ayah", F.col("status").alias("reason")))
         ok = d.where("status = 'ok'").withColumn("letters", texts.letter_count(F.col("text"), F.col("surah"), F.col("ayah")).cast("double")).where("letters > 0")
-        fit = robust.theil_sen(ok, ["reciter"], "letters", "duration", ["surah", "ayah"])
+        fit = robust.theil_sen(ok, ["reciter"], "letters", "duration")
         odd = robust.outliers(ok, fit, ["reciter"], "letters", "duration", a.min_abs, a.mad_k, a.ratio_low, a.ratio_high)
         found.append(odd.where("outlier").select("reciter", "surah", "ayah", "reason"))
     return quality.worklist(found)

@@ -2,23 +2,45 @@
 
 from __future__ import annotations
 
+from collections import deque
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tilth.operators import slopes
+
 #: Half-width, in ranks over n, of the bracket searched around a quantile, and the sketch's accuracy.
 BRACKET, ACCURACY = 0.01, 10_000
 
 #: Most rows of a grouped side that is broadcast.
 FEW = 10_000
+#: Rows of a group up to which one task takes its median.
+LARGE = 200_000
+
+
+#: Grouped sides that are kept at a time; the oldest are released, and computed again if a plan still reads them.
+KEPT: deque[DataFrame] = deque()
+MOST_KEPT = 16
 
 
 def few_rows(side: DataFrame) -> DataFrame:
     """A small grouped side of a join: computed once and kept; broadcast if it has at most ``FEW`` rows, else joined by shuffle."""
     kept = side.persist()
+    KEPT.append(kept)
+    while len(KEPT) > MOST_KEPT:
+        KEPT.popleft().unpersist()
     return F.broadcast(kept) if kept.limit(FEW + 1).count() <= FEW else kept
 
 
+def release() -> int:
+    """Drop all kept sides of joins. -> how many there were."""
+    n = len(KEPT)
+    while KEPT:
+        KEPT.popleft().unpersist()
+    return n
+
+
 def order_statistics(df: DataFrame, keys: list[str], value: str, wanted: dict[str, Column]) -> DataFrame:
     """Exact values at 0-based ranks per group: ``wanted`` maps names to rank columns over ``n``.
 
@@ -87,39 +109,35 @@ def calibration_bands(samples: DataFrame, rule: str, value: str, k: float = 3.0,
     )
 
 
-def theil_sen(points: DataFrame, keys: list[str], x: str, y: str, tie: list[str], least: int = 8, exact_rows: int = 200, pairs: int = 20_000) -> DataFrame:
-    """Median pairwise slope and median intercept per group; groups under ``least`` rows are absent.
+def group_medians(df: DataFrame, keys: list[str], value: str, name: str, large: int = LARGE) -> DataFrame:
+    """Interpolated median per group, no window: a hash aggregate for groups of up to ``large`` rows, ``medians`` for larger ones."""
+    sizes = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > large).select(*keys)
+    plain = lambda rows: rows.groupBy(*keys).agg(F.median(value).alias(name))
+    if sizes.isEmpty():
+        return plain(df)
+    sizes = few_rows(sizes)
+    return plain(df.join(sizes, keys, "left_anti")).unionByName(medians(df.join(sizes, keys, "left_semi"), keys, value, name).select(*keys, name))
 
-    All pairs up to ``exact_rows`` rows; in larger groups each row meets the next few in the order of
-    ``tie``, about ``pairs`` pairs in all, so the work is linear in the rows.
-    """
-    order = Window.partitionBy(*keys).orderBy(*tie)
-    rows = points.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(
-        *keys, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"), F.row_number().over(order).alias("_i"), F.count(F.lit(1)).over(Window.partitionBy(*keys)).alias("_n")
-    )
-    rows = rows.where(F.col("_n") >= least)
-    reach = F.when(F.col("_n") <= exact_rows, F.col("_n") - 1).otherwise(F.ceil(F.lit(pairs) / F.col("_n"))).cast("int")
-    ahead = rows.withColumn("_j", F.explode(F.sequence(F.lit(1), reach))).withColumn("_j", F.col("_i") + F.col("_j")).where((F.col("_n") > exact_rows) | (F.col("_j") <= F.col("_n")))
-    ahead = ahead.withColumn("_j", F.when(F.col("_j") > F.col("_n"), F.col("_j") - F.col("_n")).otherwise(F.col("_j")).cast("int"))
-    other = rows.select(*keys, F.col("_i").alias("_j"), F.col("_x").alias("_x2"), F.col("_y").alias("_y2"))
-    slopes = ahead.join(other, [*keys, "_j"]).where("_x2 <> _x").withColumn("_s", (F.col("_y2") - F.col("_y")) / (F.col("_x2") - F.col("_x")))
-    slope = slopes.groupBy(*keys).agg(F.median("_s").alias("slope"))
-    rest = rows.join(slope, keys)
-    return rest.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.first("slope").alias("slope"), F.median(F.col("_y") - F.col("slope") * F.col("_x")).alias("intercept"))
-
-
-def outliers(points: DataFrame, fit: DataFrame, keys: list[str], x: str, y: str, min_abs: float, mad_k: float, ratio_low: float, ratio_high: float) -> DataFrame:
-    """Rows far from their group's line (groups are recording sets, thousands of rows): z, expected, ratio, reason, whether outlier; all rows of fitted groups."""
-    rows = points.join(fit.select(*keys, "slope", "intercept"), keys).withColumn("expected", F.col("slope") * F.col(x) + F.col("intercept"))
+
+def theil_sen(points: DataFrame, keys: list[str], x: str, y: str, least: int = 8, block: int = slopes.BLOCK, large: int = LARGE) -> DataFrame:
+    """keys, n, slope, intercept: the median of all pairwise slopes, exact (``slopes``), and of what is left of y; groups under ``least`` rows are absent, ones without two different x too."""
+    rows = points.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
+    sizes = few_rows(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least))
+    rows = rows.join(sizes.select(*keys), keys, "left_semi")
+    found = few_rows(slopes.median_slopes(rows, keys, "_x", "_y", block))
+    rest = rows.join(found, keys).withColumn("_r", F.col("_y") - F.col("slope") * F.col("_x"))
+    return group_medians(rest, keys, "_r", "intercept", large).join(found, keys).join(sizes, keys).select(*keys, "n", "slope", "intercept")
+
+
+def outliers(points: DataFrame, fit: DataFrame, keys: list[str], x: str, y: str, min_abs: float, mad_k: float, ratio_low: float, ratio_high: float, large: int = LARGE) -> DataFrame:
+    """Rows far from their group's line: z, expected, ratio, reason, whether outlier; all rows of fitted groups."""
+    rows = points.join(few_rows(fit.select(*keys, "slope", "intercept")), keys).withColumn("expected", F.col("slope") * F.col(x) + F.col("intercept"))
     rows = rows.withColumn("residual", F.col(y) - F.col("expected"))
-    group = Window.partitionBy(*keys)
-    rows = rows.withColumn("_m", F.median("residual").over(group))
-    rows = rows.withColumn("_d", F.median(F.abs(F.col("residual") - F.col("_m"))).over(group))
-    rows = rows.withColumn("_d", F.when(F.col("_d") == 0, 1e-9).otherwise(F.col("_d")))
-    z = F.abs(F.col("residual") - F.col("_m")) / F.col("_d")
+    rows = rows.join(few_rows(group_medians(rows, keys, "residual", "_m", large)), keys).withColumn("_a", F.abs(F.col("residual") - F.col("_m")))
+    rows = rows.join(few_rows(group_medians(rows, keys, "_a", "_d", large)), keys).withColumn("_d", F.when(F.col("_d") == 0, 1e-9).otherwise(F.col("_d")))
     ratio = F.when(F.col("expected") > 0, F.col(y) / F.col("expected")).otherwise(0.0)
-    rows = rows.withColumns({"z": z, "ratio": ratio})
+    rows = rows.withColumns({"z": F.col("_a") / F.col("_d"), "ratio": ratio})
     short = F.col(y) < min_abs
     far = (F.col("z") > mad_k) & ((F.col("ratio") < ratio_low) | (F.col("ratio") > ratio_high))
     reason = F.when(short, "too_short_abs").when(F.col("ratio") > ratio_high, "too_long").otherwise("too_short")
-    return rows.withColumn("outlier", short | far).withColumn("reason", F.when(F.col("outlier"), reason)).drop("_m", "_d")
+    return rows.withColumn("outlier", short | far).withColumn("reason", F.when(F.col("outlier"), reason)).drop("_m", "_d", "_a")

@@ -31,12 +31,12 @@ def batch_rollup(spark, sf_dir):
 
 
 def robust_fit(spark, sf_dir):
-    return robust.theil_sen(table(spark, sf_dir, "part"), ["p_brand"], "p_size", "p_retailprice", ["p_partkey"]).select("p_brand", "n", F.round("slope", 6).alias("slope"), F.round("intercept", 6).alias("intercept"))
+    return robust.theil_sen(table(spark, sf_dir, "part"), ["p_brand"], "p_size", "p_retailprice").select("p_brand", "n", F.round("slope", 6).alias("slope"), F.round("intercept", 6).alias("intercept"))
 
 
 def plausibility_outliers(spark, sf_dir):
     part = table(spark, sf_dir, "part")
-    fit = robust.theil_sen(part, ["p_brand"], "p_size", "p_retailprice", ["p_partkey"])
+    fit = robust.theil_sen(part, ["p_brand"], "p_size", "p_retailprice")
     found = robust.outliers(part, fit, ["p_brand"], "p_size", "p_retailprice", min_abs=905.0, mad_k=1.2, ratio_low=0.8, ratio_high=1.2)
     return found.where("outlier").select("p_partkey", "p_brand", F.round("ratio", 4).alias("ratio"), "reason")
 
@@ -50,10 +50,8 @@ spots AS (SELECT s.rule, n, med, CASE WHEN mad = 0 THEN 1e-9 ELSE mad END AS mad
   FROM stats s JOIN mads m ON s.rule = m.rule WHERE n >= 5)
 """
 _FIT = """
-r AS (SELECT p_brand, p_partkey, p_size::double AS x, p_retailprice AS y, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS i,
-  count(*) OVER (PARTITION BY p_brand) AS n FROM part),
-s AS (SELECT a.p_brand, (b.y - a.y) / (b.x - a.x) AS s FROM r a JOIN r b ON a.p_brand = b.p_brand AND a.x <> b.x
-  AND ((a.n <= 200 AND b.i > a.i) OR (a.n > 200 AND (b.i - a.i + a.n) % a.n BETWEEN 1 AND ceil(20000 / a.n))) WHERE a.n >= 8),
+r AS (SELECT p_brand, p_partkey, p_size::double AS x, p_retailprice AS y, count(*) OVER (PARTITION BY p_brand) AS n FROM part),
+s AS (SELECT a.p_brand, (b.y - a.y) / (b.x - a.x) AS s FROM r a JOIN r b ON a.p_brand = b.p_brand AND a.x <> b.x AND b.p_partkey > a.p_partkey WHERE a.n >= 8),
 m AS (SELECT p_brand, median(s) AS slope FROM s GROUP BY 1),
 fit AS (SELECT r.p_brand, count(*) AS n, any_value(slope) AS slope, median(y - slope * x) AS intercept FROM r JOIN m ON r.p_brand = m.p_brand GROUP BY 1)
 """
