@@ -11,53 +11,97 @@ from pyspark.sql import functions as F
 GAP, SLACK = 1, 4
 
 
-def _codes(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-32-le"), dtype="<u4").astype(np.int64)
-
-
-def _table(hyp: np.ndarray, ref: np.ndarray, free_start: bool) -> np.ndarray:
-    """Edit distances of all prefixes; with a free start any part of ``ref`` may be skipped before."""
-    n = np.arange(len(ref) + 1)
-    table = np.empty((len(hyp) + 1, len(ref) + 1), dtype=np.int64)
-    table[0] = 0 if free_start else n
-    for i, c in enumerate(hyp, 1):
-        row = table[i]
-        row[0] = i
-        row[1:] = np.minimum(table[i - 1, 1:] + 1, table[i - 1, :-1] + (ref != c))
-        row[:] = np.minimum.accumulate(row - n) + n
-    return table
-
-
-def _walk(table: np.ndarray, hyp: np.ndarray, ref: np.ndarray, j: int, free_start: bool):
-    """Steps back from (all of hyp, j): diagonal before deletion before insertion. -> (matches, where it began)."""
-    i, matched = len(hyp), {}
-    while i or (j and not free_start):
-        if i and j and table[i, j] == table[i - 1, j - 1] + (hyp[i - 1] != ref[j - 1]):
-            i, j = i - 1, j - 1
-            if hyp[i] == ref[j]:
+class Columns:
+    """Edit distances of all prefixes of ``hyp`` (rows) and ``ref`` (columns), a column at a time as bits of integers.
+
+    Neighbouring distances differ by at most one, so a column is two bit vectors, its rises and its falls. With a free start any
+    part of ``ref`` may be skipped before. For steps back a column also gives where the diagonal step is free
+    and where the distance rises from the column before; those are kept for one block of columns at a time and
+    computed again from the block's first column, so n by m letters take about n * sqrt(m) / 2 bits instead of n * m numbers.
+    """
+
+    def __init__(self, hyp: str, ref: str, free_start: bool):
+        self.hyp, self.ref, self.m = hyp, ref, len(hyp)
+        self.mask, self.carry = (1 << len(hyp)) - 1, 0 if free_start else 1
+        self.free_start = free_start
+        self.places: dict[str, int] = {}
+        for i, c in enumerate(hyp):
+            self.places[c] = self.places.get(c, 0) | 1 << i
+        self.block = max(64, int(len(ref) ** 0.5))
+
+    def run(self, lo: int, hi: int, rises: int, falls: int, keep: list | None):
+        """From column ``lo`` on: the last row's change in each column up to ``hi``; at last the column's rises and falls."""
+        mask, carry, places, top = self.mask, self.carry, self.places, self.m - 1
+        steps = []
+        for c in self.ref[lo:hi]:
+            same = places.get(c, 0)
+            free = (((same & rises) + rises) ^ rises) | same | falls
+            up = (falls | ~(free | rises)) & mask
+            down = rises & free & mask
+            if keep is not None:
+                keep.append((free, up))
+            steps.append((up >> top & 1) - (down >> top & 1))
+            up = up << 1 | carry
+            down <<= 1
+            rises = (down | ~(free | up)) & mask
+            falls = up & free & mask
+        return steps, rises, falls
+
+    def last_row(self) -> list[int]:
+        """Distances of all of ``hyp`` to each prefix of ``ref``."""
+        steps, _, _ = self.run(0, len(self.ref), self.mask, 0, None)
+        out = [self.m]
+        for d in steps:
+            out.append(out[-1] + d)
+        return out
+
+    def walk(self, j: int) -> tuple[dict[int, int], int]:
+        """Steps back from (all of hyp, j): diagonal before deletion before insertion. -> (matches, where it began)."""
+        starts, rises, falls = [], self.mask, 0
+        for lo in range(0, j, self.block):
+            starts.append((rises, falls))
+            _, rises, falls = self.run(lo, min(j, lo + self.block), rises, falls, None)
+        i, matched, kept, base = self.m, {}, [], j
+        while i or (j and not self.free_start):
+            if not j:
+                break  # only insertions are left
+            if not i:
+                j = 0  # only deletions are left
+                continue
+            if j <= base:
+                base = (j - 1) // self.block * self.block
+                kept = []
+                self.run(base, j, *starts[base // self.block], kept)
+            free, up = kept[j - 1 - base]
+            if self.hyp[i - 1] == self.ref[j - 1]:
+                i, j = i - 1, j - 1
                 matched[j] = i
-        elif j and table[i, j] == table[i, j - 1] + 1:
-            j -= 1
-        else:
-            i -= 1
-    return matched, j
+            elif not free >> (i - 1) & 1:
+                i, j = i - 1, j - 1
+            elif up >> (i - 1) & 1:
+                j -= 1
+            else:
+                i -= 1
+        return matched, j
 
 
 def matched_positions(hyp: str, ref: str) -> list[int | None]:
     """For each character of ``ref`` the place in ``hyp`` of the equal character it is aligned with, else None."""
-    a, b = _codes(hyp), _codes(ref)
-    found, _ = _walk(_table(a, b, False), a, b, len(b), False)
-    return [found.get(j) for j in range(len(b))]
+    if not hyp or not ref:
+        return [None] * len(ref)
+    found, _ = Columns(hyp, ref, False).walk(len(ref))
+    return [found.get(j) for j in range(len(ref))]
 
 
 def reached_region(hyp: str, ref: str) -> tuple[int, int] | None:
     """First and last place of the part of ``ref`` that ``hyp`` explains best, both ends free; the later end on ties."""
     if not hyp or not ref:
         return None
-    a, b = _codes(hyp), _codes(ref)
-    table = _table(a, b, True)
-    end = len(b) - int(table[-1, ::-1].argmin())
-    _, start = _walk(table, a, b, end, True)
+    columns = Columns(hyp, ref, True)
+    row = columns.last_row()
+    least = min(row)
+    end = max(j for j, d in enumerate(row) if d == least)
+    _, start = columns.walk(end)
     return start, max(start, end - 1)
 
 
@@ -67,9 +111,7 @@ def fit_distance(hyp: str, window: str) -> float:
         return 0.0
     if not window:
         return 1.0
-    a, b = _codes(hyp), _codes(window)
-    best = min(int(_table(a, b, False)[-1].min()), int(_table(a[::-1], b[::-1], False)[-1].min()))
-    return best / len(hyp)
+    return min(min(Columns(hyp, window, False).last_row()), min(Columns(hyp[::-1], window[::-1], False).last_row())) / len(hyp)
 
 
 def _matched(hyp: pd.Series, ref: pd.Series) -> pd.Series:
