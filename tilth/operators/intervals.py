@@ -77,26 +77,75 @@ def asof_join(left: DataFrame, right: DataFrame, keys: list[str], ts: str, value
     return both.where("_side = 1").select(*keys, ts, *[F.col("_row")[c].alias(c) for c in columns], out)
 
 
-def islands(rows: DataFrame, keys: list[str], order: list[str], state: str) -> DataFrame:
-    """Runs of equal ``state`` in order: keys, run (from 1), state, n, first and last order value."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    change = (~F.col(state).eqNullSafe(F.lag(state).over(w)) | F.lag(F.lit(1)).over(w).isNull()).cast("int")
-    marked = rows.withColumn("_change", change).withColumn("run", F.sum("_change").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return marked.groupBy(*keys, "run", state).agg(F.count(F.lit(1)).alias("n"), F.min(order[0]).alias("first"), F.max(order[0]).alias("last"))
-
-
-def running_offsets(rows: DataFrame, keys: list[str], order: list[str], length: Column, gap: int = 1) -> DataFrame:
-    """start and end of each row's text in the concatenation of its key's texts, ``gap`` characters between."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    out = rows.withColumn("_len", length)
-    return out.withColumn("start", F.coalesce(F.sum(F.col("_len") + gap).over(w), F.lit(0)).cast("long")).withColumn("end", F.col("start") + F.col("_len")).drop("_len")
-
-
-def onset_spans(frames: DataFrame, keys: list[str], order: list[str], label: str, blank, at: str, end: str) -> DataFrame:
-    """Onsets of labels: not blank and not the one before; each lasts to the next onset, the last to ``end``."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    on = frames.withColumn("_before", F.lag(label).over(w)).where((F.col(label) != F.lit(blank)) & ~F.col(label).eqNullSafe(F.col("_before")))
-    return on.withColumn("span_end", F.coalesce(F.lead(at).over(w), F.col(end))).drop("_before")
+FIRST_BLOCK = -(1 << 62)
+
+
+def _in_blocks(rows: DataFrame, block: Column) -> DataFrame:
+    """``rows`` with ``_block``; a null block is the first, as null comes first in order."""
+    return rows.withColumn("_block", F.coalesce(block.cast("long"), F.lit(FIRST_BLOCK)))
+
+
+def islands(rows: DataFrame, keys: list[str], order: list[str], state: str, block: Column) -> DataFrame:
+    """Runs of equal ``state`` in order: keys, run (from 1), state, n, first and last order value.
+
+    ``block`` must not fall along ``order``. Changes are found and counted per key and block; blocks hand on their last
+    state and their number of changes, so a key with very many rows is many tasks.
+    """
+    blocked = _in_blocks(rows, block)
+    w = Window.partitionBy(*keys, "_block").orderBy(*order)
+    change = (~F.col(state).eqNullSafe(F.lag(state).over(w)) & F.lag(F.lit(1)).over(w).isNotNull()).cast("int")
+    marked = blocked.withColumn("_change", change).withColumn("_at", F.struct(*order))
+    inner = marked.withColumn("_here", F.sum("_change").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    ends = marked.groupBy(*keys, "_block").agg(F.sum("_change").alias("_n"), F.min(F.struct("_at", F.col(state).alias("s"))).alias("_head"), F.max(F.struct("_at", F.col(state).alias("s"))).alias("_tail"))
+    across = Window.partitionBy(*keys).orderBy("_block")
+    before = F.lag("_tail").over(across)
+    ends = ends.withColumn("_new", (before.isNull() | ~F.col("_head.s").eqNullSafe(before["s"])).cast("int"))
+    ends = ends.withColumn("_before", F.sum(F.col("_new") + F.col("_n")).over(across.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).select(*keys, "_block", "_before")
+    numbered = _null_safe(inner, ends, [*keys, "_block"]).withColumn("run", F.col("_before") + F.col("_here"))
+    return numbered.groupBy(*keys, "run", state).agg(F.count(F.lit(1)).alias("n"), F.min(order[0]).alias("first"), F.max(order[0]).alias("last"))
+
+
+def _null_safe(rows: DataFrame, side: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join on keys that may be null, with the columns of ``rows`` and the others of ``side``."""
+    other = side.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *[c for c in side.columns if c not in keys])
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same &= F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return rows.join(other, same).drop(*[f"_k{i}" for i in range(len(keys))])
+
+
+def running_offsets(rows: DataFrame, keys: list[str], order: list[str], length: Column, block: Column, gap: int = 1) -> DataFrame:
+    """start and end of each row's text in the concatenation of its key's texts, ``gap`` characters between.
+
+    ``block`` must not fall along ``order``. Lengths are added up within blocks of a key, and one sum per block is handed on. A null length counts as 0, its end is null.
+    """
+    out = _in_blocks(rows.withColumn("_len", length), block)
+    size = F.coalesce(F.col("_len"), F.lit(0)) + gap
+    inside = Window.partitionBy(*keys, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    across = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = out.groupBy(*keys, "_block").agg(F.sum(size).alias("_sum")).withColumn("_before", F.coalesce(F.sum("_sum").over(across), F.lit(0))).drop("_sum")
+    local = out.withColumn("_here", F.coalesce(F.sum(size).over(inside), F.lit(0)))
+    joined = _null_safe(local, sums, [*keys, "_block"]).withColumn("start", (F.col("_before") + F.col("_here")).cast("long"))
+    return joined.withColumn("end", F.col("start") + F.col("_len")).drop("_len", "_block", "_before", "_here")
+
+
+def onset_spans(frames: DataFrame, keys: list[str], order: list[str], label: str, blank, at: str, end: str, block: Column) -> DataFrame:
+    """Onsets of labels: not blank and not the one before; each lasts to the next onset, the last to ``end``.
+
+    ``block`` must not fall along ``order``. Blocks hand on their last label forward and their first onset backward.
+    """
+    blocked = _in_blocks(frames, block).withColumn("_at", F.struct(*order))
+    w, across = Window.partitionBy(*keys, "_block").orderBy(*order), Window.partitionBy(*keys).orderBy("_block")
+    tails = blocked.groupBy(*keys, "_block").agg(F.max(F.struct("_at", F.col(label).alias("s"))).alias("_tail"))
+    tails = tails.withColumn("_last", F.lag("_tail").over(across)["s"]).drop("_tail")
+    place = F.row_number().over(w)
+    seen = _null_safe(blocked.withColumn("_label", F.lag(label).over(w)).withColumn("_place", place), tails, [*keys, "_block"])
+    before = F.when(F.col("_place") == 1, F.col("_last")).otherwise(F.col("_label"))
+    on = seen.withColumn("_before", before).where((F.col(label) != F.lit(blank)) & ~F.col(label).eqNullSafe(F.col("_before"))).drop("_before", "_label", "_last", "_place")
+    heads = on.groupBy(*keys, "_block").agg(F.min(F.struct("_at", F.col(at).alias("v"))).alias("_head"))
+    heads = heads.withColumn("_next", F.lead("_head").over(across)["v"]).drop("_head")
+    joined = _null_safe(on.withColumn("_lead", F.lead(at).over(w)), heads, [*keys, "_block"])
+    return joined.withColumn("span_end", F.coalesce("_lead", "_next", end)).drop("_lead", "_next", "_block", "_at")
 
 
 def confirmed_prefix(parts: DataFrame, keys: list[str], order: str, ratio: str, confirm: float, resume: float) -> DataFrame:

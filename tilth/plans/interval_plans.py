@@ -75,7 +75,7 @@ def contained_spans(spark, sf_dir):
 
 def concat_offsets(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.length("text").alias("len"))
-    return intervals.running_offsets(c, ["conv_id"], ["turn"], F.col("len")).select("conv_id", "turn", "start", "end")
+    return intervals.running_offsets(c, ["conv_id"], ["turn"], F.col("len"), F.floor(F.col("turn") / 1024)).select("conv_id", "turn", "start", "end")
 
 
 def point_in_span(spark, sf_dir):
@@ -87,7 +87,7 @@ def point_in_span(spark, sf_dir):
 
 def onset_spans(spark, sf_dir):
     e = table(spark, sf_dir, "events").withColumn("at", micros("ts")).select("user_id", "event_id", "event_type", "at", F.lit(1706745600000000).alias("stop"))
-    return intervals.onset_spans(e, ["user_id"], ["at", "event_id"], "event_type", "error", "at", "stop").select("user_id", "event_id", "event_type", (F.col("span_end") - F.col("at")).alias("lasts"))
+    return intervals.onset_spans(e, ["user_id"], ["at", "event_id"], "event_type", "error", "at", "stop", F.floor(F.col("at") / (7 * DAY))).select("user_id", "event_id", "event_type", (F.col("span_end") - F.col("at")).alias("lasts"))
 
 
 def _daily(spark, sf_dir):
@@ -101,14 +101,14 @@ def confirmed_prefix(spark, sf_dir):
 
 def islands(spark, sf_dir):
     e = table(spark, sf_dir, "events").withColumn("at", micros("ts")).select("user_id", "event_id", "event_type", "at")
-    return intervals.islands(e, ["user_id"], ["at", "event_id"], "event_type").select("user_id", "run", "event_type", "n")
+    return intervals.islands(e, ["user_id"], ["at", "event_id"], "event_type", F.floor(F.col("at") / (7 * DAY))).select("user_id", "run", "event_type", "n")
 
 
 def run_modes(spark, sf_dir):
     # later overlapping spans win, then runs of one of four modes
     e = table(spark, sf_dir, "events").withColumn("at", micros("ts"))
     mode = F.when(F.col("event_type") == "error", "hidden").when(F.col("value") < 5, "hint").when(F.col("event_type") == "view", "plain").otherwise("graded")
-    return intervals.islands(e.select("user_id", "event_id", "at", mode.alias("mode")), ["user_id"], ["at", "event_id"], "mode").groupBy("user_id", "mode").agg(F.count(F.lit(1)).alias("runs"), F.max("n").alias("longest"))
+    return intervals.islands(e.select("user_id", "event_id", "at", mode.alias("mode")), ["user_id"], ["at", "event_id"], "mode", F.floor(F.col("at") / (7 * DAY))).groupBy("user_id", "mode").agg(F.count(F.lit(1)).alias("runs"), F.max("n").alias("longest"))
 
 
 def topk_union(spark, sf_dir):

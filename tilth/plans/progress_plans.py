@@ -107,7 +107,7 @@ def guided_chunks(spark, sf_dir):
 
 def span_of_range(spark, sf_dir):
     # first start and last end of the timed turns between two positions, null if none
-    c = intervals.running_offsets(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.length("text").alias("len")), ["conv_id"], ["turn"], F.col("len"))
+    c = intervals.running_offsets(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.length("text").alias("len")), ["conv_id"], ["turn"], F.col("len"), F.floor(F.col("turn") / 1024))
     return c.groupBy("conv_id").agg(F.min(F.when((F.col("role") == "assistant") & F.col("turn").between(1, 4), F.col("start"))).alias("t0"), F.max(F.when((F.col("role") == "assistant") & F.col("turn").between(1, 4), F.col("end"))).alias("t1"))
 
 
