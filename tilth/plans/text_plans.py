@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tilth.functions import alignment, scalars, text
-from tilth.operators import intervals, locate, scoring
+from tilth.operators import intervals, locate, scoring, trigrams
 from tilth.plans.tables import micros, table
+from tilth.sources import shared
 
 ACCENTED, PLAIN = "ÀÂÄÇÉÈÊËÎÏÍÑÔÖÓÙÛÜÚàâäçéèêëîïíñôöóùûüúá", "AAACEEEEIIINOOOUUUUaaaceeeeiiinooouuuua"
 
@@ -133,6 +137,14 @@ def text_search(spark, sf_dir):
     return d.where(F.expr("ilike(text, concat('%', n1, '%')) or ilike(text, concat('%', n2, '%'))")).orderBy("doc_id").limit(50).select("doc_id", "lang")
 
 
+def trigram_search(spark, sf_dir):
+    # through an index of whole texts, made for the query
+    path = shared.new_path(spark, "trigrams")
+    trigrams.build(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), ["doc_id"], ["text"], path)
+    found = [trigrams.search(spark, path, ["doc_id"], ["text"], q).select("doc_id", "lang", F.lit(q).alias("query")) for q in ("Lizenz", "password", "thing", "o_u")]
+    return reduce(DataFrame.unionByName, found)
+
+
 def jump_intents(spark, sf_dir):
     u = table(spark, sf_dir, "pages")
     q = F.when(F.col("page_id") % 3 == 0, F.concat((F.col("page_id") % 114 + 1).cast("string"), F.lit(":"), (F.col("page_id") % 7 + 1).cast("string"))).when(F.col("page_id") % 3 == 1, F.concat(F.lit("juz "), (F.col("page_id") % 30 + 1).cast("string"))).otherwise(F.concat(F.lit("Page "), F.col("page_id").cast("string")))
@@ -145,7 +157,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         slice_words, normalize_text, word_offsets, error_rate, semi_global_fit, bigram_overlap, locate_span, word_verdicts, traceback_match,
-        word_ratio_scores, hidden_energy, uniform_spans, letter_counts, formatting, name_search, text_search, jump_intents,
+        word_ratio_scores, hidden_energy, uniform_spans, letter_counts, formatting, name_search, text_search, trigram_search, jump_intents,
     )
 }
 
@@ -232,6 +244,7 @@ regexp_matches(n, '^[THEANDOFthendof]{{1,6}}$') AS disjoint, CASE WHEN doc_id IN
 SELECT o_orderkey, lpad(s::varchar, 3, '0') || lpad(a::varchar, 3, '0') AS padded, translate(s || ':' || a, '0123456789', '٠١٢٣٤٥٦٧٨٩') AS eastern, datediff('day', DATE '1995-01-01', o_orderdate::date)::int AS days,
 greatest(1, floor(o_custkey * 7 + 0.5)::bigint) AS hours, CASE WHEN ceil(o_custkey * 7 / 24) <= 0 THEN 'due now' ELSE ceil(o_custkey * 7 / 24)::bigint || 'd' END AS due, substr('SMTWTFS', dayofweek(o_orderdate)::int + 1, 1) AS weekday FROM o""",
     "name_search": """SELECT c_custkey, c_name, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey = 42 OR lower(c_name) LIKE '%0077%' OR lower(translate(n_name, 'Éé', 'Ee')) LIKE '%ni%' ORDER BY c_custkey LIMIT 6""",
+    "trigram_search": r"""SELECT doc_id, lang, q AS query FROM documents JOIN (VALUES ('Lizenz', '%Lizenz%'), ('password', '%password%'), ('thing', '%thing%'), ('o_u', '%o\_u%')) v(q, p) ON text ILIKE p ESCAPE '\'""",
     "text_search": r"SELECT doc_id, lang FROM documents WHERE text ILIKE '%the\_ab%' ESCAPE '\' OR text ILIKE '%thing%' ORDER BY doc_id LIMIT 50",
     "hidden_energy": """WITH s AS (SELECT vec_id, unnest(range(len(embedding))) AS n, unnest(embedding)::double AS x, len(embedding) AS size FROM embeddings),
 w AS (SELECT vec_id, n, size, x * (0.5 - 0.5 * cos(2 * pi() * n / (size - 1))) AS x FROM s WHERE size >= 32),
