@@ -10,6 +10,8 @@ calibrated on labelled texts that the counts didn't see.
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -21,6 +23,8 @@ from tilth.llm.word_tokens import text_blocks
 ORDER = 4
 MARK, SPACE, OTHER = 1, 32, 0xFFFF
 UNKNOWN = "und"
+#: Characters of a text that are looked up at a time.
+BLOCK = 1 << 19
 
 _letters: list[np.ndarray] = []
 
@@ -31,18 +35,31 @@ def letters() -> np.ndarray:
     return _letters[0]
 
 
+def code_blocks(text: str | None):
+    """16-bit symbols of a text, about ``BLOCK`` characters at a time, each block after the last symbols before it, at first the marks.
+
+    Blocks end behind a character that isn't a letter, unless a word is as long as a block.
+    """
+    text, before, after_letter, at = text or "", np.full(ORDER - 1, MARK, np.uint16), False, 0
+    while at < len(text):
+        end = min(len(text), at + BLOCK)
+        while end < len(text) and end < at + 2 * BLOCK and text[end - 1].isalpha():
+            end += 1
+        raw = np.frombuffer(text[at:end].lower().encode("utf-32-le", "surrogatepass"), dtype="<u4")
+        is_letter = letters()[raw]
+        keep = is_letter.copy()
+        keep[1:] |= is_letter[:-1]
+        keep[0] |= after_letter
+        found = np.concatenate([before, np.where(is_letter, np.minimum(raw, OTHER), SPACE).astype(np.uint16)[keep]])
+        yield found
+        before, after_letter, at = found[len(found) - (ORDER - 1) :], bool(is_letter[-1]), end
+
+
 def codes_of(text: str | None) -> np.ndarray | None:
-    """16-bit symbols of a text with its marks; None if it has no letter."""
-    if not text:
-        return None
-    raw = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype="<u4")
-    is_letter = letters()[raw]
-    if not is_letter.any():
-        return None
-    out = np.where(is_letter, np.minimum(raw, OTHER), SPACE).astype(np.uint16)
-    keep = is_letter.copy()
-    keep[1:] |= is_letter[:-1]
-    return np.concatenate([np.full(ORDER - 1, MARK, np.uint16), out[keep]])
+    """16-bit symbols of a whole text with its marks; None if it has no letter."""
+    blocks = list(code_blocks(text))
+    codes = np.concatenate([*blocks[:1], *[b[ORDER - 1 :] for b in blocks[1:]]]) if blocks else np.zeros(0, np.uint16)
+    return codes if len(codes) > ORDER - 1 else None
 
 
 def scramble(keys: np.ndarray) -> np.ndarray:
@@ -119,7 +136,8 @@ class KneserNey:
 
     def cross_entropies(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Nats per character for each text and language, and each text's number of characters (0: no letter)."""
-        coded = [codes_of(t) for t in texts]
+        long = {i for i, t in enumerate(texts) if t and len(t) > BLOCK}
+        coded = [None if i in long else codes_of(t) for i, t in enumerate(texts)]
         sizes = np.array([0 if c is None else len(c) - (ORDER - 1) for c in coded], dtype=np.int64)
         out = np.zeros((len(texts), len(self.languages)))
         full = np.flatnonzero(sizes)
@@ -127,6 +145,13 @@ class KneserNey:
             logs = self._lookup(np.concatenate([grams(coded[i], ORDER) for i in full]), ORDER)
             sums = np.add.reduceat(logs, np.concatenate([[0], np.cumsum(sizes[full])[:-1]]), axis=0)
             out[full] = -sums / sizes[full, None]
+        for i in sorted(long):
+            total = np.zeros(len(self.languages))
+            for block in code_blocks(texts[i]):
+                sizes[i] += len(block) - (ORDER - 1)
+                if len(block) >= ORDER and self.languages:
+                    total -= self._lookup(grams(block, ORDER), ORDER).sum(axis=0)
+            out[i] = total / max(1, sizes[i])
         return out, sizes
 
 
@@ -175,10 +200,15 @@ def train(docs: DataFrame, docs_per_lang: int = 1200, margin: float = 2.0) -> La
     def count(frames):
         for frame in frames:
             for lang, texts in frame.groupby("lang")["text"]:
-                found = [grams(c, ORDER) for c in map(codes_of, texts) if c is not None]
-                if found:
-                    keys, n = np.unique(np.concatenate(found), return_counts=True)
-                    yield pd.DataFrame({"lang": lang, "gram": keys.view(np.int64), "n": n})
+                found, held = [], 0
+                for block in chain((b for t in texts for b in code_blocks(t)), [None]):
+                    if block is not None and len(block) >= ORDER:
+                        found.append(grams(block, ORDER))
+                        held += len(block)
+                    if found and (block is None or held > 4 * BLOCK):
+                        keys, n = np.unique(np.concatenate(found), return_counts=True)
+                        yield pd.DataFrame({"lang": lang, "gram": keys.view(np.int64), "n": n})
+                        found, held = [], 0
 
     counted = sample.where(~F.col("check")).select("lang", "text").mapInPandas(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow().to_pandas()
     tables = {}
