@@ -235,9 +235,25 @@ c AS (SELECT *, CASE WHEN p_type = 'STANDARD' AND p_size IN (SELECT z FROM s) TH
 SELECT p_partkey, class, CASE class WHEN 'STANDARD_SUB' THEN 3.0 WHEN 'PROMO' THEN 2.0 ELSE 1.0 END::double AS floor, p_type IN ('STANDARD','PROMO','SMALL') AS lower_only FROM c""",
     "vocabulary_filter": """SELECT event_type AS rule, CASE WHEN event_type IN ('click','view','purchase') THEN upper(left(event_type, 1)) || substr(event_type, 2) ELSE 'other' END AS label,
 event_type IN ('click','view','purchase') AS known, count(*) AS n FROM events GROUP BY 1, 2, 3""",
-    "display_names": f"""WITH r AS (SELECT * FROM (VALUES {", ".join(f"({i}, '{k}', '{n}')" for i, (k, n, _) in enumerate(dimensions.RECITERS))}) t(i, k, name)),
-c AS (SELECT * FROM (VALUES {", ".join(f"({i}, '{k}', '{x}')" for i, (k, x) in enumerate(dimensions.COLOURS.items()))}) t(i, rule, colour))
-SELECT coalesce(r.k, 'guest') AS reciter, coalesce(r.name, 'guest') AS reciter_name, coalesce(c.rule, 'other') AS rule, coalesce(c.colour, '{dimensions.OTHER_COLOUR}') AS colour, count(*) AS n
+    "display_names": """WITH r AS (SELECT * FROM (VALUES
+    (0, 'abdul_basit_murattal', 'Abdul Basit Murattal'), (1, 'abdullaah_3awwaad_al_juhaynee', 'Abdullaah Awwaad Al-Juhaynee'), (2, 'abdullah_basfar', 'Abdullah Basfar'),
+    (3, 'abdulsamad', 'Abdul Samad'), (4, 'abdurrahmaan_as_sudais', 'Abdurrahmaan As-Sudais'), (5, 'abu_bakr_ash_shaatree', 'Abu Bakr Ash-Shaatree'),
+    (6, 'alafasy', 'Mishary Alafasy'), (7, 'ali_jaber', 'Ali Jaber'), (8, 'ayman_sowaid', 'Ayman Sowaid'),
+    (9, 'banna', 'Mahmoud Al-Banna'), (10, 'fares_abbad', 'Fares Abbad'), (11, 'ghamadi', 'Saad Al-Ghamadi'),
+    (12, 'hani_rifai', 'Hani Ar-Rifai'), (13, 'hudhaify', 'Ali Al-Hudhaify'), (14, 'husary', 'Mahmoud Al-Husary'),
+    (15, 'husary_mujawwad', 'Mahmoud Al-Husary'), (16, 'hussary.teacher', 'Al-Husary (Teacher)'), (17, 'ibrahim_akhdar', 'Ibrahim Al-Akhdar'),
+    (18, 'minshawy_mujawwad', 'Mohamed Al-Minshawy'), (19, 'minshawy_murattal', 'Mohamed Al-Minshawy'), (20, 'minshawy_teacher', 'Al-Minshawy (Teacher)'),
+    (21, 'mostafa_ismail', 'Mostafa Ismail'), (22, 'muhammad_jibreel', 'Muhammad Jibreel'), (23, 'muhsin_al_qasim', 'Muhsin Al-Qasim'),
+    (24, 'nasser_alqatami', 'Nasser Al-Qatami'), (25, 'saood_ash_shuraym', 'Saood Ash-Shuraym'), (26, 'tunaiji', 'Khalifa Al-Tunaiji'),
+    (27, 'warsh_husary', 'Al-Husary (Warsh)'), (28, 'warsh_yassin', 'Yassin Al-Jazairi (Warsh)'), (29, 'yasser_ad_dussary', 'Yasser Ad-Dussary')) t(i, k, name)),
+c AS (SELECT * FROM (VALUES
+    (0, 'madd_2', '#E8A33D'), (1, 'madd_246', '#F2C14E'), (2, 'madd_6', '#E5392B'),
+    (3, 'madd_munfasil', '#F58B3C'), (4, 'madd_muttasil', '#E5662E'), (5, 'ghunnah', '#1E9E8A'),
+    (6, 'idghaam_ghunnah', '#2BB673'), (7, 'idghaam_no_ghunnah', '#7FB069'), (8, 'idghaam_shafawi', '#4C9A7A'),
+    (9, 'idghaam_mutajanisayn', '#5FA8A0'), (10, 'idghaam_mutaqaribayn', '#6FB3AB'), (11, 'ikhfa', '#3E78B2'),
+    (12, 'ikhfa_shafawi', '#5B8FD6'), (13, 'iqlab', '#7E57C2'), (14, 'qalqalah', '#C2407A'),
+    (15, 'hamzat_wasl', '#9AA0A6'), (16, 'lam_shamsiyyah', '#B0883B'), (17, 'silent', '#C4C7CC')) t(i, rule, colour))
+SELECT coalesce(r.k, 'guest') AS reciter, coalesce(r.name, 'guest') AS reciter_name, coalesce(c.rule, 'other') AS rule, coalesce(c.colour, '#C9A227') AS colour, count(*) AS n
 FROM events LEFT JOIN r ON r.i = event_id % 33 LEFT JOIN c ON c.i = event_id % 20 GROUP BY 1, 2, 3, 4""",
     "nested_explode": "SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, length(text)) - 1)::int AS pos, turn, role, length(text)::int AS size FROM conversations",
     "slot_counts": """SELECT source, count(*) AS n_present, string_agg(CASE WHEN rn <= 3 THEN doc_id::varchar END, ',' ORDER BY doc_id) AS examples

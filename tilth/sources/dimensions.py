@@ -7,27 +7,56 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-# Rule key, label, group.
-RULES = (
-    ("hamzat_wasl", "Connecting hamza", "special"),
-    ("madd_2", "Natural prolongation", "madd"),
-    ("ikhfa", "Hiding", "ikhfa"),
-    ("ghunnah", "Nasalization", "ghunnah"),
-    ("madd_246", "Prolongation of 2, 4 or 6", "madd"),
-    ("silent", "Silent letter", "special"),
-    ("idghaam_ghunnah", "Merging with nasalization", "ghunnah"),
-    ("qalqalah", "Echoing", "qalqalah"),
-    ("madd_munfasil", "Separate prolongation", "madd"),
-    ("lam_shamsiyyah", "Assimilated lam", "special"),
-    ("madd_muttasil", "Connected prolongation", "madd"),
-    ("idghaam_no_ghunnah", "Merging without nasalization", "ghunnah"),
-    ("idghaam_shafawi", "Labial merging", "ghunnah"),
-    ("iqlab", "Conversion", "ikhfa"),
-    ("ikhfa_shafawi", "Labial hiding", "ikhfa"),
-    ("madd_6", "Necessary prolongation", "madd"),
-    ("idghaam_mutajanisayn", "Merging of similar letters", "ghunnah"),
-    ("idghaam_mutaqaribayn", "Merging of close letters", "ghunnah"),
-)
+# Rule key and label.
+LABELS = {
+    "hamzat_wasl": "Connecting hamza",
+    "madd_2": "Natural prolongation (2)",
+    "ikhfa": "Hiding",
+    "ghunnah": "Nasalization",
+    "madd_246": "Prolongation (2/4/6)",
+    "silent": "Silent letter",
+    "idghaam_ghunnah": "Merging with ghunnah",
+    "qalqalah": "Echoing",
+    "madd_munfasil": "Separate prolongation",
+    "lam_shamsiyyah": "Assimilated lām",
+    "madd_muttasil": "Connected prolongation",
+    "idghaam_no_ghunnah": "Merging without ghunnah",
+    "idghaam_shafawi": "Labial merging",
+    "iqlab": "Conversion",
+    "ikhfa_shafawi": "Labial hiding",
+    "madd_6": "Necessary prolongation (6)",
+    "idghaam_mutajanisayn": "Merging (similar)",
+    "idghaam_mutaqaribayn": "Merging (close)",
+}
+# Groups of rules, and what each rule asks for.
+GROUPS = {
+    "madd": ("madd_2", "madd_246", "madd_munfasil", "madd_muttasil", "madd_6",),
+    "ghunnah": ("ghunnah", "idghaam_ghunnah", "idghaam_no_ghunnah", "idghaam_shafawi", "idghaam_mutajanisayn", "idghaam_mutaqaribayn",),
+    "ikhfa": ("ikhfa", "iqlab", "ikhfa_shafawi",),
+    "qalqalah": ("qalqalah",),
+    "special": ("hamzat_wasl", "silent", "lam_shamsiyyah",),
+}
+DESCRIPTIONS = {
+    "hamzat_wasl": "A hamza that is heard at the start of speech and falls away in its middle.",
+    "madd_2": "The vowel has its plain length, two beats.",
+    "ikhfa": "Before fifteen letters the n is neither clear nor merged: it hums.",
+    "ghunnah": "A doubled n or m hums through the nose for two beats.",
+    "madd_246": "A pause at the word's end lets the reader lengthen the vowel: two, four or six beats.",
+    "silent": "The script has the letter, the voice doesn't.",
+    "idghaam_ghunnah": "The n goes into the next letter and leaves its hum.",
+    "qalqalah": "A vowelless q, t, b, j or d rebounds.",
+    "madd_munfasil": "The long vowel ends a word and a hamza begins the next: four or five beats.",
+    "lam_shamsiyyah": "The article's l gives way to the sun letter after it.",
+    "madd_muttasil": "Long vowel and hamza share a word: four or five beats.",
+    "idghaam_no_ghunnah": "The n vanishes in an l or r, without a hum.",
+    "idghaam_shafawi": "A vowelless m joins the m that follows.",
+    "iqlab": "Before b the n is spoken as m.",
+    "ikhfa_shafawi": "A vowelless m hums before b.",
+    "madd_6": "A doubled or vowelless letter after the vowel asks for six beats.",
+    "idghaam_mutajanisayn": "Letters formed in one place, different in manner, become one.",
+    "idghaam_mutaqaribayn": "Letters formed near each other become one.",
+}
+RULES = tuple((key, label, next(g for g, of in GROUPS.items() if key in of)) for key, label in LABELS.items())
 # Display colour of each rule, and of any other.
 COLOURS = {
     "madd_2": "#E8A33D", "madd_246": "#F2C14E", "madd_6": "#E5392B", "madd_munfasil": "#F58B3C", "madd_muttasil": "#E5662E", "ghunnah": "#1E9E8A",
@@ -99,6 +128,7 @@ RULE_SCHEMA = T.StructType(
         T.StructField("rule", T.StringType()),
         T.StructField("label", T.StringType()),
         T.StructField("grp", T.StringType()),
+        T.StructField("description", T.StringType()),
         T.StructField("nasal", T.BooleanType()),
         T.StructField("lower_only", T.BooleanType()),
         T.StructField("advisory", T.BooleanType()),
@@ -114,11 +144,11 @@ RULE_SCHEMA = T.StructType(
 def rules(spark: SparkSession) -> DataFrame:
     """A row per rule that can occur, the re-classed one included; no band where a rule isn't measured."""
     rows = []
-    for key, label, group in [*RULES, ("madd_6_muqattaat", "Necessary prolongation on disjoint letters", "madd")]:
+    for key, label, group in [*RULES, ("madd_6_muqattaat", f"{LABELS['madd_6']} on disjoint letters", "madd")]:
         nasal = key in NASAL
         lo, hi = NASAL_BAND if nasal else BANDS.get(key, (None, None))
         floors = LOWER_ONLY.get(key, (None, 3.0))
-        rows.append((key, label, group, nasal, nasal or key in LOWER_ONLY, key in ADVISORY, floors[0], floors[1], lo, hi, NASAL_SHARE if nasal else None))
+        rows.append((key, label, group, DESCRIPTIONS.get(key, DESCRIPTIONS["madd_6"]), nasal, nasal or key in LOWER_ONLY, key in ADVISORY, floors[0], floors[1], lo, hi, NASAL_SHARE if nasal else None))
     return spark.createDataFrame(rows, RULE_SCHEMA)
 
 
