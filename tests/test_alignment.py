@@ -51,13 +51,13 @@ def pairs():
 @pytest.mark.parametrize("block", [None, 1, 7])
 def test_equal_to_the_table(monkeypatch, block):
     if block:
-        real = alignment.Columns.__init__
+        real = alignment.Rows.__init__
 
         def smaller(self, *args):
             real(self, *args)
             self.block = block
 
-        monkeypatch.setattr(alignment.Columns, "__init__", smaller)
+        monkeypatch.setattr(alignment.Rows, "__init__", smaller)
     for hyp, ref in pairs():
         table = plain_table(hyp, ref, False)
         found, _ = plain_walk(table, hyp, ref, len(ref), False)

@@ -11,85 +11,81 @@ from pyspark.sql import functions as F
 GAP, SLACK = 1, 4
 
 
-class Columns:
-    """Edit distances of all prefixes of ``hyp`` (rows) and ``ref`` (columns), a column at a time as bits of integers.
+class Rows:
+    """Edit distances of all prefixes of ``hyp`` (rows) and ``ref``, a row at a time as bits of integers.
 
-    Neighbouring distances differ by at most one, so a column is two bit vectors, its rises and its falls. With a free start any
-    part of ``ref`` may be skipped before. For steps back a column also gives where the diagonal step is free
-    and where the distance rises from the column before; those are kept for one block of columns at a time and
-    computed again from the block's first column, so n by m letters take about n * sqrt(m) / 2 bits instead of n * m numbers.
+    Neighbouring distances differ by at most one, so a row is two bit vectors over ``ref``, its rises and its falls. With a free
+    start any part of ``ref`` may be skipped before. Steps back need a row's rises and where its diagonal step is free; those are
+    kept for one block of rows at a time and computed again from the block's first row, so n by m letters take
+    about m * sqrt(n) / 2 bits instead of n * m numbers.
     """
 
     def __init__(self, hyp: str, ref: str, free_start: bool):
-        self.hyp, self.ref, self.m = hyp, ref, len(hyp)
-        self.mask, self.carry = (1 << len(hyp)) - 1, 0 if free_start else 1
-        self.free_start = free_start
+        self.hyp, self.ref, self.free_start = hyp, ref, free_start
+        self.mask = (1 << len(ref)) - 1
+        self.first = 0 if free_start else self.mask
         self.places: dict[str, int] = {}
-        for i, c in enumerate(hyp):
-            self.places[c] = self.places.get(c, 0) | 1 << i
-        self.block = max(64, int(len(ref) ** 0.5))
-
-    def run(self, lo: int, hi: int, rises: int, falls: int, keep: list | None):
-        """From column ``lo`` on: the last row's change in each column up to ``hi``; at last the column's rises and falls."""
-        mask, carry, places, top = self.mask, self.carry, self.places, self.m - 1
-        steps = []
-        for c in self.ref[lo:hi]:
-            same = places.get(c, 0)
+        low = {c: [] for c in set(hyp)}
+        for j, c in enumerate(ref):
+            if c in low:
+                low[c].append(j)
+        for c, js in low.items():
+            bits = np.zeros(len(ref), np.uint8)
+            bits[js] = 1
+            self.places[c] = int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+        self.block = max(64, int(len(hyp) ** 0.5))
+
+    def run(self, lo: int, hi: int, rises: int, falls: int, keep: list | None = None) -> tuple[int, int]:
+        """Rises and falls of row ``hi`` from those of row ``lo``."""
+        mask, places = self.mask, self.places
+        for c in self.hyp[lo:hi]:
+            same = places[c]
             free = (((same & rises) + rises) ^ rises) | same | falls
-            up = (falls | ~(free | rises)) & mask
-            down = rises & free & mask
-            if keep is not None:
-                keep.append((free, up))
-            steps.append((up >> top & 1) - (down >> top & 1))
-            up = up << 1 | carry
-            down <<= 1
+            up = (falls | ~(free | rises)) << 1 | 1
+            down = (rises & free) << 1
             rises = (down | ~(free | up)) & mask
             falls = up & free & mask
-        return steps, rises, falls
+            if keep is not None:
+                keep.append((free, rises))
+        return rises, falls
 
-    def last_row(self) -> list[int]:
+    def last_row(self) -> np.ndarray:
         """Distances of all of ``hyp`` to each prefix of ``ref``."""
-        steps, _, _ = self.run(0, len(self.ref), self.mask, 0, None)
-        out = [self.m]
-        for d in steps:
-            out.append(out[-1] + d)
-        return out
+        n = len(self.ref)
+        up, down = (np.unpackbits(np.frombuffer(x.to_bytes(n // 8 + 1, "little"), np.uint8), bitorder="little")[:n].astype(np.int64) for x in self.run(0, len(self.hyp), self.first, 0))
+        return len(self.hyp) + np.concatenate([[0], np.cumsum(up - down)])
 
     def walk(self, j: int) -> tuple[dict[int, int], int]:
         """Steps back from (all of hyp, j): diagonal before deletion before insertion. -> (matches, where it began)."""
-        starts, rises, falls = [], self.mask, 0
-        for lo in range(0, j, self.block):
-            starts.append((rises, falls))
-            _, rises, falls = self.run(lo, min(j, lo + self.block), rises, falls, None)
-        i, matched, kept, base = self.m, {}, [], j
-        while i or (j and not self.free_start):
-            if not j:
-                break  # only insertions are left
-            if not i:
-                j = 0  # only deletions are left
-                continue
-            if j <= base:
-                base = (j - 1) // self.block * self.block
+        m = len(self.hyp)
+        starts, now = [], (self.first, 0)
+        for lo in range(0, m, self.block):
+            starts.append(now)
+            now = self.run(lo, min(m, lo + self.block), *now)
+        i, matched, kept, base = m, {}, [], m
+        while i and j:
+            if i <= base:
+                base = (i - 1) // self.block * self.block
                 kept = []
-                self.run(base, j, *starts[base // self.block], kept)
-            free, up = kept[j - 1 - base]
+                self.run(base, i, *starts[base // self.block], kept)
+            free, rises = kept[i - 1 - base]
             if self.hyp[i - 1] == self.ref[j - 1]:
                 i, j = i - 1, j - 1
                 matched[j] = i
-            elif not free >> (i - 1) & 1:
+            elif not free >> (j - 1) & 1:
                 i, j = i - 1, j - 1
-            elif up >> (i - 1) & 1:
+            elif rises >> (j - 1) & 1:
                 j -= 1
             else:
                 i -= 1
-        return matched, j
+        return matched, j if self.free_start else 0
 
 
 def matched_positions(hyp: str, ref: str) -> list[int | None]:
     """For each character of ``ref`` the place in ``hyp`` of the equal character it is aligned with, else None."""
     if not hyp or not ref:
         return [None] * len(ref)
-    found, _ = Columns(hyp, ref, False).walk(len(ref))
+    found, _ = Rows(hyp, ref, False).walk(len(ref))
     return [found.get(j) for j in range(len(ref))]
 
 
@@ -97,11 +93,9 @@ def reached_region(hyp: str, ref: str) -> tuple[int, int] | None:
     """First and last place of the part of ``ref`` that ``hyp`` explains best, both ends free; the later end on ties."""
     if not hyp or not ref:
         return None
-    columns = Columns(hyp, ref, True)
-    row = columns.last_row()
-    least = min(row)
-    end = max(j for j, d in enumerate(row) if d == least)
-    _, start = columns.walk(end)
+    rows = Rows(hyp, ref, True)
+    end = len(ref) - int(rows.last_row()[::-1].argmin())
+    _, start = rows.walk(end)
     return start, max(start, end - 1)
 
 
@@ -111,7 +105,7 @@ def fit_distance(hyp: str, window: str) -> float:
         return 0.0
     if not window:
         return 1.0
-    return min(min(Columns(hyp, window, False).last_row()), min(Columns(hyp[::-1], window[::-1], False).last_row())) / len(hyp)
+    return int(min(Rows(hyp, window, False).last_row().min(), Rows(hyp[::-1], window[::-1], False).last_row().min())) / len(hyp)
 
 
 def _matched(hyp: pd.Series, ref: pd.Series) -> pd.Series:
