@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tilth.functions import keys
 from tilth.functions import text as texts
 from tilth.operators import grading, quality, robust
-from tilth.sources import dimensions, readers, sinks
+from tilth.sources import audio_files, dimensions, readers, sinks, store
 
 
 def index(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
@@ -38,35 +38,132 @@ def ingest(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     good, bad = sinks.split_valid(joined, fits, F.lit("offsets"))
     if a.dead_letter:
         sinks.dead_letters(bad.drop("reason"), "_input", a.dead_letter, a.as_of)
-    return good.select("surah", "ayah", "rule", F.col("start").alias("start_idx"), F.col("end").alias("end_idx"), texts.slice_text(F.col("text"), F.col("start"), F.col("end")).alias("segment"), texts.enclosing_word(F.col("text"), F.col("start"), F.col("end")).alias("word")).distinct()
+    segments = good.select("surah", "ayah", "rule", F.col("start").alias("start_idx"), F.col("end").alias("end_idx"), texts.slice_text(F.col("text"), F.col("start"), F.col("end")).alias("segment"), texts.enclosing_word(F.col("text"), F.col("start"), F.col("end")).alias("word")).distinct()
+    if a.audio_map:
+        if not a.audio_out:
+            raise ValueError("--audio-map needs --audio-out")
+        audio = audio_rows(readers.read_audio_index(spark, a.audio_map), None if a.seed_audio else segments, a.reciter)
+        store.KeyedStore(spark, a.audio_out, sinks.conflict_keys("ayah_audio")).upsert(audio, ["audio_path"])
+    return segments
+
+
+def audio_rows(listed: DataFrame, segments: DataFrame | None, reciters: list[str] | None) -> DataFrame:
+    """One row per verse and reciter of an index: of the verses that have segments, or of all. Several paths of one key: the last by name."""
+    if reciters:
+        listed = listed.where(F.col("reciter").isin(*reciters))
+    if segments is not None:
+        listed = listed.join(segments.select("surah", "ayah").distinct(), ["surah", "ayah"], "left_semi")
+    return quality.last_wins(listed.select("surah", "ayah", "reciter", "audio_path"), ["surah", "ayah", "reciter"], ["audio_path"]).select(
+        "surah", "ayah", "reciter", "audio_path", F.lit(True).alias("verified"), F.lit(None).cast("string").alias("flag_reason")
+    )
+
+
+LAYERS = ("inventory", "integrity", "plausibility")
 
 
 def audit(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
-    """Problems per reciter and verse: missing files, small files, implausible durations (if a table of them is given)."""
+    """Problems per reciter and verse, by layers: missing files, files whose headers are broken, implausible durations.
+
+    Files come from a folder (``--audio-root``: keys are six digits, headers are probed) or an index with a table of durations. With
+    ``--sample`` the integrity layer probes that many files a reciter, by hash. Plausibility needs durations. The work list is
+    whole; ``--cap`` bounds the examples of the report.
+    """
+    layers = set(LAYERS) if a.deep else {x.strip() for x in a.layers.split(",") if x.strip()} if a.layers else {"inventory", *(LAYERS[1:] if a.durations else ())}
+    if unknown := layers - set(LAYERS):
+        raise ValueError(f"unknown layers: {', '.join(sorted(unknown))}")
     verses = readers.read_verses(spark, a.text)
     if a.surah:
         verses = verses.where(F.col("surah") == a.surah)
-    files = spark.read.parquet(a.index)
+    if a.audio_root:
+        mapped = keyed_files(readers.list_files(spark, a.audio_root), a.audio_root)
+        files = quality.first_wins(mapped.where("key is not null"), ["reciter", "key"], ["path"]).select("reciter", F.split("key", ":")[0].cast("int").alias("surah"), F.split("key", ":")[1].cast("int").alias("ayah"), "path", "n_duplicates")
+        if a.surah:
+            files = files.where(F.col("surah") == a.surah)
+    elif a.index:
+        files = spark.read.parquet(a.index)
+    else:
+        raise ValueError("audit needs --audio-root or --index")
     reciters = files.select("reciter").distinct()
     if a.reciter:
         reciters = reciters.where(F.col("reciter").isin(*a.reciter))
-    expected = reciters.crossJoin(F.broadcast(verses.select("surah", "ayah")))  # reciters x verses of one book
-    found = [expected.join(files, ["reciter", "surah", "ayah"], "left_anti").select("reciter", "surah", "ayah", F.lit("missing").alias("reason"))]
-    if a.durations:
-        d = spark.read.parquet(a.durations).join(verses, ["surah", "ayah"]).join(reciters, "reciter", "left_semi")
-        status = quality.integrity(F.col("length"), F.col("duration"), F.lit(True), a.min_bytes)
-        d = d.withColumn("status", status)
-        found.append(d.where("status <> 'ok'").select("reciter", "surah", "ayah", F.col("status").alias("reason")))
-        ok = d.where("status = 'ok'").withColumn("letters", texts.letter_count(F.col("text"), F.col("surah"), F.col("ayah")).cast("double")).where("letters > 0")
+    files, keys = files.join(reciters, "reciter", "left_semi"), ["reciter", "surah", "ayah"]
+    none = F.lit(None).cast("double")
+    found = []
+    if "inventory" in layers:
+        expected = reciters.crossJoin(F.broadcast(verses.select("surah", "ayah")))  # reciters x verses of one book
+        found.append(expected.join(files, keys, "left_anti").select(*keys, F.lit("missing").alias("reason"), none.alias("ratio")))
+    probed = None
+    if layers & {"integrity", "plausibility"}:
+        if a.durations:
+            probed = spark.read.parquet(a.durations).withColumn("status", quality.integrity(F.col("length"), F.col("duration"), F.lit(True), a.min_bytes))
+        elif a.audio_root:
+            probed = files.join(readers.probe_files(spark, a.audio_root, a.min_bytes), "path").select(*keys, "length", "duration", "status")
+        else:
+            raise ValueError("these layers need --audio-root or --durations")
+        if a.sample:
+            probed = quality.per_group_sample(probed, ["reciter"], F.xxhash64(*keys), a.sample, ["surah", "ayah"])
+        probed = probed.join(verses, ["surah", "ayah"]).join(reciters, "reciter", "left_semi").persist()
+        if "integrity" in layers:
+            found.append(probed.where("status <> 'ok'").select(*keys, F.col("status").alias("reason"), none.alias("ratio")))
+    if "plausibility" in layers:
+        ok = probed.where("status = 'ok'").withColumn("letters", texts.letter_count(F.col("text"), F.col("surah"), F.col("ayah")).cast("double")).where("letters > 0")
         fit = robust.theil_sen(ok, ["reciter"], "letters", "duration")
         odd = robust.outliers(ok, fit, ["reciter"], "letters", "duration", a.min_abs, a.mad_k, a.ratio_low, a.ratio_high)
-        found.append(odd.where("outlier").select("reciter", "surah", "ayah", "reason"))
-    return quality.worklist(found)
+        found.append(odd.where("outlier").select(*keys, "reason", F.round("ratio", 3).alias("ratio")))
+    work = quality.worklist(found)
+    if a.report:
+        report = audit_report(files, verses, reciters, probed, work, a.cap)
+        report.write.mode("overwrite").json(a.report)
+        spark.read.schema(report.schema).json(a.report).drop("missing", "broken", "odd").orderBy("reciter").show(1000, truncate=False)
+    return work
+
+
+def keyed_files(files: DataFrame, root: str) -> DataFrame:
+    """path, reciter, key (null: the name has no six digits) of listed files below a root."""
+    rel = F.regexp_replace("path", F.concat(F.lit(r"^.*?\Q"), F.lit(root.rstrip("/") + "/"), F.lit(r"\E")), F.lit(""))
+    plain = F.regexp_replace("path", "^file:/+", "/")
+    return files.select(plain.alias("path"), keys.reciter_of(rel).alias("reciter"), keys.key_of_digits(rel).alias("key"))
+
+
+def audit_report(files: DataFrame, verses: DataFrame, reciters: DataFrame, probed: DataFrame | None, work: DataFrame, cap: int) -> DataFrame:
+    """A row per reciter: present (out of the book, too), missing, extra, duplicates, checked, ok, outliers, and up to ``cap`` examples of each class of problem."""
+    statuses = ("empty", "tiny", "unreadable", "corrupt", "zero_duration")
+    key = F.concat_ws(":", F.col("surah").cast("string"), F.col("ayah").cast("string"))
+    known = verses.select("surah", "ayah", F.lit(True).alias("_in"))
+    dup = F.sum("n_duplicates") if "n_duplicates" in files.columns else F.lit(0).cast("long")
+    present = files.join(known, ["surah", "ayah"], "left").groupBy("reciter").agg(F.count(F.lit(1)).alias("present"), F.count_if(F.col("_in").isNull()).alias("extra"), dup.alias("duplicates"))
+    kind = F.when(F.col("reason") == "missing", "missing").when(F.col("reason").isin(*statuses), "broken").otherwise("odd")
+    ranked = work.select("reciter", kind.alias("kind"), F.struct("surah", "ayah", key.alias("key"), "reason", "ratio").alias("p"))
+    top = F.slice(F.array_sort(F.collect_list("p")), 1, cap)
+    lists = ranked.groupBy("reciter", "kind").agg(F.count(F.lit(1)).alias("n"), top.alias("examples")).groupBy("reciter").pivot("kind", ["missing", "broken", "odd"]).agg(F.first("n").alias("n"), F.first("examples").alias("examples"))
+    out = reciters.join(present, "reciter", "left").join(lists, "reciter", "left")
+    counted = [F.coalesce(f"{k}_n", F.lit(0)).alias(f"n_{k}") for k in ("missing", "broken", "odd")]
+    checked = probed.groupBy("reciter").agg(F.count(F.lit(1)).alias("checked"), F.count_if(F.col("status") == "ok").alias("ok")) if probed is not None else None
+    out = out.join(checked, "reciter", "left") if checked is not None else out.withColumns({"checked": F.lit(0).cast("long"), "ok": F.lit(0).cast("long")})
+    return out.select("reciter", "present", "extra", "duplicates", *counted, F.coalesce("checked", F.lit(0)).alias("checked"), F.coalesce("ok", F.lit(0)).alias("ok"), *[F.col(f"{k}_examples").alias(k) for k in ("missing", "broken", "odd")])
 
 
 def correct(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
-    """The index without the worklist's verses; written only with --apply."""
-    return quality.without(spark.read.parquet(a.index), spark.read.csv(a.worklist, sep="\t", header=True, schema="reciter string, surah int, ayah int, reason string"), ["reciter", "surah", "ayah"])
+    """The index without the verses of a work list that are confirmed broken; written only with --apply.
+
+    Implausible durations count only with ``--include-plausibility``, and then only gross ones: a ratio to the expected of
+    ``--flag-ratio-high`` or more, or ``--flag-ratio-low`` or less. With ``--audio`` (a table of audio rows) its rows are flagged in a
+    new version; ``--reset-flags`` makes all its rows usable again and changes nothing else.
+    """
+    audio = store.KeyedStore(spark, a.audio, sinks.conflict_keys("ayah_audio")) if a.audio else None
+    if a.reset_flags:
+        if audio and a.apply:
+            audio.upsert(sinks.reset_flags(audio.read()), ["audio_path"])
+        return spark.read.parquet(a.index)
+    listed = spark.read.csv(a.worklist, sep="\t", header=True, schema="reciter string, surah int, ayah int, reason string, ratio double")
+    gross = (F.col("ratio") >= a.flag_ratio_high) | (F.col("ratio") <= a.flag_ratio_low) if a.include_plausibility else F.lit(False)
+    broken = F.col("reason").isin("missing", "empty", "tiny", "unreadable", "corrupt", "zero_duration")
+    bad = listed.where(broken | F.coalesce(gross, F.lit(False)))
+    ranked = bad.select("reciter", "surah", "ayah", F.when(broken, 0).otherwise(1).alias("rank"), F.when(broken, F.concat(F.lit("integrity:"), "reason")).otherwise(F.concat(F.lit("review:"), "reason")).alias("reason"))
+    flagged = quality.precedence(ranked, ["reciter", "surah", "ayah"], "rank", "reason")
+    if audio and a.apply:
+        audio.upsert(sinks.flag(audio.read(), flagged.where("reason <> 'integrity:missing'"), ["reciter", "surah", "ayah"]).where("not verified"), ["audio_path"])
+    return quality.without(spark.read.parquet(a.index), flagged, ["reciter", "surah", "ayah"])
 
 
 def calibrate(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
@@ -98,10 +195,10 @@ def parser() -> argparse.ArgumentParser:
         q.add_argument("--out", required=name != "replay")
 
     need = {"required": True}
-    add("index", index, ("--audio-root", need), ("--regex", {}), ("--pattern", {"default": "concat_3_3", "choices": list(keys.CONVENTIONS)}), ("--ext", {"nargs": "*", "default": ["mp3", "wav", "flac", "ogg", "m4a"]}), ("--flat", {"action": "store_true"}))
-    add("ingest", ingest, ("--text", need), ("--annotations", need), ("--rule", {"nargs": "*"}), ("--surah", {"type": int}), ("--ayah", {"type": int}), ("--dead-letter", {}))
-    add("audit", audit, ("--text", need), ("--index", need), ("--durations", {}), ("--reciter", {"nargs": "*"}), ("--surah", {"type": int}), ("--min-bytes", {"type": int, "default": 1024}), ("--mad-k", {"type": float, "default": 6.0}), ("--min-abs", {"type": float, "default": 0.4}), ("--ratio-low", {"type": float, "default": 0.5}), ("--ratio-high", {"type": float, "default": 2.0}))
-    add("correct", correct, ("--index", need), ("--worklist", need), ("--apply", {"action": "store_true"}))
+    add("index", index, ("--audio-root", need), ("--regex", {}), ("--pattern", {"default": "concat_3_3", "choices": list(keys.CONVENTIONS)}), ("--ext", {"nargs": "*", "default": list(audio_files.EXTENSIONS)}), ("--flat", {"action": "store_true"}))
+    add("ingest", ingest, ("--text", need), ("--annotations", need), ("--rule", {"nargs": "*"}), ("--surah", {"type": int}), ("--ayah", {"type": int}), ("--dead-letter", {}), ("--audio-map", {}), ("--audio-out", {}), ("--seed-audio", {"action": "store_true"}), ("--reciter", {"nargs": "*"}))
+    add("audit", audit, ("--text", need), ("--index", {}), ("--audio-root", {}), ("--durations", {}), ("--layers", {}), ("--deep", {"action": "store_true"}), ("--sample", {"type": int}), ("--cap", {"type": int, "default": 50}), ("--report", {}), ("--reciter", {"nargs": "*"}), ("--surah", {"type": int}), ("--min-bytes", {"type": int, "default": 1024}), ("--mad-k", {"type": float, "default": 6.0}), ("--min-abs", {"type": float, "default": 0.4}), ("--ratio-low", {"type": float, "default": 0.5}), ("--ratio-high", {"type": float, "default": 2.0}))
+    add("correct", correct, ("--index", need), ("--worklist", {}), ("--apply", {"action": "store_true"}), ("--include-plausibility", {"action": "store_true"}), ("--flag-ratio-high", {"type": float, "default": 5.0}), ("--flag-ratio-low", {"type": float, "default": 0.2}), ("--audio", {}), ("--reset-flags", {"action": "store_true"}))
     add("calibrate", calibrate, ("--checkpoint", need), ("--k-mad", {"type": float, "default": 3.0}))
     add("grade", grade, ("--recordings", need), ("--segments", need), ("--calibration", {}))
     add("replay", replay, ("--infile", need), ("--residual", need), ("--target", need))

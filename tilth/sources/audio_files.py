@@ -1,4 +1,4 @@
-"""Data sources over folders of audio files: ``audio_headers`` and ``audio_waveforms``.
+"""Data sources over folders of audio files: ``audio_listing``, ``audio_headers`` and ``audio_waveforms``.
 
 The folder is listed once, names and sizes only, and cut into partitions by what will be read of each
 file. Headers take ranges of bytes, never a whole file; every listed file gives a row, an empty one too. Waveforms
@@ -70,6 +70,31 @@ class _Folder(DataSource):
         return self.options["path"], tuple(x.strip().lower() for x in wanted.split(",")) if wanted else EXTENSIONS
 
 
+class AudioListing(_Folder):
+    """path, length; nothing of a file is read, and files without bytes are listed."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "audio_listing"
+
+    def schema(self) -> str:
+        return "path string, length long"
+
+    def reader(self, schema) -> DataSourceReader:
+        return ListingReader(*self.folder())
+
+
+class ListingReader(DataSourceReader):
+    def __init__(self, uri: str, extensions: tuple[str, ...]):
+        self.uri, self.extensions = uri, extensions
+
+    def partitions(self):
+        return packed(listed(self.uri, self.extensions), lambda size: 0)
+
+    def read(self, partition: Files):
+        yield from partition.files
+
+
 class AudioHeaders(_Folder):
     """path, length, known, duration (seconds), bitrate, bytes_read; options: path, extensions (comma-separated)."""
 
@@ -146,5 +171,5 @@ class WaveformReader(DataSourceReader):
 
 
 def register(spark: SparkSession) -> None:
-    for source in (AudioHeaders, AudioWaveforms):
+    for source in (AudioListing, AudioHeaders, AudioWaveforms):
         spark.dataSource.register(source)

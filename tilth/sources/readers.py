@@ -86,9 +86,9 @@ def read_audio_index(spark: SparkSession, path: str) -> DataFrame:
 
 
 def list_files(spark: SparkSession, path: str, extensions: tuple[str, ...] = audio_files.EXTENSIONS) -> DataFrame:
-    """Files below a folder by extension: path, length; contents are never read."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length")
-    return found.where(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(*extensions))
+    """Files below a folder by extension, also such without bytes: path, length; contents are never read."""
+    audio_files.register(spark)
+    return spark.read.format("audio_listing").option("extensions", ",".join(extensions)).load(path)
 
 
 def read_dead_letters(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
