@@ -29,7 +29,7 @@ def few_rows(side: DataFrame) -> DataFrame:
     kept = side.persist()
     KEPT.append(kept)
     while len(KEPT) > MOST_KEPT:
-        KEPT.popleft().unpersist()
+        _drop(KEPT.popleft())
     return F.broadcast(kept) if kept.limit(FEW + 1).count() <= FEW else kept
 
 
@@ -37,10 +37,15 @@ def release() -> int:
     """Drop all kept sides of joins. -> how many there were."""
     n = len(KEPT)
     while KEPT:
-        KEPT.popleft().unpersist()
+        _drop(KEPT.popleft())
     return n
 
 
+def _drop(kept: DataFrame) -> None:
+    if kept.sparkSession.sparkContext._jsc is not None:  # else its session has ended, and with it what was kept
+        kept.unpersist()
+
+
 def order_statistics(df: DataFrame, keys: list[str], value: str, wanted: dict[str, Column]) -> DataFrame:
     """Exact values at 0-based ranks per group: ``wanted`` maps names to rank columns over ``n``.
 
