@@ -169,7 +169,7 @@ DIGEST = T.StructType(
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """Encode each text, decode its ids, and digest both; one row per row of ``docs``.
 
-    Null and empty texts have no ids and the digests of nothing. Other columns are ignored.
+    Null and empty texts have no ids and the digests of nothing. Repeated and null doc_ids stay rows of their own. Other columns are ignored.
     """
     bounded_batches(docs.sparkSession)
 

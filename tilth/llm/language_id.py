@@ -244,7 +244,7 @@ def train(docs: DataFrame, docs_per_lang: int = 1200, margin: float = 2.0) -> La
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """``docs`` (doc_id, text, ...) -> doc_id, lang_pred, score, accepted, over whole texts.
 
-    A null text and a text without a letter are 'und' with score 0 and not accepted.
+    A null text and a text without a letter are 'und' with score 0 and not accepted. Every row gets a row, repeated and null doc_ids too.
     """
     bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)

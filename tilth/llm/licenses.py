@@ -291,7 +291,7 @@ def scan(docs: DataFrame) -> DataFrame:
 
     Null text is empty: no words, no labels, score 0. ``detections`` are (start, end, priority,
     label, weight) in words, what containment left of the rules; ``score`` is one less the product
-    of what each leaves of doubt. Every row gets a row; other columns are ignored.
+    of what each leaves of doubt. Every row gets a row, repeated and null doc_ids too; other columns are ignored.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

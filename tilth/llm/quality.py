@@ -172,7 +172,7 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e
 
 
 def score(statistics_: DataFrame, model: Discriminant) -> DataFrame:
-    """doc_id and score (0 to 1) of each row of ``statistics_``."""
+    """doc_id and score (0 to 1) of each row of ``statistics_``, repeated and null doc_ids too."""
     shared = statistics_.sparkSession.sparkContext.broadcast(model)
 
     def run(frames):

@@ -186,7 +186,7 @@ SPANS = "array<struct<kind: string, start: int, end: int>>"
 def scan(docs: DataFrame, rate: float = 1e-4) -> DataFrame:
     """``docs`` (doc_id, text, ...) -> doc_id, spans: kind, start, end in code points, end exclusive.
 
-    A null or empty text has no spans. Every row gets a row; other columns are ignored.
+    A null or empty text has no spans. Every row gets a row, repeated and null doc_ids too; other columns are ignored.
     """
     bounded_batches(docs.sparkSession)
 
