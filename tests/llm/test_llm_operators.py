@@ -464,6 +464,25 @@ def test_embedding_join(spark, cell_rows, most_pivots):
     assert embedding_join.near_duplicates(df.limit(0), 0.9).count() == 0
 
 
+def test_vectors_that_nothing_prunes_are_shuffled_once_each(spark):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(3000, 64)).astype(np.float32)
+    x[1:40:2] = x[0:40:2] + rng.normal(size=(20, 64)).astype(np.float32) * 0.1
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>").localCheckpoint()
+
+    def written():
+        jvm = spark.sparkContext._jvm
+        stages = spark.sparkContext._jsc.sc().statusStore().stageList(jvm.java.util.ArrayList(), False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    before = written()
+    got = {r["vec_id"]: r for r in embedding_join.near_duplicates(df, 0.9, cell_rows=50).collect()}
+    assert written() - before < 10 * 3000 * 64 * 8
+    unit = embedding_join.unit(x.astype(np.float64))
+    want = (unit @ unit.T >= 0.9).sum(axis=1) - 1
+    assert want.sum() >= 40 and [got[i]["n_links"] for i in range(3000)] == want.tolist()
+
+
 def test_inner_cells_prune_clustered_vectors_and_lose_none():
     rng = np.random.default_rng(5)
     x = embedding_join.unit(np.repeat(rng.normal(size=(40, 32)), 50, axis=0) + rng.normal(size=(2000, 32)) * 0.1)

@@ -1,12 +1,15 @@
 """Near-duplicate embeddings by an exact metric range join.
 
-Vectors are grouped by value first. The distinct ones go to the cell of their nearest pivot, and as
-guests to every cell whose members they could reach: a vector within the radius of a member of cell
-j lies, by the triangle inequality, at most twice the radius farther from pivot j than from its own
-pivot, and at most the radius beyond the plane between the two. A cell joins its members with
-members and guests by blocked matrix products, in single precision with a margin to find candidates
-and in double precision to decide. Large cells are cut again by pivots of their own; what these leave
-large is split by a hash of its members, and guests go to every part. A task emits link counts and a spanning forest, never all pairs.
+Vectors are grouped by value first. The distinct ones go to the cell of their nearest pivot and are
+packed there into blocks, a row each, so that a vector is stored and shuffled once whatever its number of
+neighbours. Blocks meet in a Cartesian product, which reads them again and shuffles nothing. A vector within
+the radius of a member of cell j lies, by the triangle inequality, at most twice the radius farther from
+pivot j than from its own pivot, and at most the radius beyond the plane between the two: a block
+knows the cells that any of its vectors can reach so, blocks that can't reach each other do not meet, and of
+those that meet only the vectors that can reach the other's cell are compared: by blocked matrix products,
+in single precision with a margin to find candidates and in double precision to decide. Large cells are cut again
+by pivots of their own; what these leave large is split by a hash. A task emits link counts and a spanning forest,
+never all pairs.
 """
 
 from __future__ import annotations
@@ -18,11 +21,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tilth.llm.common import connected_components, materialize, shuffle_width
+from tilth.llm.common import bounded_batches, connected_components, materialize, shuffle_width
 
 MARGIN = 1e-4
 #: Above the rounding of angles and distances; it can only add guests.
 SLACK = 1e-7
+#: Bytes of the vectors of a block.
+BLOCK_BYTES = 4 << 20
 
 
 def usable(v: Column) -> Column:
@@ -78,9 +83,32 @@ def leaves(x: np.ndarray, pivots: np.ndarray | None, inner: dict[int, np.ndarray
             yield cell, sub, at[mine], at[within[:, sub] & ~mine]
 
 
-def linked(a: np.ndarray, b: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+def reaching(x: np.ndarray, home: tuple[int, int], leaf: tuple[int, int], pivots: np.ndarray | None, inner: dict[int, np.ndarray], angle: float) -> np.ndarray:
+    """Places of the unit vectors, all of the leaf (cell, inner cell) ``home``, that may be linked with members of another leaf."""
+    at = np.arange(len(x))
+    if pivots is None or home == leaf:
+        return at
+
+    def across(own: np.ndarray, other: np.ndarray) -> np.ndarray:
+        to_own, to_other = np.clip(x @ own, -1, 1), np.clip(x @ other, -1, 1)
+        by_triangle = np.arccos(to_other) - np.arccos(to_own) <= 2 * angle + SLACK
+        apart = math.sqrt(max(0, 2 - 2 * (own @ other)))
+        return by_triangle & (to_own - to_other <= 2 * math.sin(angle / 2) * apart + SLACK)
+
+    if home[0] == leaf[0]:
+        return at[across(inner[home[0]][home[1]], inner[home[0]][leaf[1]])]
+    at = at[across(pivots[home[0]], pivots[leaf[0]])]
+    if leaf[0] in inner and len(at):
+        at = at[reachable(x[at], inner[leaf[0]], angle)[1][:, leaf[1]]]
+    return at
+
+
+def linked(a: np.ndarray, b: np.ndarray, least: float, b_single: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Places (i, j) of the pairs of unit rows whose inner product in double precision is at least ``least``."""
-    i, j = np.nonzero(a.astype(np.float32) @ b.astype(np.float32).T >= least - MARGIN)
+    hits = a.astype(np.float32) @ (b.astype(np.float32) if b_single is None else b_single).T >= least - MARGIN
+    rows = np.flatnonzero(hits.any(axis=1))
+    i, j = np.nonzero(hits[rows])
+    i = rows[i]
     keep = np.zeros(len(i), bool)
     for at in range(0, len(i), 1 << 16):  # the same sum in the same order for a pair, whichever side and however many
         some = slice(at, at + (1 << 16))
@@ -88,16 +116,14 @@ def linked(a: np.ndarray, b: np.ndarray, least: float) -> tuple[np.ndarray, np.n
     return i[keep], j[keep]
 
 
-class Cell:
-    """Members of one part of a cell; counts their links and remembers a spanning forest."""
+class Block:
+    """Vectors of one leaf, the links found of them so far, and a spanning forest of what these connect."""
 
-    def __init__(self, ids: np.ndarray, names: np.ndarray, weights: np.ndarray, x: np.ndarray, least: float):
-        self.ids, self.names, self.weights, self.x, self.least = ids, names, weights, x, least
-        self.links = weights - 1
+    def __init__(self, leaf: tuple[int, int], ids: np.ndarray, names: np.ndarray, weights: np.ndarray, x: np.ndarray):
+        self.leaf, self.ids, self.names, self.weights, self.x = leaf, ids, names, weights, x
+        self.links = np.zeros(len(ids), np.int64)
         self.parent = list(range(len(ids)))
         self.edges: list[tuple[int, int]] = []
-        for at in range(0, len(ids), 512):
-            self.meet(ids[at : at + 512], names[at : at + 512], weights[at : at + 512], x[at : at + 512])
 
     def root(self, i: int) -> int:
         parent = self.parent
@@ -106,21 +132,29 @@ class Cell:
             i = parent[i]
         return i
 
-    def meet(self, ids: np.ndarray, names: np.ndarray, weights: np.ndarray, x: np.ndarray) -> None:
-        g, m = linked(x, self.x, self.least)
-        other = ids[g] != self.ids[m]
-        g, m = g[other], m[other]
-        if not len(g):
-            return
-        self.links += np.bincount(m, weights=weights[g], minlength=len(self.ids)).astype(np.int64)
-        first = np.full(len(ids), -1)
-        guests, at = np.unique(g, return_index=True)  # g is sorted, so the first member of each
-        first[guests] = m[at]
-        self.edges += zip(names[guests].tolist(), self.names[m[at]].tolist(), strict=True)
-        for a, b in np.unique(np.stack([m, first[g]], axis=1), axis=0).tolist():
-            a, b = self.root(a), self.root(b)
-            if a != b:
-                self.parent[max(a, b)] = min(a, b)
+    def meet(self, other: Block, own: np.ndarray, theirs: np.ndarray, least: float) -> None:
+        """Links between the vectors at the places ``own`` and those at ``theirs`` of another block, or of this one."""
+        x = self.x[own]
+        single = x.astype(np.float32)
+        for at in range(0, len(theirs), 512):
+            some = theirs[at : at + 512]
+            g, m = linked(other.x[some], x, least, single)
+            g, m = some[g], own[m]
+            if other is self:
+                g, m = g[g != m], m[g != m]
+            if not len(g):
+                continue
+            self.links += np.bincount(m, weights=other.weights[g], minlength=len(self.ids)).astype(np.int64)
+            if other is not self:
+                other.links += np.bincount(g, weights=self.weights[m], minlength=len(other.ids)).astype(np.int64)
+            guests, at_first, of = np.unique(g, return_index=True, return_inverse=True)
+            first = m[at_first]  # one member of each
+            self.edges += zip(other.names[guests].tolist(), self.names[first].tolist(), strict=True)
+            size = len(self.ids)
+            for pair in np.unique(m * size + first[of]).tolist():
+                a, b = self.root(pair // size), self.root(pair % size)
+                if a != b:
+                    self.parent[max(a, b)] = min(a, b)
 
     def forest(self) -> list[tuple[int, int]]:
         own = [(int(self.names[i]), int(self.names[self.root(i)])) for i in range(len(self.ids)) if self.root(i) != i]
@@ -138,6 +172,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, cell_rows: int = 500
     per cell, reach the driver. What is still larger is split by hash.
     """
     spark = vectors.sparkSession
+    bounded_batches(spark)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     grouped = rows.where(usable(F.col("embedding"))).groupBy("embedding").agg(F.min("vec_id").alias("name"), F.count(F.lit(1)).alias("weight"))
     distinct = materialize(grouped.withColumn("cid", F.monotonically_increasing_id()), "vectors")
@@ -192,90 +227,145 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, cell_rows: int = 500
         inner = spark.sparkContext.broadcast(cut)
         found = members_by_leaf(inner)
     parts = {key: -(-n // (2 * cell_rows)) for key, n in found.items()}
-    layout = spark.sparkContext.broadcast(parts)
-    dealt_schema = "size int, cell int, inner int, part int, guest boolean, cid long, name long, weight long, embedding array<double>"
+    layout = spark.sparkContext.broadcast({key: (i, parts[key]) for i, key in enumerate(sorted(parts))})
 
-    def deal(batches):
+    def place(batches):
+        """Each vector with its leaf: (size, cell, inner cell, part) and the vector's row."""
         import pyarrow as pa
 
         for batch in batches:
             turn = batch.column(0).to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)
+            of = np.zeros((4, len(batch)), np.int32)
             for size, pick, found in by_size(batch, 3, inner.value):
-                for cell, sub, own, guests in found:
-                    n = layout.value.get((size, cell, sub), 0)
-                    of = (turn[pick[own]] % np.uint64(max(1, n))).astype(np.int64)
-                    for part in range(n):
-                        member = np.concatenate([of == part, np.zeros(len(guests), bool)])
-                        if not len(member):
-                            continue
-                        some = batch.take(pa.array(pick[np.concatenate([own, guests])]))
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.full(len(member), v, np.int32)) for v in (size, cell, sub, part)] + [pa.array(~member), *some.columns],
-                            ["size", "cell", "inner", "part", "guest", "cid", "name", "weight", "embedding"],
-                        )
+                for cell, sub, own, _ in found:
+                    n = layout.value.get((size, cell, sub), (-1, 1))[1]
+                    of[:3, pick[own]] = np.array([[size], [cell], [sub]], np.int32)
+                    of[3, pick[own]] = turn[pick[own]] % np.uint64(n)
+            yield pa.RecordBatch.from_arrays([*map(pa.array, of), *batch.columns], ["size", "cell", "inner", "part", "cid", "name", "weight", "embedding"])
+
+    def pack(batches):
+        """Rows of blocks from vectors by leaf: (size, cell, inner, leaf's number, numbers it reaches as bits, ids, names, weights, unit vectors)."""
+        import pyarrow as pa
+
+        words = -(-len(layout.value) // 64)
+
+        def block(key, some):
+            size, cell, sub, _ = key
+            ids, names, weights, x = (np.concatenate(c) for c in zip(*some, strict=True))
+            reach = np.zeros(words * 64, np.uint8)
+            for to, inside, own, guests in leaves(x, shared.value.get(size), inner.value.get(size, {}), angle):
+                number = layout.value.get((size, to, inside), (-1, 1))[0]
+                if number >= 0 and len(own) + len(guests):
+                    reach[number] = 1
+            bits = np.packbits(reach, bitorder="little").view(np.int64).tolist()
+            number = layout.value.get((size, cell, sub), (-1, 1))[0]
+            cols = [[size], [cell], [sub], [number], [bits], *[[c.tobytes()] for c in (ids, names, weights, x)]]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int32()] * 4 + [pa.list_(pa.int64())] + [pa.binary()] * 4, strict=True)], block_names)
+
+        where, held, n = None, [], 0
+        for batch in batches:
+            key = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4)], axis=1)
+            cut = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
+            for lo, hi in zip([0, *cut.tolist()], [*cut.tolist(), len(key)], strict=True):
+                at = lo
+                while at < hi:
+                    most = max(1, BLOCK_BYTES // (8 * int(key[lo][0])))
+                    if held and (tuple(key[lo].tolist()) != where or n >= most):
+                        yield block(where, held)
+                        held, n = [], 0
+                    where = tuple(key[lo].tolist())
+                    some = batch.slice(at, min(hi - at, most - n))
+                    _, flat = matrix(some.column(7))
+                    names = some.column(5).fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
+                    held.append((some.column(4).to_numpy(), names, some.column(6).to_numpy(), unit(flat.reshape(len(some), -1))))
+                    at, n = at + len(some), n + len(some)
+        if held:
+            yield block(where, held)
+
+    block_names = ["size", "cell", "inner", "leaf", "reach", "ids", "names", "weights", "x"]
+    block_schema = "size int, cell int, inner int, leaf int, reach array<long>, ids binary, names binary, weights binary, x binary"
+    placed = distinct.select("cid", "name", "weight", "embedding").mapInArrow(place, "size int, cell int, inner int, part int, cid long, name long, weight long, embedding array<double>")
+    keys = ["size", "cell", "inner", "part"]
+    packed = placed.repartition(max(shuffle_width(spark), sum(parts.values())), *keys).sortWithinPartitions(*keys).mapInArrow(pack, block_schema)
+    blocks = materialize(packed.withColumn("block", F.monotonically_increasing_id()), "vector-blocks")
 
     out_schema = T.StructType([T.StructField(n, T.LongType()) for n in ("cid", "links", "a", "b")])
 
     def join(batches):
+        """Links of pairs of blocks: what a task finds of a vector is one row."""
         import pyarrow as pa
 
-        def results(cell: Cell):
-            pairs = cell.forest()
-            none = [None] * len(cell.ids)
-            yield pa.RecordBatch.from_arrays([pa.array(cell.ids), pa.array(cell.links), pa.array(none, pa.int64()), pa.array(none, pa.int64())], out_schema.names)
-            if pairs:
-                a, b = zip(*pairs, strict=True)
-                none = pa.array([None] * len(a), pa.int64())
-                yield pa.RecordBatch.from_arrays([none, none, pa.array(a, pa.int64()), pa.array(b, pa.int64())], out_schema.names)
+        counts: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
-        where, cell, members = None, None, []
+        def add(number: int, block: Block) -> None:
+            if block.links.any():
+                ids, links = counts.get(number, (block.ids, 0))
+                counts[number] = ids, links + block.links
 
-        def settle():
-            return Cell(*[np.concatenate(c) for c in zip(*members, strict=True)], least)
+        def edges(block: Block):
+            pairs = block.forest()
+            if pairs:
+                none = pa.array([None] * len(pairs), pa.int64())
+                yield pa.RecordBatch.from_arrays([none, none, *(pa.array(c, pa.int64()) for c in zip(*pairs, strict=True))], out_schema.names)
 
+        now, number = None, None
         for batch in batches:
-            key = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4)], axis=1)
-            guest = batch.column(4).to_numpy(zero_copy_only=False)
-            cut = np.flatnonzero((key[1:] != key[:-1]).any(axis=1) | (guest[1:] != guest[:-1])) + 1
-            for lo, hi in zip([0, *cut.tolist()], [*cut.tolist(), len(key)], strict=True):
-                if tuple(key[lo]) != where:
-                    if cell or members:
-                        yield from results(cell or settle())
-                    where, cell, members = tuple(key[lo]), None, []
-                some = batch.slice(lo, hi - lo)
-                _, flat = matrix(some.column(8))
-                data = (
-                    some.column(5).to_numpy(),
-                    some.column(6).fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False),
-                    some.column(7).to_numpy(),
-                    unit(flat.reshape(hi - lo, -1)),
-                )
-                if not guest[lo]:
-                    members.append(data)
+            for i in range(len(batch)):
+
+                def read(first: int, i: int = i, batch=batch) -> Block:
+                    size, cell, sub = (batch.column(first + c)[i].as_py() for c in range(3))
+                    ids, names, weights, x = (np.frombuffer(batch.column(first + 3 + c)[i].as_buffer(), t) for c, t in enumerate([np.int64] * 3 + [np.float64]))
+                    return Block((cell, sub), ids.copy(), names.copy(), weights.copy(), x.reshape(-1, size).copy())
+
+                size, one, two = batch.column(0)[i].as_py(), batch.column(7)[i].as_py(), batch.column(15)[i].as_py()
+                if one != number:
+                    if now:
+                        add(number, now)
+                        yield from edges(now)
+                    now, number = read(0), one
+                if one == two:
+                    now.meet(now, np.arange(len(now.ids)), np.arange(len(now.ids)), least)
+                    continue
+                if size != batch.column(8)[i].as_py():
                     continue
-                if cell is None and not members:
-                    continue  # a part that the hash left empty
-                if cell is None:
-                    cell, members = settle(), []
-                for at in range(0, hi - lo, 512):
-                    cell.meet(*[d[at : at + 512] for d in data])
-        if cell or members:
-            yield from results(cell or settle())
-
-    dealt = distinct.select("cid", "name", "weight", "embedding").mapInArrow(deal, dealt_schema)
-    joined = materialize(
-        dealt.repartition(max(shuffle_width(spark), 4 * sum(parts.values())), "size", "cell", "inner", "part")
-        .sortWithinPartitions("size", "cell", "inner", "part", "guest")
-        .mapInArrow(join, out_schema),
-        "vector-links",
+                other = read(8)
+                table, within = shared.value.get(size), inner.value.get(size, {})
+                own = reaching(now.x, now.leaf, other.leaf, table, within, angle)
+                theirs = reaching(other.x, other.leaf, now.leaf, table, within, angle)
+                if len(own) and len(theirs):
+                    now.meet(other, own, theirs, least)
+                    add(two, other)
+        if now:
+            add(number, now)
+            yield from edges(now)
+        for ids, links in counts.values():
+            none = pa.array([None] * int((links > 0).sum()), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(ids[links > 0]), pa.array(links[links > 0]), none, none], out_schema.names)
+
+    def reaches(a: str, b: str) -> Column:
+        leaf = F.col(f"{b}.leaf")
+        word = F.get(F.col(f"{a}.reach"), F.shiftright(leaf, 6))
+        # a leaf that had no members when they were counted has no number
+        return (leaf < 0) | (F.call_function("getbit", word, leaf.bitwiseAND(F.lit(63))) == 1)
+
+    # of two blocks either may come first, so that each task of the product has about half of its pairs
+    first, second = F.col("a.block"), F.col("b.block")
+    once = (first == second) | F.when((first + second) % 2 == 0, first < second).otherwise(first > second)
+    sides = ["size", "cell", "inner", "ids", "names", "weights", "x", "block"]
+    pairs = blocks.alias("a").join(
+        blocks.alias("b").hint("shuffle_replicate_nl"),
+        once & reaches("a", "b") & reaches("b", "a"),
     )
+    chosen_columns = [F.col(f"{side}.{c}").alias(f"{side}_{c}") for side in "ab" for c in sides]
+    joined = materialize(pairs.select(*chosen_columns).mapInArrow(join, out_schema), "vector-links")
     edges = joined.where(f"a is not null and least(a, b) > {np.iinfo(np.int64).min}").select("a", "b").distinct()
     groups = connected_components(edges, "vector-components").withColumnRenamed("node", "name")
+    counted = joined.where("cid is not null").groupBy("cid").agg(F.sum("links").alias("links"))
     known = (
-        distinct.select("cid", "name", "embedding")
-        .join(joined.where("cid is not null").select("cid", "links"), "cid")
+        distinct.select("cid", "name", "weight", "embedding")
+        .join(counted, "cid", "left")
         .join(groups, "name", "left")
-        .select("embedding", "links", F.coalesce("component", "name").alias("component"))
+        .select("embedding", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("component", "name").alias("component"))
     )
     return rows.join(known, "embedding", "left").select(
         "vec_id",
