@@ -51,6 +51,39 @@ def test_only_blocks_of_candidates_are_read(spark, index):
     assert trigrams.search(spark, index, ["surah", "ayah"], ["translation"], "no such words").count() == 0
 
 
+def shuffled(spark):
+    jvm = spark.sparkContext._jvm
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(jvm.java.util.ArrayList(), False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_index_shuffles_less_than_twice_its_texts(spark, tmp_path):
+    rng = random.Random(4)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(3, 9))) for _ in range(400)]
+    texts = [" ".join(rng.choices(words, k=300)) for _ in range(3000)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, t string").localCheckpoint()
+    before = shuffled(spark)
+    trigrams.build(rows, ["id"], ["t"], str(tmp_path / "i"))
+    assert shuffled(spark) - before < 2 * sum(map(len, texts))
+    want = sorted(i for i, t in enumerate(texts) if words[7] in t)
+    assert sorted(r["id"] for r in trigrams.search(spark, str(tmp_path / "i"), ["id"], ["t"], words[7]).collect()) == want
+
+
+def test_lists_in_chunks_hold_what_the_expression_finds(spark, verses, tmp_path, monkeypatch):
+    rows = verses.union(verses.where("surah = 99")).withColumn("translation", F.concat("translation", F.lit(" 𝒳𝒴z")))
+    columns = ["text_normalized", "translation", "transliteration"]
+    monkeypatch.setattr(trigrams, "CHUNK_ROWS", 7)
+    path = str(tmp_path / "i")
+    trigrams.build(rows, ["surah", "ayah"], columns, path)
+    postings, table = spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/rows")
+    assert postings.select("_block", "part").distinct().count() == -(-rows.count() // trigrams.CHUNK_ROWS)
+    got = postings.select("gram", "_block", "part", F.explode("found").alias("at")).select("gram", "_block", (F.col("part") + F.col("at")).alias("_row"))
+    each = F.array_distinct(F.flatten(F.array(*[F.coalesce(trigrams.trigrams(F.col(c)), F.array().cast("array<string>")) for c in columns])))
+    # the expression also finds what begins within a letter of two units
+    want = table.select(F.explode(each).alias("gram"), "_block", "_row").where("not startswith(gram, '?')")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_short_and_null_texts_have_no_trigrams(spark):
     row = spark.createDataFrame([("ab", None, "Abcd", "aaaa")], "a string, b string, c string, d string").select(*[trigrams.trigrams(F.col(c)) for c in "abcd"]).first()
     assert list(row) == [[], None, ["abc", "bcd"], ["aaa"]] or list(row) == [[], [], ["abc", "bcd"], ["aaa"]]
