@@ -286,3 +286,38 @@ def test_roll_up(spark):
 )
 def test_naming_conventions(spark, name, path, key):
     assert value(spark, keys.key_by_convention(F.lit(path), name)) == key
+
+
+def test_locate_moves_the_ends_of_runs_and_not_their_letters(spark):
+    import random
+
+    from tilth.operators import locate
+
+    rng = random.Random(8)
+    verses = [(1, p, "".join(rng.choices("abcdefghijklmnop", k=900))) for p in range(300)]
+    clips = [(1, p, None, t[5:65]) for _, p, t in verses] + [(1, 301, None, "ab"), (1, 302, None, "")]
+    schemas = "s int, clip int, near int, decoded string", "s int, pos int, letters string"
+
+    def shuffled():
+        jvm = spark.sparkContext._jvm
+        stages = spark.sparkContext._jsc.sc().statusStore().stageList(jvm.java.util.ArrayList(), False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    before = shuffled()
+    got = {r["clip"]: (r["from"], r["to"]) for r in locate.locate(*(spark.createDataFrame(rows, schema) for rows, schema in zip((clips, verses), schemas, strict=True)), ["s"]).collect()}
+    assert shuffled() - before < 20 << 20
+    assert all(got[p][0] <= p <= got[p][1] for p in range(300)) and 302 not in got
+
+
+def test_shared_pairs_at_once_are_those_of_each_pair():
+    import random
+
+    from tilth.functions import alignment
+
+    rng = random.Random(2)
+    some = lambda n, least: ["".join(rng.choices("abc", k=rng.randint(least, 30))) for _ in range(n)]
+    clips, runs = some(40, 1), some(60, 0)
+    caps = [int(len(c) * 1.3) + 5 for c in clips]
+    got = alignment.most_shared(clips, caps, runs, runs)
+    for i, c in enumerate(clips):
+        assert got[i].tolist() == [max(alignment.shared_bigrams(c, r[: caps[i]]), alignment.shared_bigrams(c, r[-caps[i] :])) for r in runs]
